@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .quality import op9_quality_classifier
 from .token_counts import op6_token_counts
 
 QUERIES = {
     "op6_token_counts": op6_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 #: DuckDB can't run a tokenizer's merges, checksums of spans or fingerprints; only what SQL expresses is here.
