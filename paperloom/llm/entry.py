@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .quality import op9_quality_classifier
+from .simhash import op5_simhash_near_dedup
 from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
 }
