@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .media import op8_media_columns
 from .quality import op9_quality_classifier
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op6_token_counts
+from .warc import op10_warc_revisits
 
 QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 #: DuckDB can't run a tokenizer's merges, checksums of spans or fingerprints; only what SQL expresses is here.
