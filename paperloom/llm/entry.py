@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat_prefix_targets
 from .media import op8_media_columns
 from .quality import op9_quality_classifier
 from .simhash import op5_simhash_near_dedup
@@ -9,6 +10,7 @@ from .token_counts import op6_token_counts
 from .warc import op10_warc_revisits
 
 QUERIES = {
+    "op1_chat_prefix_targets": op1_chat_prefix_targets,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_media_columns": op8_media_columns,
@@ -17,4 +19,4 @@ QUERIES = {
 }
 
 #: DuckDB can't run a tokenizer's merges, checksums of spans or fingerprints; only what SQL expresses is here.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_chat_prefix_targets": OP1_SQL}
