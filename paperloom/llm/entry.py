@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP1_SQL, op1_chat_prefix_targets
+from .cws import op2_document_fingerprints
 from .media import op8_media_columns
 from .quality import op9_quality_classifier
 from .simhash import op5_simhash_near_dedup
@@ -11,6 +12,7 @@ from .warc import op10_warc_revisits
 
 QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_media_columns": op8_media_columns,
