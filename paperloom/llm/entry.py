@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP1_SQL, op1_chat_prefix_targets
 from .cws import op2_document_fingerprints
 from .media import op8_media_columns
+from .packing import op7_retrieval_packing
 from .quality import op9_quality_classifier
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op6_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_retrieval_packing": op7_retrieval_packing,
     "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_warc_revisits": op10_warc_revisits,
