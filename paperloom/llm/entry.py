@@ -7,6 +7,7 @@ from .cws import op2_document_fingerprints
 from .media import op8_media_columns
 from .packing import op7_retrieval_packing
 from .quality import op9_quality_classifier
+from .repeats import op4_suffix_array_dedup
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op6_token_counts
 from .warc import op10_warc_revisits
@@ -14,6 +15,7 @@ from .warc import op10_warc_revisits
 QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_retrieval_packing": op7_retrieval_packing,
