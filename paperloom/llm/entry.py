@@ -11,10 +11,12 @@ from .repeats import op4_suffix_array_dedup
 from .simhash import op5_simhash_near_dedup
 from .token_counts import op6_token_counts
 from .warc import op10_warc_revisits
+from .word_table import op3_bpe_word_table
 
 QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_bpe_word_table": op3_bpe_word_table,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
