@@ -1,14 +1,63 @@
-"""A corpus pipeline: quality classifier, near-duplicates, repeated passages, packing."""
+"""A corpus pipeline: quality classifier, near-duplicates, repeated passages, packing.
+
+Every stage takes (spark, docs, sf_dir), docs with the columns of documents, and all but the last return
+those columns again. Rows without doc_id or text, repeated rows and empty tables pass as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from paperloom.llm.common import cut_lineage
+from paperloom.llm.packing import pack
+from paperloom.llm.quality import resample
+from paperloom.llm.repeats import remove_repeats
+from paperloom.llm.simhash import near_duplicates
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling draws."""
+    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest doc_id; rows that share a doc_id count as one document, whose least text stays."""
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return rows.withColumn("__row", first).where("__row = 1").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 200 bytes that also start elsewhere; n_chars follows."""
+    cut = remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", drop_low_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeated_passages),
+    ("packing", pack_windows),
+]
 
-STAGES: list[tuple[str, Callable]] = []
+#: SQL can express neither the models, fingerprints nor tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut_lineage(docs)
+    return docs

@@ -330,7 +330,7 @@ def _cut_out(columns: int):
     return run
 
 
-def _removed(names: list[str]):
+def _removed(names: list[str], as_text: bool):
     def run(batches):
         for batch in batches:
             k = len(names)
@@ -350,13 +350,13 @@ def _removed(names: list[str]):
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(text[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, most: int = GROUP) -> DataFrame:
-    """docs without text, with n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) -> DataFrame:
+    """docs without text, with n_bytes, n_removed, n_spans and kept: the remaining bytes, or as text without the parts of characters that a cut leaves."""
     spark = docs.sparkSession
     small_batches(spark)
     names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept")]
@@ -385,7 +385,7 @@ def remove_repeats(docs: DataFrame, most: int = GROUP) -> DataFrame:
     found = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     joined = keyed.join(found.hint("shuffle_merge"), ["k1", "k2"], "left").select(*names, "k1", "k2", "text", "ranges")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return joined.mapInArrow(_removed(names), f"{out}{', ' if out else ''}n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(_removed(names, as_text), f"{out}{', ' if out else ''}n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
