@@ -157,8 +157,8 @@ def fix_degrees(text: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """FN-23."""
-    scaled = lambda k, unit: F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))
+    """FN-23: ties go to the even digit."""
+    scaled = lambda k, unit: F.concat(F.format_string("%.1f", F.bround(n / float(1024**k), 1)), F.lit(f" {unit}"))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
@@ -214,7 +214,8 @@ def readable_ratio(text: Column) -> Column:
 
 def devanagari_marks(text: Column) -> Column:
     """AG-07: vowel signs, and those that no letter or sign comes before."""
-    return F.struct(F.regexp_count(text, F.lit("[ा-्ंँ]")).alias("marks"), F.regexp_count(text, F.lit("(?<![अ-हक़-य़ा-्])[ा-्ंँ]")).alias("orphans"))
+    signs = r"ा-्ंँ"
+    return F.struct(F.regexp_count(text, F.lit(f"[{signs}]")).alias("marks"), F.regexp_count(text, F.lit(rf"(?<![अ-हक़-य़ा-्])[{signs}]")).alias("orphans"))
 
 
 # Advance widths of a serif face in thousandths of an em, by groups of characters.
