@@ -1 +1,91 @@
-"""To come."""
+"""Layout queries, over boxes and pieces made from events and parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import layout as L
+from .registry import query, table
+
+
+@query(
+    "width_per_line",
+    """WITH w AS (SELECT p_partkey, p_name, length(p_name) AS n, length(regexp_replace(p_name, '[^iljtfrI.,;:''!|()\\[\\] ]', '', 'g')) AS narrow, length(regexp_replace(p_name, '[^mwMWQO@%]', '', 'g')) AS wide FROM part),
+    t AS (SELECT *, round((narrow * 300 + wide * 850 + (n - narrow - wide) * 520) * 0.22, 2) AS width FROM w)
+    SELECT p_partkey, width, CASE WHEN n <= 23 AND width <= 2400 THEN 4 WHEN p_partkey % 4 = 3 AND n <= 29 AND width <= 3240 THEN 3 WHEN n <= 46 AND width <= 4920 THEN 2 ELSE 1 END AS per_line FROM t""",
+)
+def width_per_line(spark, d):
+    """FN-20, LAY-08, AG-18."""
+    rows = table(spark, d, "part").select("p_partkey", F.round(T.text_width(F.col("p_name")), 2).alias("width"), F.char_length("p_name").alias("n"))
+    return rows.select("p_partkey", "width", T.options_per_line((F.col("p_partkey") % 4), F.col("n"), F.col("width")).alias("per_line"))
+
+
+@query("image_sizes", "SELECT p_partkey, CAST(floor(w * least(1.0, 500.0 / w) + 0.5) AS BIGINT) AS w, CAST(floor(h * least(1.0, 500.0 / w) + 0.5) AS BIGINT) AS h FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 150.0 ELSE CAST(p_size AS DOUBLE) * 16 * 4 / 3 END AS w, CAST(p_size AS DOUBLE) * 9 * 4 / 3 AS h FROM part)")
+def image_sizes(spark, d):
+    """FN-21, FN-22."""
+    size = T.image_size(F.when(F.col("p_partkey") % 5 != 0, F.col("p_size").cast("double") * 16), F.col("p_size").cast("double") * 9)
+    return table(spark, d, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.w", "s.h")
+
+
+_PIECES = "SELECT event_id, user_id AS page, CAST(event_id * 37 % 400 AS DOUBLE) AS x0, CAST(event_id * 53 % 700 AS DOUBLE) AS y0, CAST(event_id * 37 % 400 + 40 AS DOUBLE) AS x1, CAST(event_id * 53 % 700 + 10 AS DOUBLE) AS y1, event_type AS text FROM events"
+_BOXES = "SELECT DISTINCT user_id AS page, 100.0 AS x0, 200.0 AS y0, 300.0 AS x1, 500.0 AS y1 FROM events WHERE user_id % 2 = 0"
+
+
+def pieces(spark, d):
+    e = F.col("event_id")
+    x, y = (e * 37 % 400).cast("double"), (e * 53 % 700).cast("double")
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("page"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 10).alias("y1"), F.col("event_type").alias("text"))
+
+
+@query(
+    "bbox_anti",
+    f"""WITH p AS ({_PIECES}), b AS ({_BOXES}) SELECT event_id FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = p.page AND least(p.x1, b.x1) > greatest(p.x0, b.x0) AND least(p.y1, b.y1) > greatest(p.y0, b.y0)
+    AND (least(p.x1, b.x1) - greatest(p.x0, b.x0)) * (least(p.y1, b.y1) - greatest(p.y0, b.y0)) > 200)""",
+)
+def bbox_anti(spark, d):
+    """JN-08."""
+    boxes = table(spark, d, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("page")).distinct().select("page", F.lit(100.0).alias("x0"), F.lit(200.0).alias("y0"), F.lit(300.0).alias("x1"), F.lit(500.0).alias("y1"))
+    return L.outside_boxes(pieces(spark, d), boxes, "page").select("event_id")
+
+
+@query("page_numbers", f"SELECT event_id FROM ({_PIECES}) WHERE NOT (event_id % 3 = 0 AND (y0 < 50 OR y1 > 750))")
+def page_numbers(spark, d):
+    """FLT-06."""
+    rows = pieces(spark, d).withColumn("text", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Page "), (F.col("event_id") % 90 + 1).cast("string"))).otherwise(F.col("text")))
+    return L.without_page_numbers(rows, F.lit(800.0)).select("event_id")
+
+
+@query("row_group")
+def row_group(spark, d):
+    """WN-05: anchored on a row's first piece, which takes a recursion in SQL; tests compare with a loop."""
+    return L.rows_of_pieces(pieces(spark, d), "page")
+
+
+@query("wrapped_lines")
+def wrapped_lines(spark, d):
+    """WN-07: each join decides the next; tests compare with a loop."""
+    return L.join_wrapped(L.rows_of_pieces(pieces(spark, d), "page"), "page", right=360.0, left=0.0)
+
+
+@query(
+    "stacked_fractions",
+    """WITH p AS (SELECT o_custkey AS page, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 10 AS DOUBLE) AS y0, CASE WHEN o_orderkey % 4 = 0 THEN 'x' ELSE CAST(o_orderkey % 10 AS VARCHAR) END AS text FROM orders),
+    o AS (SELECT *, coalesce(regexp_matches(text, '^[0-9]+$') AND regexp_matches(lead(text) OVER w, '^[0-9]+$'), false) AS over, lead(text) OVER w AS below FROM p WINDOW w AS (PARTITION BY page ORDER BY y0)),
+    t AS (SELECT *, coalesce(lag(over) OVER (PARTITION BY page ORDER BY y0), false) AS taken FROM o)
+    SELECT page, k, CASE WHEN over THEN text || '/' || below ELSE text END AS text FROM t WHERE NOT taken OR over""",
+)
+def stacked_fractions(spark, d):
+    """JN-09, WN-25."""
+    from pyspark.sql import Window
+
+    y = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) * 10.0
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("k"), y.alias("y0"), F.lit(10.0).alias("x0"), F.lit(16.0).alias("x1"), F.when(F.col("o_orderkey") % 4 == 0, "x").otherwise((F.col("o_orderkey") % 10).cast("string")).alias("text"))
+    return L.stacked_fractions(rows, "page").select("page", "k", "text")
+
+
+@query("table_candidates", "SELECT p_partkey FROM part WHERE p_size * 40.0 >= 400 AND 2 + p_partkey % 3 >= 2 AND p_partkey % 5 >= 2 AND p_size * 40.0 <= 0.35 * 5000 AND p_partkey % 7 >= greatest(2, floor((p_partkey % 5) / 2)) AND p_partkey % 200 <= 120")
+def table_candidates(spark, d):
+    """FLT-07."""
+    k = F.col("p_partkey")
+    return table(spark, d, "part").where(L.good_table(F.col("p_size") * 40.0, F.lit(5000.0), 2 + k % 3, k % 5, k % 7, k % 200)).select("p_partkey")
