@@ -41,6 +41,8 @@ SPREAD = LENGTH - GRAM + 1
 GROUP = 50_000
 BLOCK = 1 << 20
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Kinds of rows: to be judged, alone in its batch or not; and judged.
+ONE, MANY, SAME, OPEN, SPEAKER = -1, -2, 0, 1, 2
 
 
 def stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -75,20 +77,28 @@ def stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _anchors(batches):
+    """A row for each stretch. Of those that are equal within a batch one goes on as MANY to be judged, and the others are SAME at once, so a passage that half of all texts hold brings one row a batch."""
     for batch in batches:
         k1, k2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         raw, at = column_bytes(batch.column(2))
-        a, n = 0, len(at) - 1
+        a, n, parts = 0, len(at) - 1, []
         while a < n:
             b = min(n, max(a + 1, int(np.searchsorted(at, at[a] + BLOCK, "right")) - 1))
             own = at[a : b + 1] - at[a]
             text, anchor, low, high, gram, stretch = stretches(raw[at[a] : at[b]], own)
             place = ((low - own[text]) << 16) | ((anchor - low) << 8) | (high - low)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(k1[a:b][text]), pa.array(k2[a:b][text]), pa.array(place)], ["gram", "stretch", "k1", "k2", "place"])
+            parts.append((gram.view(np.int64), stretch.view(np.int64), k1[a:b][text], k2[a:b][text], place))
             a = b
+        if not parts:
+            continue
+        gram, stretch, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((stretch, gram))
+        g, s = gram[order], stretch[order]
+        again = np.concatenate([[False], (g[1:] == g[:-1]) & (s[1:] == s[:-1])]) if len(g) else np.zeros(0, bool)
+        kind = np.where(again, SAME, np.where(np.append(again[1:], False), MANY, ONE)).astype(np.int32) if len(g) else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), *(pa.array(x[order]) for x in rest), pa.array(kind)], ["gram", "stretch", "k1", "k2", "place", "kind"])
 
 
-SAME, OPEN, SPEAKER = 0, 1, 2
 
 
 def _judged(batches):
@@ -104,12 +114,12 @@ def _judged(batches):
         if rows < 0:
             continue
         held = [c[rows:] for c in columns]
-        gram, stretch, k1, k2, place = columns
+        gram, stretch, k1, k2, place, own = columns
         if not rows:
             continue
         same_gram = np.concatenate([[before is not None and before[0] == gram[0]], gram[1:] == gram[:-1]])
         goes_on = same_gram & np.concatenate([[before is not None and before[1] == stretch[0]], stretch[1:] == stretch[:-1]])
-        repeats = (goes_on | np.append(goes_on[1:], False))[:rows]
+        repeats = (goes_on | np.append(goes_on[1:], False) | (own == MANY))[:rows]
         head = np.flatnonzero(~goes_on[:rows])
         first = ~same_gram[head]
         followed = np.append(~first[1:], False) & first if len(head) else first
@@ -363,12 +373,14 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
     text = text_or_empty()
     key = F.col("doc_id").cast("string")
     keyed = docs.select(*names, F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(7), text, key).alias("k2"), text.alias("text"))
-    anchors = keyed.select("k1", "k2", "text").mapInArrow(_anchors, "gram long, stretch long, k1 long, k2 long, place long")
+    anchors = cut_lineage(keyed.select("k1", "k2", "text").mapInArrow(_anchors, "gram long, stretch long, k1 long, k2 long, place long, kind int"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    judged = cut_lineage(anchors.repartition("gram").sortWithinPartitions("gram", "stretch").mapInArrow(_judged, "gram long, k1 long, k2 long, place long, kind int"))
+    asked = anchors.where(F.col("kind") < SAME).repartition("gram").sortWithinPartitions("gram", "stretch")
+    judged = cut_lineage(asked.mapInArrow(_judged, "gram long, k1 long, k2 long, place long, kind int"))
     small_batches(spark)
     low, more = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFF)
-    ranges = judged.where(F.col("kind") == SAME).select("k1", "k2", low.alias("low"), (low + more).alias("high"))
+    same = judged.where(F.col("kind") == SAME).select("k1", "k2", "place").unionByName(anchors.where(F.col("kind") == SAME).select("k1", "k2", "place"))
+    ranges = same.select("k1", "k2", low.alias("low"), (low + more).alias("high"))
 
     open_ = judged.where(F.col("kind") != SAME)
     wanted = open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
