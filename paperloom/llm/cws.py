@@ -38,7 +38,7 @@ WORDS, WHOLE = 1 << 16, 1 << 14
 BLOCK, TERMS = 1 << 18, 1 << 14
 _UNIT = np.float32(2.0**-24)
 #: Rows of a range of doc_ids that one group of the sorted pass takes, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 class Sampler:
@@ -163,7 +163,7 @@ def in_ranges(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     bounds = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("x")).where("x is not null").approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     shared = F.array(*[F.lit(x) for x in bounds]) if bounds else None
     range_no = F.lit(0) if shared is None else F.coalesce(F.size(F.filter(shared, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    if len(bounds) > 64:  # a search in Python beats comparing with every bound
+    if len(bounds) > 512:  # a search in Python beats comparing with every bound
         values = spark.sparkContext.broadcast(bounds)
 
         def search(batches):
