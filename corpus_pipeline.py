@@ -27,15 +27,17 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest doc_id; rows that share a doc_id count as one document, whose least text stays."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return rows.withColumn("__row", first).where("__row = 1").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 200 bytes that also start elsewhere; n_chars follows."""
-    cut = remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = remove_repeats(docs.select("doc_id", "text", *(F.col(c).alias(f"other{k}") for k, c in enumerate(other))), as_text=True)
+    back = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col(f"other{k}") for k, c in enumerate(other)} | ({"n_chars": F.char_length("kept").cast("long")} if "n_chars" in other else {})
+    return cut.select(*(back[c].alias(c) for c in docs.columns))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytebpe import hash_spans
 from .common import column_bytes, small_batches, text_or_empty
@@ -203,7 +204,7 @@ def weighted(docs: DataFrame, model: Model) -> DataFrame:
             weight = shared.value.weight(*shared.value.score(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight)], [*kept, "log_weight"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields) + ", log_weight double"
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("log_weight", T.DoubleType())])
     out = rows.mapInArrow(run, schema)
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     return out.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(draw)))

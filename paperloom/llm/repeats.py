@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytebpe import _BYTES, hash_spans, mixed, powers
 from .common import column_bytes, cut_lineage, pieces, small_batches, text_or_empty
@@ -317,35 +318,30 @@ def _window_hashes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(low[row] + start - at[:-1][row])], ["w1", "w2", "k1", "k2", "low"])
 
 
-def _cut_out(columns: int):
+def _cut_out(batches):
     """From documents with lists of anchors' places: the stretches' bytes."""
-
-    def run(batches):
-        for batch in batches:
-            raw, at = column_bytes(batch.column(columns + 2))
-            lists = batch.column(columns + 3)
-            ends = lists.offsets.to_numpy()
-            size = np.diff(ends)
-            flat = lists.values.slice(ends[0], ends[-1] - ends[0])
-            place, gram = np.asarray(flat.field("place")), np.asarray(flat.field("gram"))
-            doc = np.repeat(np.arange(len(batch)), size)
-            low, _, more = _unpack(place)
-            count = more + LENGTH
-            data = raw[pieces(at[:-1][doc] + low, count)]
-            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            body = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            k1, k2 = np.asarray(batch.column(columns))[doc], np.asarray(batch.column(columns + 1))[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(k1), pa.array(k2), pa.array(place), body], ["gram", "k1", "k2", "place", "body"])
-
-    return run
+    for batch in batches:
+        raw, at = column_bytes(batch.column(3))
+        lists = batch.column(4)
+        ends = lists.offsets.to_numpy()
+        size = np.diff(ends)
+        flat = lists.values.slice(ends[0], ends[-1] - ends[0])
+        place, gram = np.asarray(flat.field("place")), np.asarray(flat.field("gram"))
+        doc = np.repeat(np.arange(len(batch)), size)
+        low, _, more = _unpack(place)
+        count = more + LENGTH
+        data = raw[pieces(at[:-1][doc] + low, count)]
+        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        body = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        k1, k2 = np.asarray(batch.column(1))[doc], np.asarray(batch.column(2))[doc]
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(k1), pa.array(k2), pa.array(place), body], ["gram", "k1", "k2", "place", "body"])
 
 
-def _removed(names: list[str], as_text: bool):
+def _removed(as_text: bool):
     def run(batches):
         for batch in batches:
-            k = len(names)
-            raw, at = column_bytes(batch.column(k + 2))
-            lists = batch.column(k + 3).to_pylist()
+            raw, at = column_bytes(batch.column(1))
+            lists = batch.column(2).to_pylist()
             removed, spans, kept = [], [], []
             for i, ranges in enumerate(lists):
                 text = raw[at[i] : at[i + 1]]
@@ -360,7 +356,7 @@ def _removed(names: list[str], as_text: bool):
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 kept.append(text[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -372,7 +368,8 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
     names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept")]
     text = text_or_empty()
     key = F.col("doc_id").cast("string")
-    keyed = docs.select(*names, F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(7), text, key).alias("k2"), text.alias("text"))
+    row = F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))  # other columns ride along under names of our own
+    keyed = docs.select(row.alias("row"), F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(7), text, key).alias("k2"), text.alias("text"))
     anchors = cut_lineage(keyed.select("k1", "k2", "text").mapInArrow(_anchors, "gram long, stretch long, k1 long, k2 long, place long, kind int"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     asked = anchors.where(F.col("kind") < SAME).repartition("gram").sortWithinPartitions("gram", "stretch")
@@ -385,7 +382,7 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
     open_ = judged.where(F.col("kind") != SAME)
     wanted = open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
     schema = "gram long, k1 long, k2 long, place long, body binary"
-    bodies = keyed.join(wanted.hint("shuffle_merge"), ["k1", "k2"]).select(*names, "k1", "k2", "text", "places").mapInArrow(_cut_out(len(names)), schema)
+    bodies = keyed.join(wanted.hint("shuffle_merge"), ["k1", "k2"]).select("row", "k1", "k2", "text", "places").mapInArrow(_cut_out, schema)
     hot = [r.gram for r in open_.groupBy("gram").count().where(F.col("count") > most).select("gram").limit(10_001).collect()]
     if hot:
         rare = ~F.col("gram").isin(hot) if len(hot) <= 10_000 else F.lit(False)
@@ -395,9 +392,10 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
         bodies = bodies.where(rare)
     ranges = ranges.unionByName(bodies.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, RANGE))
     found = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    joined = keyed.join(found.hint("shuffle_merge"), ["k1", "k2"], "left").select(*names, "k1", "k2", "text", "ranges")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return joined.mapInArrow(_removed(names, as_text), f"{out}{', ' if out else ''}n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    joined = keyed.join(found.hint("shuffle_merge"), ["k1", "k2"], "left").select("row", "text", "ranges")
+    kinds = [("row", keyed.schema["row"].dataType), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.StringType() if as_text else T.BinaryType())]
+    out = joined.mapInArrow(_removed(as_text), T.StructType([T.StructField(name, kind) for name, kind in kinds]))
+    return out.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytebpe import LONG, ByteBpe, Encoder, Table, hash_spans, heads
 from .common import column_bytes, small_batches, text_or_empty
@@ -93,7 +94,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LI
 
     names = [*keep, "n_bytes", "n_tokens", "over_limit"]
     rows = docs.select(*keep, text_or_empty(text).alias(text))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_bytes long", "n_tokens long", "over_limit boolean"])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     return rows.mapInArrow(run, schema)
 
 

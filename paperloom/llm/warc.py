@@ -42,7 +42,7 @@ def _base32(hex_digest):
 
 def with_digest(pages: DataFrame, key: str, payload: str, date: str) -> DataFrame:
     body = text_or_empty(payload)
-    return pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("payload"), F.lit(date).alias("date")).select(
+    return pages.select(F.col(key).cast("long").alias("id"), (F.coalesce(F.col("url").cast("string"), F.lit("")) if "url" in pages.columns else F.lit("")).alias("url"), body.alias("payload"), F.lit(date).alias("date")).select(
         "id", "url", "date", "payload", F.octet_length("payload").cast("long").alias("size"), F.sha1(F.col("payload").cast("binary")).alias("sha1")
     )
 
