@@ -3,9 +3,10 @@
 Two generative models over hashed n-grams are set against each other: one of target text (labelled good and
 not toxic, from a bounded sample of labelled rows) and one of raw text (all documents). A document's log
 importance is the ratio of the two models for it, in two readings: which words it has at all (a Bernoulli
-model, in which only clear depletion counts: smoothing by the raw model and a soft threshold), and the mean
-ratio of its words and word pairs (a multinomial model, free of length). Each is centred on the cut that
-separates labelled rows outside the target sample best; the weight is the lesser of the two. Gumbel top-k
+model, in which only clear depletion counts: smoothing by the raw model, then either a soft threshold or, with
+enough rows, only words that target text has far fewer of than chance allows, whichever does better on held-out
+rows), and the mean ratio of its words and word pairs (a multinomial model, free of length). Each is centred on
+the cut that separates labelled rows outside the target sample best; the weight is the lesser of the two. Gumbel top-k
 then draws k documents without replacement, with k the expected number of target documents: those of positive weight.
 
 Defined cases: null or empty text has neutral ratios; rows that repeat share the draw of their doc_id and
@@ -29,9 +30,12 @@ from .common import column_bytes, small_batches, text_or_empty
 LABELLED = 50_000
 WORD_BITS, PAIR_BITS = 18, 16
 SMOOTH, SOFT = 3.0, 0.7
+#: Standard deviations below the expected count from which a word counts as depleted; clean rows that a cut may lose, and what losing them weighs.
+DEPLETED = 4.0
+LOST, LOST_WEIGHT = 0.03, 3.0
 CHUNK = 1024
 #: Noise of the draw against a weight in units of the classes' spread.
-SHARPNESS = 8.0
+SHARPNESS = 200.0
 BLOCK = 1 << 20
 KINDS = {"has": WORD_BITS, "word": PAIR_BITS, "pair": PAIR_BITS}
 
@@ -121,35 +125,48 @@ class Model:
         for kind in KINDS:
             raw, target = full[f"{kind}0"], full[f"{kind}1"]
             share = target_rows / max(raw_rows, 1) if kind == "has" else target.sum() / max(raw.sum(), 1)
-            ratio = np.log((target + SMOOTH) / (raw * share + SMOOTH))
-            self.ratio[kind] = (np.sign(ratio) * np.maximum(0, np.abs(ratio) - SOFT) if kind == "has" else ratio).astype(np.float32)
+            expected = raw * share
+            ratio = np.log((target + SMOOTH) / (expected + SMOOTH))
+            self.ratio[kind] = ratio.astype(np.float32)
+            if kind == "has":
+                self.ratio["soft"] = (np.sign(ratio) * np.maximum(0, np.abs(ratio) - SOFT)).astype(np.float32)
+                self.ratio["depleted"] = np.where(expected - target > DEPLETED * np.sqrt(expected + 0.5), np.log((target + 1) / (expected + 1)), 0).astype(np.float32)
+        self.use = "soft"
         self.cuts = {"has": (-np.inf, 1.0), "mean": (-np.inf, 1.0)}
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Log ratio of the words it has, and the mean log ratio of its words and pairs."""
-        has, mean = np.zeros(len(column)), np.zeros(len(column))
+    def readings(self, column: pa.Array) -> dict[str, np.ndarray]:
+        """Both log ratios of the words that each text has, and the mean log ratio of its words and pairs."""
+        out = {k: np.zeros(len(column)) for k in ("soft", "depleted", "mean")}
         for a, b, raw, at in blocks(column):
             n, found = b - a, ngrams(raw, at)
-            sums = {k: np.bincount(doc, self.ratio[k][bucket], n) for k, (doc, bucket) in found.items()}
+            doc, bucket = found["has"]
+            for k in ("soft", "depleted"):
+                out[k][a:b] = np.bincount(doc, self.ratio[k][bucket], n)
+            sums = sum(np.bincount(found[k][0], self.ratio[k][found[k][1]], n) for k in ("word", "pair"))
             size = np.bincount(found["word"][0], minlength=n) + np.bincount(found["pair"][0], minlength=n)
-            has[a:b], mean[a:b] = sums["has"], (sums["word"] + sums["pair"]) / np.maximum(size, 1)
-        return has, mean
+            out["mean"][a:b] = sums / np.maximum(size, 1)
+        return out
+
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        read = self.readings(column)
+        return read[self.use], read["mean"]
 
     def weight(self, has: np.ndarray, mean: np.ndarray) -> np.ndarray:
         each = [SHARPNESS * np.where(np.isinf(cut), np.inf, (x - (0 if np.isinf(cut) else cut)) / spread) for x, (cut, spread) in ((has, self.cuts["has"]), (mean, self.cuts["mean"]))]
         return np.minimum(np.minimum(*each), 1e3)
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """The cut with the best balanced accuracy that rejects at most a twentieth of good rows, and half the distance of the medians."""
+def best_cut(good: np.ndarray, bad: np.ndarray) -> tuple[float, float, float]:
+    """The cut that catches most bad rows for what it loses of good ones, half the distance of the medians, and the cut's value."""
     if not len(good) or not len(bad):
-        return -np.inf, 1.0
+        return -np.inf, 1.0, 0.0
     cuts = np.unique(np.concatenate([np.quantile(bad, np.linspace(0, 1, 401)), np.quantile(good, np.linspace(0, 0.2, 201))]))
     cuts = np.concatenate([[cuts[0] - 1e-9], (cuts[1:] + cuts[:-1]) / 2])
     lost = np.searchsorted(np.sort(good), cuts) / len(good)
     caught = np.searchsorted(np.sort(bad), cuts) / len(bad)
-    value = np.where(lost <= 0.05, caught - lost, -1)
-    return float(cuts[int(np.argmax(value))]), max(1e-6, abs(float(np.median(good) - np.median(bad))) / 2)
+    value = np.where(lost <= LOST, caught - LOST_WEIGHT * lost, -1)
+    best = int(np.argmax(value))
+    return float(cuts[best]), max(1e-6, abs(float(np.median(good) - np.median(bad))) / 2), float(value[best])
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -180,14 +197,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
 
         def scores(batches):
             for batch in batches:
-                has, mean = shared.value.score(batch.column(0))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(has), pa.array(mean)], ["label_class", "has", "mean"])
+                read = shared.value.readings(batch.column(0))
+                yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, read.values())], ["label_class", *read])
 
-        held = rows.where("not label_fit").select("text", "label_class").mapInArrow(scores, "label_class int, has double, mean double").toPandas()
+        held = rows.where("not label_fit").select("text", "label_class").mapInArrow(scores, "label_class int, soft double, depleted double, mean double").toPandas()
     finally:
         sample.unpersist()
-    good = held[held.label_class == 0]
-    model.cuts = {"has": best_cut(good.has.values, held[held.label_class == 2].has.values), "mean": best_cut(good["mean"].values, held[held.label_class == 1]["mean"].values)}
+    good, low, toxic = (held[held.label_class == k] for k in range(3))
+    cuts = {k: best_cut(good[k].values, toxic[k].values) for k in ("soft", "depleted")}
+    model.use = max(cuts, key=lambda k: cuts[k][2])
+    model.cuts = {"has": cuts[model.use][:2], "mean": best_cut(good["mean"].values, low["mean"].values)[:2]}
     return model
 
 
