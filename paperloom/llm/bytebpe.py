@@ -302,10 +302,24 @@ class Encoder:
             if self.bpe.has_special(part):
                 out[a:b] = [self._count_one(part[at[k] : at[k + 1]]) for k in range(b - a)]
                 continue
+            if len(cuts := self._cuts(part)) > 2:
+                out[a] = sum(int(self._sizes(self.lookup(part[x:y], np.array([0, y - x]))[0]).sum()) for x, y in zip(cuts, cuts[1:], strict=False))
+                continue
             entry, _, before = self.lookup(part, at)
             out[a:b] = self._sums(self._sizes(entry), before)
         return out
 
+    @staticmethod
+    def _cuts(part: np.ndarray) -> list[int]:
+        """Bounds of parts of about 4 BLOCK bytes of a long text, before blanks between two letters, where a pre-token always begins."""
+        cuts, step = [0], 4 * BLOCK
+        while len(part) - cuts[-1] > 2 * step:
+            near = part[cuts[-1] + step : cuts[-1] + 2 * step]
+            letter = ((near | 32) >= 97) & ((near | 32) <= 122)
+            found = np.flatnonzero((near[1:-1] == 0x20) & letter[:-2] & letter[2:])
+            cuts.append(cuts[-1] + step + 1 + int(found[0]) if len(found) else len(part))
+        return cuts if cuts[-1] == len(part) else [*cuts, len(part)]
+
     def _count_one(self, part: np.ndarray) -> int:
         if self.bpe.has_special(part):
             return len(self.bpe.encode_text(part.tobytes()))
@@ -328,6 +342,9 @@ class Encoder:
             if self.bpe.has_special(part):
                 each = [self._ids_one(part[at[k] : at[k + 1]]) for k in range(b - a)]
                 yield a, b, np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            elif len(cuts := self._cuts(part)) > 2:
+                ids = np.concatenate([self._ids_block(part[x:y], np.array([0, y - x]))[0] for x, y in zip(cuts, cuts[1:], strict=False)])
+                yield a, b, ids, np.array([0, len(ids)])
             else:
                 yield a, b, *self._ids_block(part, at)
 

@@ -77,19 +77,29 @@ def stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], a, low, high, gram[a], stretch
 
 
+def _blocks(at: np.ndarray):
+    """(first text, end, first byte, offsets) of runs of texts of about BLOCK bytes; a longer text comes in parts that overlap by a window less one, so each window lies in one."""
+    a, n = 0, len(at) - 1
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(at, at[a] + BLOCK, "right")) - 1))
+        if b == a + 1 and at[b] - at[a] > 2 * BLOCK:
+            for start in range(int(at[a]), int(at[b]) - LENGTH + 1, BLOCK):
+                yield a, b, start, np.array([0, min(BLOCK + LENGTH - 1, int(at[b]) - start)])
+        else:
+            yield a, b, int(at[a]), at[a : b + 1] - at[a]
+        a = b
+
+
 def _anchors(batches):
     """A row for each stretch. Of those that are equal within a batch one goes on as MANY to be judged, and the others are SAME at once, so a passage that half of all texts hold brings one row a batch."""
     for batch in batches:
         k1, k2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         raw, at = column_bytes(batch.column(2))
-        a, n, parts = 0, len(at) - 1, []
-        while a < n:
-            b = min(n, max(a + 1, int(np.searchsorted(at, at[a] + BLOCK, "right")) - 1))
-            own = at[a : b + 1] - at[a]
-            text, anchor, low, high, gram, stretch = stretches(raw[at[a] : at[b]], own)
-            place = ((low - own[text]) << 16) | ((anchor - low) << 8) | (high - low)
+        parts = []
+        for a, b, start, own in _blocks(at):
+            text, anchor, low, high, gram, stretch = stretches(raw[start : start + own[-1]], own)
+            place = ((low - own[text] + (start - at[a])) << 16) | ((anchor - low) << 8) | (high - low)
             parts.append((gram.view(np.int64), stretch.view(np.int64), k1[a:b][text], k2[a:b][text], place))
-            a = b
         if not parts:
             continue
         gram, stretch, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))

@@ -56,6 +56,30 @@ def test_split_as_the_library(spark):
     assert encoder.counts(raw, at).tolist() == [len(x) for x in got]
 
 
+def test_long_texts_come_in_parts(monkeypatch):
+    from paperloom.llm import bytebpe
+
+    monkeypatch.setattr(bytebpe, "BLOCK", 64)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["ab", " c", "  ", "1", "'s", " é", ".", " word"], k=2000)), "x" * 5000, "a b"]
+    encoder = Encoder(BPE)
+    raw, at = column_bytes(pa.array(texts))
+    assert encoder.counts(raw, at).tolist() == [len(tokens(t)) for t in texts]
+    got = [ids[before[k - a] : before[k - a + 1]].tolist() for a, b, ids, before in encoder.ids(raw, at) for k in range(a, b)]
+    assert got == [tokens(t) for t in texts]
+
+
+def test_op4_long_texts_come_in_parts(monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 300)
+    rng = random.Random(8)
+    raw = np.frombuffer("".join(rng.choices("abcd ", k=3000)).encode(), np.uint8)
+    windows = []
+    for _, _, start, own in repeats._blocks(np.array([0, 100, 2900, 3000])):
+        _, _, low, high, _, _ = repeats.stretches(raw[start : start + own[-1]], own)
+        windows += [start + w for a, b in zip(low, high, strict=True) for w in range(a, b + 1)]
+    assert sorted(windows) == list(range(100, 2900 - 199))
+
+
 def test_vocabulary_encodes_to_itself():
     encoder = Encoder(BPE)
     words = [w for w in encoder.bpe.vocabulary[:20_000:7] if w and w.decode("utf-8", "ignore").encode() == w]
