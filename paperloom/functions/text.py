@@ -72,7 +72,7 @@ def exam_code(text: Column) -> Column:
 
 
 def exam_name(code: Column, session: Column) -> Column:
-    """FN-07."""
+    """FN-07, JN-17."""
     name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EXAM_NAMES.items() for x in kv]), code), F.lit("EXAMINATION"))
     return F.concat(name, F.when(F.coalesce(session, F.lit("")) != "", F.concat(F.lit(" – "), F.regexp_replace(session, r"^(\d{4})-(\d{2})$", "$1-20$2"))).otherwise(""))
 

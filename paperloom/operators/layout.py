@@ -44,7 +44,7 @@ def rows_of_pieces(pieces: DataFrame, page: str) -> DataFrame:
         part = F.struct(p.x0.cast("double").alias("x0"), p.x1.cast("double").alias("x1"), p.y1.cast("double").alias("y1"), p.text.alias("text"))
         last = F.try_element_at(acc, F.lit(-1))
         fits = F.coalesce(F.abs(last["anchor"] - p.y0) <= ROW_TOLERANCE, F.lit(False))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["anchor"].alias("anchor"), F.concat(last["parts"], F.array(part)).alias("parts"))))
+        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["anchor"].alias("anchor"), F.concat(last["parts"], F.array(part)).alias("parts"))))
         return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(p.y0.cast("double").alias("anchor"), F.array(part).alias("parts")))))
 
     rows = ordered.select(page, F.posexplode(F.aggregate("ps", start, step)).alias("row_no", "r")).select(page, "row_no", F.col("r.anchor").alias("y0"), F.array_sort("r.parts").alias("parts"))
@@ -68,7 +68,7 @@ def join_wrapped(rows: DataFrame, page: str, right: float, left: float) -> DataF
         wrapped = (last["x1"] >= right) & ~r.text.rlike(LABEL) & ~last["text"].rlike(NO_JOIN_AFTER) & (close < 6) & (r.x0 - last["x0"]).between(-12, 24) & (last["x0"] - left < 60) & ~last["text"].rlike(r"\d\s*M\s*$")
         joined = F.struct(last["x0"].alias("x0"), F.when(mark, last["x1"]).otherwise(F.greatest(last["x1"], r.x1)).alias("x1"), r.y1.alias("y1"), F.concat(last["text"], F.when(mark, "\t").otherwise(" "), r.text).alias("text"))
         new = F.struct(r.x0.alias("x0"), r.x1.alias("x1"), r.y1.alias("y1"), r.text.alias("text"))
-        return F.when(F.coalesce(mark | wrapped, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(new)))
+        return F.when(F.coalesce(mark | wrapped, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(new)))
 
     return ordered.select(page, F.posexplode(F.aggregate("rs", start, step)).alias("line_no", "l")).select(page, "line_no", "l.text")
 

@@ -106,3 +106,42 @@ def new_uploads(rows: DataFrame, listing: DataFrame, folder: str, name: str) ->
     """SNK-01, SNK-02: rows to file, and those refused because the folder holds the name."""
     held = listing.select(folder, name).distinct()
     return rows.join(held, [folder, name], "left_anti"), rows.join(held, [folder, name], "left_semi")
+
+
+def side_by_side(images: DataFrame, page: str) -> DataFrame:
+    """WN-17: pictures in reading order whose heights overlap the group's first by more than five points share a group."""
+    item = F.struct("y0", "x0", "y1", "id")
+    ordered = images.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    start = F.array().cast("array<struct<y0:double,y1:double,ids:array<bigint>>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        fits = (F.size(acc) > 0) & (F.least(last["y1"], x.y1) - F.greatest(last["y0"], x.y0) > 5)
+        grown = F.array(F.struct(last["y0"].alias("y0"), last["y1"].alias("y1"), F.concat(last["ids"], F.array(x.id)).alias("ids")))
+        new = F.array(F.struct(x.y0.alias("y0"), x.y1.alias("y1"), F.array(x.id).alias("ids")))
+        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.concat(acc, new))
+
+    return ordered.select(page, F.posexplode(F.aggregate("xs", start, step)).alias("group_no", "g")).select(page, "group_no", "g.ids")
+
+
+def shown_and_rest(lines: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """SRT-05: the first lines of each report, and one more that says how many are left."""
+    w = Window.partitionBy(key)
+    ranked = lines.withColumns({"__no": F.row_number().over(w.orderBy(order)), "__n": F.count("*").over(w)})
+    rest = F.concat((F.col("__n") - most).cast("string"), F.lit(" more"))
+    return ranked.where(F.col("__no") <= most + 1).select(key, F.col("__no").alias("no"), F.when(F.col("__no") <= most, F.col("line")).otherwise(rest).alias("line"))
+
+
+def part_marks_rules(q: DataFrame) -> list[tuple[str, str, Column, Column, bool]]:
+    """R06-R08 over questions with subs, subs_marked, has_or, or_mark, and sections' stated and found counts."""
+    lit = F.lit
+    return [
+        ("R06", "marks", F.coalesce(F.col("stated") != F.col("found"), lit(False)), F.concat(lit("heading says "), F.col("stated").cast("string"), lit(" questions, paper has "), F.col("found").cast("string")), False),
+        ("R07", "marks", (F.col("subs_marked") > 0) & (F.col("subs_marked") < F.col("subs")) & ~F.col("has_or"), lit("mark shown on some parts only"), False),
+        ("R08", "marks", F.col("has_or") & F.col("or_mark").isNotNull(), lit("the mark sits on the OR line"), False),
+    ]
+
+
+def fragment(text: Column, following: Column) -> Column:
+    """FN-19: a line that stays open and is followed by one that starts small was broken by hand."""
+    return text.rlike(r"[A-Za-z,;]$") & ~text.rlike(r"[.?!:]$") & following.rlike("^[a-z]")

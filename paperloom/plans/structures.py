@@ -139,3 +139,55 @@ def docx_round_trip(spark, d):
     )
     blocks = read_blocks(to_docx(plan).select(F.col("paper_id").alias("path"), "content"))
     return blocks.groupBy("paper_id").agg(F.count("*").cast("int").alias("paragraphs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+@query("only_named", "SELECT o_orderkey FROM orders WHERE 'paper' || o_custkey = 'paper7'")
+def only_named(spark, d):
+    """FLT-02."""
+    return table(spark, d, "orders").where(F.concat(F.lit("paper"), F.col("o_custkey").cast("string")) == "paper7").select("o_orderkey")
+
+
+@query("side_by_side")
+def side_by_side(spark, d):
+    """WN-17: groups hang on their first picture; tests compare with a loop."""
+    from .layouts import pieces
+
+    return S.side_by_side(pieces(spark, d).select("page", "x0", "y0", "y1", F.col("event_id").alias("id")), "page")
+
+
+@query("shown_and_rest", "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, CAST(no AS INT) AS no, CASE WHEN no <= 10 THEN event_type ELSE (n - 10) || ' more' END AS line FROM r WHERE no <= 11")
+def shown_and_rest(spark, d):
+    """SRT-05."""
+    return S.shown_and_rest(table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("line")), "user_id", "event_id", 10)
+
+
+_PARTS = "SELECT p_partkey, p_partkey % 4 AS subs, p_partkey % 3 AS subs_marked, p_partkey % 5 = 0 AS has_or, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS or_mark, p_partkey % 7 AS stated, p_partkey % 6 AS found FROM part"
+
+
+@query(
+    "part_marks_findings",
+    f"""WITH q AS ({_PARTS}) SELECT p_partkey, 'R06' AS rule, 'heading says ' || stated || ' questions, paper has ' || found AS message FROM q WHERE stated <> found
+    UNION ALL SELECT p_partkey, 'R07', 'mark shown on some parts only' FROM q WHERE subs_marked > 0 AND subs_marked < subs AND NOT has_or UNION ALL SELECT p_partkey, 'R08', 'the mark sits on the OR line' FROM q WHERE has_or AND or_mark IS NOT NULL""",
+)
+def part_marks_findings(spark, d):
+    """R06-R08."""
+    k = F.col("p_partkey")
+    q = table(spark, d, "part").select("p_partkey", (k % 4).alias("subs"), (k % 3).alias("subs_marked"), (k % 5 == 0).alias("has_or"), F.when(k % 2 == 0, F.col("p_size")).alias("or_mark"), (k % 7).alias("stated"), (k % 6).alias("found"))
+    return R.findings(q, "p_partkey", S.part_marks_rules(q)).select("p_partkey", "rule", "message")
+
+
+@query("broken_lines", "WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS no, unnest(s) AS line FROM (SELECT doc_id, string_split(text, ', ') AS s FROM documents)), n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY no) AS nx FROM l) SELECT doc_id, count(*) AS broken FROM n WHERE regexp_matches(line, '[A-Za-z,;]$') AND regexp_matches(nx, '^[a-z]') GROUP BY 1")
+def broken_lines(spark, d):
+    """FN-19."""
+    from pyspark.sql import Window
+
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", ", ")).alias("no", "line"))
+    nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("no"))
+    return lines.withColumn("nx", nxt).where(S.fragment(F.col("line"), F.col("nx"))).groupBy("doc_id").agg(F.count("*").alias("broken"))
+
+
+@query("conversion_stats", "SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS paragraphs, count(*) FILTER (WHERE event_type = 'click') AS images, count(*) FILTER (WHERE event_type = 'purchase') AS tables, count(DISTINCT event_id % 7) AS pages FROM events GROUP BY 1")
+def conversion_stats(spark, d):
+    """AG-20."""
+    kind = F.col("event_type")
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(kind == "view").alias("paragraphs"), F.count_if(kind == "click").alias("images"), F.count_if(kind == "purchase").alias("tables"), F.count_distinct(F.col("event_id") % 7).alias("pages"))

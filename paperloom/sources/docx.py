@@ -72,6 +72,7 @@ def _walk(node, out: list, images: list) -> None:
 
 
 def _paragraph(p) -> dict:
+    """SRC-15: text, alignment, weight, pictures and list level of a paragraph."""
     out, images = [], []
     _walk(p, out, images)
     props = p.find(f"{W}pPr")
@@ -86,6 +87,7 @@ def _paragraph(p) -> dict:
 
 
 def _body(node):
+    """SRC-16, SRC-17: paragraphs and tables in order, inside content controls too."""
     for x in node:
         if x.tag == f"{W}p":
             yield _paragraph(x)
@@ -97,7 +99,7 @@ def _body(node):
 
 
 def parse_docx(content: bytes) -> list[dict]:
-    """SRC-03: the blocks of one file."""
+    """SRC-03, SRC-07: the blocks of one file, with the page header's lines first where the body does not begin with them."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         if "word/document.xml" not in z.namelist():
             raise ValueError("not a Word document: word/document.xml is missing")
@@ -129,5 +131,5 @@ def _parse(batches):
 
 
 def read_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of binaryFile rows (path, content); a file that is no Word document gives one row of kind error."""
+    """SRC-02: blocks of binaryFile rows (path, content); a file that is no Word document gives one row of kind error."""
     return files.select("path", "content").mapInArrow(_parse, BLOCKS)

@@ -85,3 +85,19 @@ def test_wrapped_lines_join(spark):
     rows = spark.createDataFrame([(1, 0, 10.0, 0.0, 400.0, 10.0, "Explain why the"), (1, 1, 10.0, 12.0, 200.0, 22.0, "sky is blue"), (1, 2, 10.0, 24.0, 50.0, 30.0, "2M"), (1, 3, 10.0, 40.0, 90.0, 50.0, "2. Next")], "page int, row_no int, x0 double, y0 double, x1 double, y1 double, text string")
     got = [r.text for r in join_wrapped(rows, "page", right=380.0, left=0.0).orderBy("line_no").collect()]
     assert got == ["Explain why the sky is blue\t2M", "2. Next"]
+
+
+def test_side_by_side_by_a_loop(spark):
+    from paperloom.plans.layouts import pieces
+
+    got = {(r.page, r.group_no): list(r.ids) for r in registry.QUERIES["side_by_side"](spark, DIR).collect()}
+    want = {}
+    for page, group in pieces(spark, DIR).toPandas().sort_values(["y0", "x0", "y1", "event_id"]).groupby("page"):
+        groups = []
+        for p in group.itertuples():
+            if groups and min(groups[-1][1], p.y1) - max(groups[-1][0], p.y0) > 5:
+                groups[-1][2].append(p.event_id)
+            else:
+                groups.append((p.y0, p.y1, [p.event_id]))
+        want |= {(page, k): g[2] for k, g in enumerate(groups)}
+    assert got == want
