@@ -1,13 +1,14 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Words (pre-tokens) are split in tasks, which pass on each of their distinct words once with its count; every
-distinct word of the corpus is encoded once. The BROADCAST most frequent words go out as one compact table of
-bounded size. A document's other words are joined back by position: (document, position, word) meets the word
-table by word, and its ids return to the document. Decoding goes through the id-to-piece table of the
-vocabulary, whose size is fixed.
+Words (pre-tokens) are split in tasks, which pass on those of their distinct words that occur again, with their
+counts. The BROADCAST most frequent words of the corpus are encoded once and go out as one compact table of bounded
+size. Words that it lacks meet by word, each distinct one is encoded once there, and its ids go back to its
+documents, where they join the table's ids by position. Texts travel packed.
+Decoding goes through the id-to-piece table of the vocabulary, whose size is fixed.
 
 Defined cases: null text counts as empty; texts that hold an added token's string are encoded by the library
-as they are; equal rows have equal results; an empty table gives an empty result; further columns are ignored.
+as they are; equal rows have equal results; rows that share a doc_id share the dictionary of their rare words only;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,15 @@ from .common import column_bytes, cut_lineage, pieces, small_batches, text_or_em
 from .token_counts import block_words, known_table
 
 #: Words of the broadcast table at most: about 60 MB in each worker.
-BROADCAST = 1 << 19
+BROADCAST = 1 << 20
 #: Distinct words that a task holds before it passes them on.
-HELD = 1 << 18
+HELD = 1 << 19
 
 
 def _distinct(path: str):
     def flush(seen: dict):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        again = [(w, n) for w, n in seen.items() if n > 1]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in again], pa.binary()), pa.array([n for _, n in again], pa.int64())], ["word", "n"])
 
     def run(batches):
         encoder, seen = Encoder(path, cache=1), {}
@@ -52,42 +55,21 @@ def _distinct(path: str):
     return run
 
 
-def _encoded(path: str):
-    def run(batches):
-        merge = ByteBpe(path).merge
-        for batch in batches:
-            ids = [np.array(merge(w), "<u2").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
+def word_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(word, n): words that occur more than once in some task, with their counts there; written to the shared folder."""
+    small_batches(docs.sparkSession)
+    return cut_lineage(docs.select(text_or_empty().alias("text")).mapInArrow(_distinct(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
-    return run
 
-
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): every distinct word of all texts, how often it occurs, and its ids as little-endian 16-bit numbers; written to the shared folder."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    words = docs.select(text_or_empty().alias("text")).mapInArrow(_distinct(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    out = cut_lineage(words.mapInArrow(_encoded(path), "word binary, n long, ids binary"))
-    small_batches(spark)
-    return out
-
-
-def frequent_table(words: DataFrame, path: str, most: int) -> tuple[Table, bool]:
-    """The most frequent words as a table of at most so many entries, and whether that is all of them."""
-    total = words.count()
-    rows = words
-    if total > most:
-        # the count at which a bounded number of words remains, by a histogram of counts
-        counts = words.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-        kept, cut = 0, 10_001
-        for r in counts:
-            if kept + r["count"] > most:
-                break
-            kept, cut = kept + r["count"], r.n
-        rows = words.where(F.col("n") >= cut)
-    found = rows.select("word", "ids").toArrow()
-    return known_table(path, found.column(0).to_pylist(), [np.frombuffer(x, "<u2").tolist() for x in found.column(1).to_pylist()]), total <= most
+def frequent_table(words: DataFrame, path: str, most: int) -> Table:
+    """The most frequent words as a table of at most so many entries: those from a count on, by a histogram of counts."""
+    counts = words.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()
+    kept, cut = 0, 10_001
+    for r in counts:
+        if kept + r["count"] > most:
+            break
+        kept, cut = kept + r["count"], r.n
+    return known_table(path, words.where(F.col("n") >= cut).select("word").toArrow().column(0).to_pylist())
 
 
 class Known:
@@ -103,65 +85,89 @@ class Known:
 
 
 def _missing(path: str, shared):
+    """(key, word) for the different words of each document that the table lacks; documents with added tokens have none."""
+
     def run(batches):
         known, blocks = Known(path, shared.value), Encoder(path, cache=1).blocks
         for batch in batches:
-            k1, k2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for a, b, part, at in blocks(*column_bytes(batch.column(2))):
+            key = np.asarray(batch.column(0))
+            for a, b, part, at in blocks(*column_bytes(batch.column(1))):
                 entry, starts, ends, before = known.lookup(part, at)
                 miss = np.flatnonzero(entry < 0)
-                doc = np.searchsorted(before, miss, "right") - 1
+                if known.bpe.has_special(part):
+                    special = np.array([known.bpe.has_special(part[at[k] : at[k + 1]]) for k in range(b - a)])
+                    miss = miss[~special[np.searchsorted(before, miss, "right") - 1]]
                 data = part.tobytes()
-                words = [data[x:y] for x, y in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[a:b][doc]), pa.array(k2[a:b][doc]), pa.array((miss - before[doc]).astype(np.int32)), pa.array(words, pa.binary())], ["k1", "k2", "position", "word"])
+                doc = (np.searchsorted(before, miss, "right") - 1).tolist()
+                pairs = list(dict.fromkeys(zip(doc, (data[x:y] for x, y in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)), strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[a:b][[d for d, _ in pairs]]) if pairs else pa.array([], pa.int64()), pa.array([w for _, w in pairs], pa.binary())], ["key", "word"])
+
+    return run
+
+
+def _encoded(path: str):
+    """Words that stand together are encoded once."""
+
+    def run(batches):
+        merge, last, ids = ByteBpe(path).merge, None, b""
+        for batch in batches:
+            out = []
+            for word in batch.column(1).to_pylist():
+                if word != last:
+                    last, ids = word, np.array(merge(word), "<u2").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["key", "word", "ids"])
 
     return run
 
 
-def _digests(path: str, shared, names: list[str]):
+def _packed(batches):
+    for batch in batches:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(x.as_buffer()) for x in batch.column(2)], pa.binary())], ["key", "doc_id", "text"])
+
+
+def _digests(path: str, shared):
     """Ids of each document from the table and its joined words; their digest, and that of the text decoded from them."""
 
     def run(batches):
         known = Known(path, shared.value)
         size = np.array([len(x) for x in known.bpe.vocabulary], np.int64)
         first, piece = np.cumsum(size) - size, np.frombuffer(b"".join(known.bpe.vocabulary), np.uint8)
-        blocks = Encoder(path, cache=1).blocks
-        k = len(names)
+        blocks, unpack = Encoder(path, cache=1).blocks, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            raw, at = column_bytes(batch.column(k))
-            rare = batch.column(k + 1) if batch.num_columns > k + 1 else None
+            texts = [unpack(x.as_buffer()) for x in batch.column(1)]
+            raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
             n, ids_sha, text_sha = [], [], []
             for a, b, part, own in blocks(raw, at):
                 special = known.bpe.has_special(part)
-                entry, _, _, before = known.lookup(part, own)
+                entry, starts, ends, before = known.lookup(part, own)
                 for i in range(b - a):
                     text = part[own[i] : own[i + 1]]
                     if special and known.bpe.has_special(text):
                         ids = np.array(known.bpe.encode_text(text.tobytes()), np.int64)
                     else:
-                        ids = _document(known.table, entry[before[i] : before[i + 1]], rare[a + i].values if rare is not None else None)
+                        rows = slice(before[i], before[i + 1])
+                        ids = _document(known.table, entry[rows], part, starts[rows], ends[rows], batch.column(2)[a + i].as_py())
                     back = piece[pieces(first[ids], size[ids])].tobytes()
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     text_sha.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def _document(table: Table, entry: np.ndarray, rare) -> np.ndarray:
-    """The ids of one document: entries of the table, and joined words at their positions."""
+def _document(table: Table, entry: np.ndarray, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, rare) -> np.ndarray:
+    """The ids of one document: the table's, and those of its joined words at their positions."""
     here = entry >= 0
-    if here.all():
-        return table.pool[pieces(table.first[entry], table.count[entry].astype(np.int64))].astype(np.int64)
-    if rare is None:
-        raise ValueError("a word is in neither table")
-    position = np.asarray(rare.field("position"))
-    words = rare.field("ids").to_pylist()
     count = np.where(here, table.count[np.where(here, entry, 0)], 0).astype(np.int64)
+    if here.all():
+        return table.pool[pieces(table.first[entry], count)].astype(np.int64)
+    joined = {x["word"]: x["ids"] for x in rare or ()}
+    position = np.flatnonzero(~here)
+    words = [joined[part[a:b].tobytes()] for a, b in zip(starts[position].tolist(), ends[position].tolist(), strict=True)]
     count[position] = [len(x) // 2 for x in words]
-    if not count.all():
-        raise ValueError("a word is in neither table")
     end = np.cumsum(count)
     out = np.empty(int(end[-1]), np.int64)
     own = np.flatnonzero(here)
@@ -173,23 +179,14 @@ def _document(table: Table, entry: np.ndarray, rare) -> np.ndarray:
 def encode_and_decode(docs: DataFrame, path: str, most: int = BROADCAST) -> DataFrame:
     """doc_id, n_tokens and the digests of each document's ids and of the text decoded from them."""
     spark = docs.sparkSession
-    words = word_table(docs, path)
-    table, whole = frequent_table(words, path, most)
-    shared = spark.sparkContext.broadcast(table)
-    names = ["doc_id"]
-    text = text_or_empty()
-    key = F.col("doc_id").cast("string")
-    keyed = docs.select("doc_id", F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(7), text, key).alias("k2"), text.alias("text"))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if whole:
-        return keyed.select("doc_id", "text").mapInArrow(_digests(path, shared, names), schema)
-    plain = keyed
-    for x in ByteBpe(path).special:
-        plain = plain.where(~F.contains("text", F.lit(x.decode())))
-    missing = plain.select("k1", "k2", "text").mapInArrow(_missing(path, shared), "k1 long, k2 long, position int, word binary")
-    found = missing.join(words.select("word", "ids"), "word").groupBy("k1", "k2").agg(F.collect_set(F.struct("position", "ids")).alias("rare"))
-    joined = keyed.join(found, ["k1", "k2"], "left").select("doc_id", "text", "rare")
-    return joined.mapInArrow(_digests(path, shared, names), schema)
+    shared = spark.sparkContext.broadcast(frequent_table(word_counts(docs, path), path, most))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "doc_id", text_or_empty().alias("text"))
+    missing = keyed.select("key", "text").mapInArrow(_missing(path, shared), "key long, word binary")
+    met = missing.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "key long, word binary, ids binary")
+    found = met.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
+    packed = keyed.select("key", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_packed, "key long, doc_id long, text binary")
+    joined = packed.join(found.hint("shuffle_merge"), "key", "left").select("doc_id", "text", "rare")
+    return joined.mapInArrow(_digests(path, shared), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
