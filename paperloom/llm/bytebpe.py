@@ -211,6 +211,18 @@ class Table:
         self.pool = np.zeros(4096, np.uint16)
         self.used = 0
 
+    def __getstate__(self) -> tuple:
+        """Entries alone; the open addresses, several times their size, are made anew where it is unpacked."""
+        at = np.flatnonzero(self.slot >= 0)
+        key, check = np.empty(self.n, np.uint64), np.empty(self.n, np.uint64)
+        key[self.slot[at]], check[self.slot[at]] = self.key[at], self.check[at]
+        return self.bits, self.limit, key, check, self.count[: self.n].astype(np.uint16 if not self.n or self.count[: self.n].max() < 1 << 16 else np.int32), self.pool[: self.used].copy()
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.limit, key, check, count, pool = state
+        self.clear()
+        self.add(key, check, count.astype(np.int64), pool)
+
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 where there is none."""
         shift, mask = np.uint64(64 - self.bits), (1 << self.bits) - 1
