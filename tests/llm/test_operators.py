@@ -136,6 +136,49 @@ def test_op7_neighbours_are_alike():
     assert same > 40
 
 
+def test_op7_neighbours_meet_across_the_table(spark):
+    rng = random.Random(5)
+    topics = [[f" {chr(97 + k) * 3}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(40)] for k in range(12)]
+    texts = [(k, "".join(rng.choices(topics[k % 12], k=60))) for k in range(600)]
+    size = sum(len(t) for _, t in texts)
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), BPE, window=512, shard_bytes=size // 12).toPandas()
+    assert rows.length.sum() == sum(len(tokens(t)) + 1 for _, t in texts)
+    assert rows.sequence_id.map(lambda s: s >> 32).nunique() >= 12
+    pairs = same = 0
+    for _, s in rows.sort_values("offset").groupby("sequence_id"):
+        ids = s.doc_id.tolist()
+        pairs, same = pairs + len(ids) - 1, same + sum(a % 12 == b % 12 for a, b in zip(ids, ids[1:], strict=False))
+    assert same > 0.9 * pairs
+
+
+def test_op7_statistics_cover_the_table(spark):
+    texts = ["a b a", " b c", None, "", "a b", " c  c"]
+    found, size = packing.statistics(spark.createDataFrame([(t or "",) for t in texts], "text string").repartition(3), BPE)
+    encoder = Encoder(BPE)
+    raw, at = column_bytes(pa.array([t or "" for t in texts]))
+    hashes, before = packing.words(encoder, raw, at)
+    own = [set(hashes[a:b].tolist()) for a, b in zip(before, before[1:], strict=False)]
+    count = Counter(w for s in own for w in s)
+    assert (found.n, found.mean, size) == (len(texts), len(hashes) / len(texts), len(raw))
+    assert dict(zip(found.terms.tolist(), found.df.tolist(), strict=True)) == {w: n for w, n in count.items() if n > 1}
+    index = packing.Index(hashes[: before[2]], before[:3], found)
+    alone = packing.Index(hashes[: before[2]], before[:3])
+    assert (index.scores(0, 2) > alone.scores(0, 2)).all()
+
+
+def test_op7_query_takes_all_words():
+    encoder, rng = Encoder(BPE), random.Random(2)
+    texts = ["".join(f" {chr(97 + j % 26)}{chr(97 + j // 26)}q" for j in rng.sample(range(200), 60)) for _ in range(40)]
+    raw, at = column_bytes(pa.array(texts))
+    index = packing.Index(*packing.words(encoder, raw, at))
+    own = [t.split() for t in texts]
+    df, mean = Counter(w for t in own for w in set(t)), sum(map(len, own)) / len(own)
+    got = index.scores(0, len(texts))
+    for k, t in enumerate(own):
+        want = sum(np.log1p((40 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(own[0]) & set(t) if df[w] > 1)
+        assert abs(got[k] - want) < 1e-3
+
+
 def components_by_hand(prints, distance):
     ids = sorted(prints, key=key)
     parent = {i: i for i in range(len(ids))}
