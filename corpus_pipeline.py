@@ -16,7 +16,7 @@ from paperloom.llm.common import cut_lineage
 from paperloom.llm.packing import pack
 from paperloom.llm.quality import resample
 from paperloom.llm.repeats import remove_repeats
-from paperloom.llm.simhash import near_duplicates
+from paperloom.llm.simhash import survivors
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id; rows that share a doc_id count as one document, whose least text stays."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    """Of each group of linked fingerprints one row: that of the smallest doc_id, nulls last, and of its texts the one with the least hash."""
+    kept = survivors(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__kept"))
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    rows = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__kept"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("text"))
     return rows.withColumn("__row", first).where("__row = 1").select(*docs.columns)
 
 

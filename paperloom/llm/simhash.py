@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, small_batches, text_or_empty
@@ -61,14 +61,16 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 
 def _fingerprints(batches):
     for batch in batches:
-        each = [fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(each, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        *other, text = batch.columns
+        each = [fingerprint(x.as_buffer().to_pybytes()) for x in text]
+        yield pa.RecordBatch.from_arrays([*other, pa.array(np.array(each, np.uint64).view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
+    """(doc_id, fp) with the 64 bits as a signed long; further columns stand between."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select("doc_id", *also, text_or_empty().cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[:-1]) + ", fp long")
 
 
 def _remainder(word: int) -> int:
@@ -195,15 +197,27 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked(distance), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
-    spark = docs.sparkSession
-    each = cut_lineage(fingerprints(docs))
+def _with_component(distinct: DataFrame, distance: int) -> DataFrame:
+    """Different fingerprints (column fp) with the least one that links reach."""
+    spark = distinct.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     node = components(links(distinct, distance)).withColumnRenamed("node", "fp")
     small_batches(spark)
-    joined = distinct.join(node, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return distinct.join(node, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def survivors(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, text_hash), the XXH64 of its text, of one row for each component: the least doc_id, nulls last, then the least hash."""
+    each = cut_lineage(fingerprints(docs, F.xxhash64("text").alias("text_hash")))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    joined = _with_component(each.groupBy("fp").agg(F.min(row).alias("least")), distance)
+    return joined.groupBy("component").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_hash")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
+    each = cut_lineage(fingerprints(docs))
+    joined = _with_component(each.groupBy("fp").agg(F.min("doc_id").alias("least")), distance)
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = joined.select("fp", "component").join(least, "component").select("fp", "component_id")
     return each.join(classes, "fp").select("doc_id", "fp", "component_id")

@@ -433,3 +433,16 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, before, directory).toPandas()
     assert set(pieces.doc_id) == set(texts)
     assert pieces.length.sum() == sum(len(tokens(t)) + 1 for t in texts.values())
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    own = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(80)) for _ in range(8)]
+    prints = [fingerprint_by_hand(t) for t in own]
+    assert min((a ^ b).bit_count() for k, a in enumerate(prints) for b in prints[:k]) > simhash.DISTANCE
+    rows = [(None, own[0]), (None, own[1]), (None, own[1].upper()), (None, own[2]), (7, own[2]), (5, own[3]), (5, own[4]), (3, own[4]), (5, None), (9, own[5]), (9, own[5]), (9, own[6]), (8, own[6]), (None, "")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    got = Counter((i, (t or "").lower()) for i, t in kept.collect())
+    assert got == Counter([(None, own[0]), (None, own[1]), (7, own[2]), (5, own[3]), (3, own[4]), (5, ""), (9, own[5]), (8, own[6])])
