@@ -192,7 +192,9 @@ def _linked(distance: int):
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links that span every component of different fingerprints (column fp)."""
+    """(a, b): links that span every component of different fingerprints (column fp). Keys are complete up to DISTANCE only."""
+    if distance > DISTANCE:
+        raise ValueError(f"keys find all links up to {DISTANCE} differing bits, not {distance}")
     keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked(distance), "a long, b long").distinct()
 

@@ -219,6 +219,11 @@ def test_op5(spark, docs):
     assert simhash.near_duplicates(docs.where("doc_id > 99")).count() == 0
 
 
+def test_op5_refuses_what_its_keys_miss(docs):
+    with pytest.raises(ValueError, match="4 differing bits"):
+        simhash.near_duplicates(docs, simhash.DISTANCE + 1)
+
+
 def test_op5_golay_keys_miss_no_pair():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2000, dtype=np.uint64)
