@@ -1,16 +1,16 @@
 """Byte-level BPE over whole Arrow columns.
 
-Pre-tokens are found for a block of texts at once with array operations over UTF-8 bytes, hashed by
-prefix polynomial hashes, and looked up in an open-addressed table of known pre-tokens. Only pre-tokens
-that the table lacks go through the BPE merges. The rules are those of the byte-level pattern
+Pre-tokens are found for a block of texts at once with array operations over UTF-8 bytes and looked up in an
+open-addressed table of known pre-tokens, by their bytes. Only pre-tokens that the table lacks go through the
+BPE merges. The rules are those of the byte-level pattern
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
 with the Unicode tables of the tokenizers library itself: code points on which Unicode versions differ are
 looked up in that library. Texts that hold an added token's string go to the library as they are.
 
-Two pre-tokens count as equal if two 64-bit numbers agree: the hash, from random byte values, and the first
-eight bytes mixed with the length. Pre-tokens of over LONG bytes are never looked up.
+A hash only finds the place in the table. Two pre-tokens are equal if their bytes are: up to 16 bytes those are
+the length, the first eight and the last eight; the bytes of longer ones are kept and compared.
 """
 
 from __future__ import annotations
@@ -23,33 +23,18 @@ import numpy as np
 import regex
 import tiktoken
 from tokenizers import Tokenizer
+from xxhash import xxh3_64_intdigest as xxh3
 
 from .common import pieces
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-LONG = 256
+#: Bytes of a span that its first and last eight bytes tell.
+SHORT = 16
 BLOCK = 1 << 20
 #: Entries of a worker's cache; beyond it the cache starts anew.
 CACHE = 1 << 19
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = np.full(n + 1, _P, np.uint64), np.full(n + 1, _P_INV, np.uint64)
-    for x in out:
-        x[0] = 1
-        np.multiply.accumulate(x, out=x)
-    return out
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n at least."""
-    return _powers(1 << max(21, int(n).bit_length()))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -58,25 +43,46 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of raw, the same wherever its bytes stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = powers(len(raw))
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTES[raw] * power[: len(raw)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+class Spans:
+    """Spans of raw as arrays: size, first and last eight bytes (of sizes to 8, first alone), and a 64-bit key that hangs on their bytes alone."""
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        self.raw, self.starts, self.ends = raw, starts, ends
+        self.size = ends - starts
+        padded = np.concatenate([np.zeros(8, np.uint8), raw, np.zeros(8, np.uint8)])
+        at = np.ndarray((len(raw) + 9,), np.uint64, padded.data, 0, (1,))  # the eight bytes from each place less 8
+        short = np.minimum(self.size, 8).astype(np.uint64) * np.uint64(8)
+        self.first = at[starts + 8] & np.where(short >= 64, _ONES, (np.uint64(1) << (short & np.uint64(63))) - np.uint64(1))
+        self.last = np.where(self.size > 8, at[ends], np.uint64(0))
+        self.key = mixed(self.first ^ mixed(self.last + self.size.astype(np.uint64) * _MIX))
+        self.long = np.flatnonzero(self.size > SHORT)
+        if len(self.long):
+            data = raw.tobytes()
+            own = [xxh3(data[a:b]) for a, b in zip(starts[self.long].tolist(), ends[self.long].tolist(), strict=True)]
+            self.key[self.long] ^= np.array(own, np.uint64)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def take(self, rows: np.ndarray) -> Spans:
+        """Some of the spans."""
+        out = object.__new__(Spans)
+        out.raw, out.starts, out.ends = self.raw, self.starts[rows], self.ends[rows]
+        out.size, out.first, out.last, out.key = self.size[rows], self.first[rows], self.last[rows], self.key[rows]
+        out.long = np.flatnonzero(out.size > SHORT)
+        return out
+
+    def words(self) -> list[bytes]:
+        data = self.raw.tobytes()
+        return [data[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
 
+    @staticmethod
+    def of(words: list[bytes]) -> Spans:
+        ends = np.cumsum([0, *map(len, words)])
+        return Spans(np.frombuffer(b"".join(words), np.uint8), ends[:-1], ends[1:])
 
-def heads(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each span as a number, mixed with its length."""
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    first = np.ndarray((len(raw) + 1,), np.uint64, padded.data, 0, (1,))[starts]
-    size = (ends - starts).astype(np.uint64)
-    bits = np.minimum(size, np.uint64(8)) * np.uint64(8)
-    first = np.where(bits >= 64, first, first & ((np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1)))
-    return first * _MIX + size
+
+_ONES = np.uint64((1 << 64) - 1)
 
 
 @lru_cache(maxsize=2)
@@ -193,8 +199,8 @@ def _printable() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
 
 
-class Table:
-    """Pre-tokens' hashes, open-addressed, with the ids of each in one pool."""
+class Keys:
+    """Open-addressed 64-bit keys, each with the number of its entry."""
 
     def __init__(self, size: int) -> None:
         self.bits = max(10, int(size * 2).bit_length())
@@ -203,62 +209,110 @@ class Table:
 
     def clear(self) -> None:
         self.key = np.zeros(1 << self.bits, np.uint64)
-        self.check = np.zeros(1 << self.bits, np.uint64)
         self.slot = np.full(1 << self.bits, -1, np.int32)
         self.n = 0
-        self.first = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int32)
-        self.pool = np.zeros(4096, np.uint16)
-        self.used = 0
 
-    def __getstate__(self) -> tuple:
-        """Entries alone; the open addresses, several times their size, are made anew where it is unpacked."""
-        at = np.flatnonzero(self.slot >= 0)
-        key, check = np.empty(self.n, np.uint64), np.empty(self.n, np.uint64)
-        key[self.slot[at]], check[self.slot[at]] = self.key[at], self.check[at]
-        return self.bits, self.limit, key, check, self.count[: self.n].astype(np.uint16 if not self.n or self.count[: self.n].max() < 1 << 16 else np.int32), self.pool[: self.used].copy()
-
-    def __setstate__(self, state: tuple) -> None:
-        self.bits, self.limit, key, check, count, pool = state
-        self.clear()
-        self.add(key, check, count.astype(np.int64), pool)
-
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The entry of each key, -1 where there is none."""
-        shift, mask = np.uint64(64 - self.bits), (1 << self.bits) - 1
-        at = (key >> shift).astype(np.int64)
+    def _probe(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """From the addresses `at`, which move on: the next entry of each key, -1 where a free address comes first."""
+        mask = (1 << self.bits) - 1
         out = self.slot[at]
-        bad = np.flatnonzero((out >= 0) & ((self.key[at] != key) | (self.check[at] != check)))
+        bad = np.flatnonzero((out >= 0) & (self.key[at] != key))
         while len(bad):
             at[bad] = (at[bad] + 1) & mask
             out[bad] = self.slot[at[bad]]
-            near = at[bad]
-            bad = bad[(out[bad] >= 0) & ((self.key[near] != key[bad]) | (self.check[near] != check[bad]))]
+            bad = bad[(out[bad] >= 0) & (self.key[at[bad]] != key[bad])]
         return out
 
-    def add(self, key: np.ndarray, check: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        """Add keys that are not in it yet, all different."""
-        m, total = len(key), int(count.sum())
-        while self.n + m > len(self.first):
-            self.first, self.count = np.resize(self.first, len(self.first) * 2), np.resize(self.count, len(self.count) * 2)
-        while self.used + total > len(self.pool):
-            self.pool = np.resize(self.pool, len(self.pool) * 2)
-        self.count[self.n : self.n + m] = count
-        self.first[self.n : self.n + m] = self.used + np.cumsum(count) - count
-        self.pool[self.used : self.used + total] = ids
-        mask, at = (1 << self.bits) - 1, (key >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 where there is none."""
+        return self._probe(key, self._home(key))
+
+    def place(self, key: np.ndarray) -> None:
+        """New entries for keys, numbered on."""
+        m, mask, at = len(key), (1 << self.bits) - 1, self._home(key)
         left, entry = np.arange(m), np.arange(self.n, self.n + m, dtype=np.int32)
         while len(left):
             free = left[self.slot[at[left]] < 0]
             _, one = np.unique(at[free], return_index=True)
             put = free[one]
-            self.slot[at[put]], self.key[at[put]], self.check[at[put]] = entry[put], key[put], check[put]
+            self.slot[at[put]], self.key[at[put]] = entry[put], key[put]
             done = np.zeros(m, bool)
             done[put] = True
             left = left[~done[left]]
             at[left] = np.where(self.slot[at[left]] >= 0, (at[left] + 1) & mask, at[left])
         self.n += m
-        self.used += total
+
+
+class Table(Keys):
+    """Pre-tokens by their bytes, open-addressed, with the ids of each in one pool."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.columns = {"size": np.zeros(1024, np.int32), "head": np.zeros(1024, np.uint64), "tail": np.zeros(1024, np.uint64), "body": np.zeros(1024, np.int64), "first": np.zeros(1024, np.int64), "count": np.zeros(1024, np.int32)}
+        self.pool, self.used = np.zeros(4096, np.uint16), 0
+        self.bytes, self.bytes_used = np.zeros(4096, np.uint8), 0
+
+    first = property(lambda self: self.columns["first"])
+    count = property(lambda self: self.columns["count"])
+
+    def __getstate__(self) -> tuple:
+        """Entries alone; the open addresses, several times their size, are made anew where it is unpacked."""
+        key, n = np.empty(self.n, np.uint64), max(1, self.n)
+        at = np.flatnonzero(self.slot >= 0)
+        key[self.slot[at]] = self.key[at]
+        return self.bits, self.limit, key, {k: v[:n].copy() for k, v in self.columns.items()}, self.pool[: self.used].copy(), self.bytes[: self.bytes_used].copy()
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.limit, key, columns, pool, body = state
+        self.clear()
+        self.place(key)
+        self.columns, self.pool, self.used, self.bytes, self.bytes_used = columns, pool, len(pool), body, len(body)
+
+    def find(self, spans: Spans) -> np.ndarray:
+        """The entry of each span, -1 where there is none."""
+        at = self._home(spans.key)
+        out = self._probe(spans.key, at)
+        wrong = self._differs(out, spans)
+        while len(wrong):  # another pre-token has this key: go on behind it
+            at[wrong] = (at[wrong] + 1) & ((1 << self.bits) - 1)
+            part, place = spans.take(wrong), at[wrong]
+            found = self._probe(part.key, place)
+            at[wrong], out[wrong] = place, found
+            wrong = wrong[self._differs(found, part)]
+        return out
+
+    def _differs(self, entry: np.ndarray, spans: Spans) -> np.ndarray:
+        """Spans whose bytes are not those of the entry."""
+        size, head, tail, body = (self.columns[k] for k in ("size", "head", "tail", "body"))
+        bad = (entry >= 0) & ((size[entry] != spans.size) | (head[entry] != spans.first) | (tail[entry] != spans.last))
+        long = spans.long[(entry[spans.long] >= 0) & ~bad[spans.long]]
+        if len(long):
+            n = spans.size[long]
+            differ = self.bytes[pieces(body[entry[long]], n)] != spans.raw[pieces(spans.starts[long], n)]
+            bad[long] = np.add.reduceat(differ, np.cumsum(n) - n) > 0
+        return np.flatnonzero(bad)
+
+    def add(self, spans: Spans, count: np.ndarray, ids: np.ndarray) -> None:
+        """Add spans that are not in it yet, all different, with their ids one after the other."""
+        n, m, total = self.n, len(spans), int(count.sum())
+        own = np.where(spans.size > SHORT, spans.size, 0)
+        values = {"size": spans.size, "head": spans.first, "tail": spans.last, "body": self.bytes_used + np.cumsum(own) - own, "first": self.used + np.cumsum(count) - count, "count": count}
+        for name, value in values.items():
+            self.columns[name] = _room(self.columns[name], n + m)
+            self.columns[name][n : n + m] = value
+        self.pool, self.bytes = _room(self.pool, self.used + total), _room(self.bytes, self.bytes_used + int(own.sum()))
+        self.pool[self.used : self.used + total] = ids
+        self.bytes[self.bytes_used : self.bytes_used + int(own.sum())] = spans.raw[pieces(spans.starts, own)]
+        self.used, self.bytes_used = self.used + total, self.bytes_used + int(own.sum())
+        self.place(spans.key)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n values at least."""
+    return x if len(x) >= n else np.resize(x, max(1024, 1 << int(n - 1).bit_length()))
 
 
 class Encoder:
@@ -277,35 +331,32 @@ class Encoder:
             a = b
 
     def lookup(self, raw: np.ndarray, offsets: np.ndarray):
-        """(table, entry, count) of every pre-token of a block without added tokens, and pre-tokens before each text."""
+        """(entry, starts, pre-tokens before each text) of a block without added tokens; entries from -2 down are the cache's."""
         starts, before = self.bpe.split(raw, offsets)
-        ends = np.append(starts[1:], len(raw))
-        key, check = hash_spans(raw, starts, ends), heads(raw, starts, ends)
+        spans = Spans(raw, starts, np.append(starts[1:], len(raw)))
         entry = np.full(len(starts), -1, np.int32)
         if self.known is not None:
-            entry = self.known.find(key, check)
+            entry = self.known.find(spans)
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             if self.cache.n + len(miss) > self.cache.limit:
                 self.cache.clear()
                 if len(miss) > self.cache.limit:
                     self.cache = Table(len(miss))
-            found = self.cache.find(key[miss], check[miss])
-            new = np.flatnonzero(found < 0)
-            if len(new):
-                self._learn(raw, starts, ends, key, check, miss[new])
-                found[new] = self.cache.find(key[miss[new]], check[miss[new]])
+            asked = spans.take(miss)
+            found = self.cache.find(asked)
+            while len(new := np.flatnonzero(found < 0)):  # words that share a key are learned one by one
+                self._learn(asked.take(new))
+                found[new] = self.cache.find(asked.take(new))
             entry[miss] = -2 - found
         return entry, starts, before
 
-    def _learn(self, raw, starts, ends, key, check, rows) -> None:
-        _, one = np.unique(key[rows], return_index=True)
-        rows = rows[one]
-        data, merge = raw.tobytes(), self.bpe.merge
-        ids = [merge(data[a:b]) for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
+    def _learn(self, spans: Spans) -> None:
+        _, one = np.unique(spans.key, return_index=True)
+        spans = spans.take(one)
+        ids = [self.bpe.merge(x) for x in spans.words()]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(count.sum()))
-        self.cache.add(key[rows], check[rows], count, flat)
+        self.cache.add(spans, count, np.fromiter((i for x in ids for i in x), np.uint16, int(count.sum())))
 
     def counts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of ids of each text."""

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
 import uuid
+from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +19,49 @@ BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch brings to a Python worker; long texts would make 10,000 rows too much."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+@contextmanager
+def settings(spark: SparkSession, **values: object):
+    """Session settings (dots as __) for the actions within; afterwards they are as before."""
+    own = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Bound what one Arrow batch brings to a Python worker while the actions within run; long texts would make 10,000 rows too much. Frames that run later take the session's own batches, which have a bound in bytes, and cut them into blocks themselves."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__execution__arrow__maxBytesPerBatch=BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that the cluster names in spark.checkpoint.dir; below /tmp only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new path below the folder that the cluster names in spark.checkpoint.dir. Where it is unset, only a local session has a folder that all tasks share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = Path(tempfile.gettempdir(), "checkpoints").as_uri()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that lost executors cost no recomputation."""
+    """Write a table to the shared folder and read it back, so that lost executors cost no recomputation. It stays as long as the application, as frames that read it may run at any time."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, so any store works."""
     jvm = spark.sparkContext._jvm
@@ -41,6 +69,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def parts_of(size: int, least: int = 16 << 20, most: int = 256 << 20) -> int:
+    """Partitions for so many bytes: of `least` each, and of up to `most` where that would make over some thousand."""
+    return max(1, min(-(-size // least), max(4096, -(-size // most))))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

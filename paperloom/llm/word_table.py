@@ -1,14 +1,15 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Words (pre-tokens) are split in tasks, which pass on those of their distinct words that occur again, with their
-counts. The BROADCAST most frequent words of the corpus are encoded once and go out as one compact table of bounded
-size. Words that it lacks meet by word, each distinct one is encoded once there, and its ids go back to its
-documents, where they join the table's ids by position. Texts travel packed.
-Decoding goes through the id-to-piece table of the vocabulary, whose size is fixed.
+Words (pre-tokens) are split in tasks, which count their distinct ones. Of the table of distinct words the `most`
+frequent, at most so many whatever the corpus, are encoded in tasks and go out as one compact broadcast; words that
+it lacks meet by word, each distinct one is encoded once there, and its ids go back to the rows that hold it. Either
+way a row's ids are put together by the positions of its words. Words are equal if their bytes are. Texts travel
+packed, once, for that join. Decoding goes through the id-to-piece table of the vocabulary, whose size is fixed.
 
 Defined cases: null text counts as empty; texts that hold an added token's string are encoded by the library
-as they are; equal rows have equal results; rows that share a doc_id share the dictionary of their rare words only;
-an empty table gives an empty result; further columns are ignored.
+as they are; a very long text is split whole by one task; equal rows have equal results, with or without doc_id (they
+share one list of rare words, by the hash of id and text; a shared hash would only join two lists); an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteBpe, Encoder, Table, hash_spans, heads
+from .bytebpe import ByteBpe, Encoder, Spans, Table
 from .common import column_bytes, cut_lineage, pieces, small_batches, text_or_empty
-from .token_counts import block_words, known_table
+from .token_counts import block_words, encoded_table, most_frequent
 
-#: Words of the broadcast table at most: about 60 MB in each worker.
-BROADCAST = 1 << 20
+#: Words of the broadcast table at most: about 15 MB in each worker.
+BROADCAST = 1 << 18
 #: Distinct words that a task holds before it passes them on.
 HELD = 1 << 19
 
@@ -57,21 +58,9 @@ def _distinct(path: str):
 
 def word_counts(docs: DataFrame, path: str) -> DataFrame:
     """(word, n): words that occur more than once in some task, with their counts there; written to the shared folder."""
-    small_batches(docs.sparkSession)
     return cut_lineage(docs.select(text_or_empty().alias("text")).mapInArrow(_distinct(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def frequent_table(words: DataFrame, path: str, most: int) -> Table:
-    """The most frequent words as a table of at most so many entries: those from a count on, by a histogram of counts."""
-    counts = words.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-    kept, cut = 0, 10_001
-    for r in counts:
-        if kept + r["count"] > most:
-            break
-        kept, cut = kept + r["count"], r.n
-    return known_table(path, words.where(F.col("n") >= cut).select("word").toArrow().column(0).to_pylist())
-
-
 class Known:
     """Ids of blocks of texts by a table alone, and the words that it lacks."""
 
@@ -81,11 +70,11 @@ class Known:
     def lookup(self, raw: np.ndarray, at: np.ndarray):
         starts, before = self.bpe.split(raw, at)
         ends = np.append(starts[1:], len(raw))
-        return self.table.find(hash_spans(raw, starts, ends), heads(raw, starts, ends)), starts, ends, before
+        return self.table.find(Spans(raw, starts, ends)), starts, ends, before
 
 
 def _missing(path: str, shared):
-    """(key, word) for the different words of each document that the table lacks; documents with added tokens have none."""
+    """(key, word) for the different words of each row that the table lacks; rows with added tokens have none."""
 
     def run(batches):
         known, blocks = Known(path, shared.value), Encoder(path, cache=1).blocks
@@ -98,25 +87,27 @@ def _missing(path: str, shared):
                     special = np.array([known.bpe.has_special(part[at[k] : at[k + 1]]) for k in range(b - a)])
                     miss = miss[~special[np.searchsorted(before, miss, "right") - 1]]
                 data = part.tobytes()
-                doc = (np.searchsorted(before, miss, "right") - 1).tolist()
-                pairs = list(dict.fromkeys(zip(doc, (data[x:y] for x, y in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)), strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(key[a:b][[d for d, _ in pairs]]) if pairs else pa.array([], pa.int64()), pa.array([w for _, w in pairs], pa.binary())], ["key", "word"])
+                own = key[a:b][np.searchsorted(before, miss, "right") - 1].tolist()
+                pairs = list(dict.fromkeys(zip(own, (data[x:y] for x, y in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)), strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.binary())], ["key", "word"])
 
     return run
 
 
 def _encoded(path: str):
-    """Words that stand together are encoded once."""
+    """Words that stand together are encoded once, and equal rows' words go back once."""
 
     def run(batches):
-        merge, last, ids = ByteBpe(path).merge, None, b""
+        merge, last, ids, last_key = ByteBpe(path).merge, None, b"", None
         for batch in batches:
             out = []
-            for word in batch.column(1).to_pylist():
+            for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if word != last:
-                    last, ids = word, np.array(merge(word), "<u2").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["key", "word", "ids"])
+                    last, ids, last_key = word, np.array(merge(word), "<u2").tobytes(), None
+                if key != last_key:
+                    out.append((key, word, ids))
+                last_key = key
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["key", "word", "ids"])
 
     return run
 
@@ -179,11 +170,13 @@ def _document(table: Table, entry: np.ndarray, part: np.ndarray, starts: np.ndar
 def encode_and_decode(docs: DataFrame, path: str, most: int = BROADCAST) -> DataFrame:
     """doc_id, n_tokens and the digests of each document's ids and of the text decoded from them."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_table(word_counts(docs, path), path, most))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "doc_id", text_or_empty().alias("text"))
+    with small_batches(spark):
+        table = encoded_table(most_frequent(word_counts(docs, path), most), path)
+    shared = spark.sparkContext.broadcast(table)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     missing = keyed.select("key", "text").mapInArrow(_missing(path, shared), "key long, word binary")
-    met = missing.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "key long, word binary, ids binary")
-    found = met.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))
+    met = missing.repartition("word").sortWithinPartitions("word", "key").mapInArrow(_encoded(path), "key long, word binary, ids binary")
+    found = met.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
     packed = keyed.select("key", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_packed, "key long, doc_id long, text binary")
     joined = packed.join(found.hint("shuffle_merge"), "key", "left").select("doc_id", "text", "rare")
     return joined.mapInArrow(_digests(path, shared), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
