@@ -7,9 +7,9 @@ Candidates. Every window of LENGTH bytes has an anchor: of the hashes of the GRA
 the place of the least, leftmost first. The choice hangs on the window's bytes alone, so equal windows have
 equal anchors at the same distance. Windows with the same anchor are consecutive; together they make the
 anchor's stretch, so all windows of a text need one row for about 75 bytes: hash of the anchor's string,
-hash of the stretch. Rows meet by the first. Equal stretches repeat in all their windows. A row alone has
-none. Where one anchor string has several stretches (at the edges of repeated passages), the stretches'
-bytes meet and are sorted.
+128-bit digest of the stretch. Rows meet by the first. Rows of equal digest stand for one stretch, whose windows
+all repeat in each of them; one of them speaks for it. A row alone has none. Where one anchor string has several
+stretches (at the edges of repeated passages), the bytes of one row for each meet and are sorted.
 
 Sort. In such a group the suffixes from the anchor on are put in order by mergesort, and so are the prefixes
 before the anchor, read backwards. Two are compared by their longest common extension, found by binary
@@ -18,39 +18,72 @@ byte by byte; if a hash ever collided, the group is sorted by its bytes instead.
 window's start before the anchor, windows are equal if no break under LENGTH - d parts them in the one order
 and none under d in the other, so classes come from two running counts, without pairs.
 
-A group of over GROUP stretches is not gathered: its windows' hashes (two of 64 bits) are counted instead.
+A group of over `most` stretches is split before it is gathered. A window that starts x to y bytes before the anchor
+holds all bytes from x before it to LENGTH - y after it, so equal windows agree there: the range of distances is
+halved, each half of a stretch becomes a stretch of its own, and the longer string that its windows share is the new
+anchor string. What is one string in the whole group falls together as one stretch; the rest parts. At a range of one
+distance the string is the window itself, and a group has one stretch.
 
-Defined cases: null text counts as empty; texts under LENGTH bytes lose nothing; repeated rows repeat each
-other; tables without repeats and empty tables give empty spans and results; columns beyond doc_id and text
-pass through.
+Defined cases: null text counts as empty; texts under LENGTH bytes lose nothing; very long texts are taken in parts
+and held whole only where they are cut; repeated rows (with or without doc_id) repeat each other and share one list of
+spans; tables without repeats and empty tables give empty spans and results; columns beyond doc_id and text pass through.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytebpe import _BYTES, hash_spans, mixed, powers
+from .bytebpe import mixed
 from .common import column_bytes, cut_lineage, pieces, small_batches, text_or_empty
 
 LENGTH, GRAM = 200, 48
 SPREAD = LENGTH - GRAM + 1
 #: Stretches of one anchor string that one task may hold.
-GROUP = 50_000
+GROUP = 20_000
 BLOCK = 1 << 20
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of stretches in one batch.
+BODIES = 64 << 20
 #: Kinds of rows: to be judged, alone in its batch or not; and judged.
 ONE, MANY, SAME, OPEN, SPEAKER = -1, -2, 0, 1, 2
 
 
+_P = np.uint64(0x9E3779B97F4A7C15)
+_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
+_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.full(n + 1, _P, np.uint64), np.full(n + 1, _P_INV, np.uint64)
+    for x in out:
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return out
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to n at least."""
+    return _powers(1 << max(21, int(n).bit_length()))
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 128-bit XXH3 of each span, as rows of two signed numbers."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
 def stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, anchor, first window, last window, hash of the anchor's string, hash of its stretch) for all windows of all texts."""
+    """(text, anchor, first window, last window, hash of the anchor's string) for all windows of all texts."""
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     power, inverse = powers(len(raw))
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
@@ -73,8 +106,7 @@ def stretches(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])) if len(own) else none
     last = np.append(first[1:], len(own)) - 1 if len(own) else none
     a, low, high = own[first], window[first], window[last]
-    stretch = mixed((total[high + LENGTH] - total[low]) * inverse[low] + ((a - low) << 9 | (high - low)).astype(np.uint64))
-    return text[first], a, low, high, gram[a], stretch
+    return text[first], a, low, high, gram[a]
 
 
 def _blocks(at: np.ndarray):
@@ -90,30 +122,59 @@ def _blocks(at: np.ndarray):
         a = b
 
 
+ROWS = ["gram", "stretch", "stretch2", "k1", "k2", "place", "reach", "kind"]
+SCHEMA = ", ".join(f"{c} {'int' if c in ('reach', 'kind') else 'long'}" for c in ROWS)
+
+
+def _rows(parts: list):
+    """A batch of rows from arrays (gram, digests, k1, k2, place, reach). Of rows that are equal within it one goes on as MANY to be judged, and the others are SAME at once, so a passage that half of all texts hold brings one row a batch."""
+    gram, digest, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((digest[:, 1], digest[:, 0], gram))
+    g, s = gram[order], digest[order]
+    again = np.concatenate([[False], (g[1:] == g[:-1]) & (s[1:] == s[:-1]).all(axis=1)])[: len(g)]
+    kind = np.where(again, SAME, np.where(np.append(again[1:], False)[: len(g)], MANY, ONE))
+    k1, k2, place, reach = (x[order] for x in rest)
+    return pa.RecordBatch.from_arrays([*map(pa.array, (g, s[:, 0].copy(), s[:, 1].copy(), k1, k2, place)), pa.array(reach.astype(np.int32)), pa.array(kind.astype(np.int32))], ROWS)
+
+
 def _anchors(batches):
-    """A row for each stretch. Of those that are equal within a batch one goes on as MANY to be judged, and the others are SAME at once, so a passage that half of all texts hold brings one row a batch."""
+    """A row for each stretch."""
     for batch in batches:
         k1, k2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         raw, at = column_bytes(batch.column(2))
         parts = []
         for a, b, start, own in _blocks(at):
-            text, anchor, low, high, gram, stretch = stretches(raw[start : start + own[-1]], own)
+            part = raw[start : start + own[-1]]
+            text, anchor, low, high, gram = stretches(part, own)
             place = ((low - own[text] + (start - at[a])) << 16) | ((anchor - low) << 8) | (high - low)
-            parts.append((gram.view(np.int64), stretch.view(np.int64), k1[a:b][text], k2[a:b][text], place))
-        if not parts:
-            continue
-        gram, stretch, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((stretch, gram))
-        g, s = gram[order], stretch[order]
-        again = np.concatenate([[False], (g[1:] == g[:-1]) & (s[1:] == s[:-1])]) if len(g) else np.zeros(0, bool)
-        kind = np.where(again, SAME, np.where(np.append(again[1:], False), MANY, ONE)).astype(np.int32) if len(g) else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), *(pa.array(x[order]) for x in rest), pa.array(kind)], ["gram", "stretch", "k1", "k2", "place", "kind"])
+            parts.append((gram.view(np.int64), digests(part.tobytes(), low, high + LENGTH), k1[a:b][text], k2[a:b][text], place, np.full(len(place), SPREAD - 1)))
+        if parts:
+            yield _rows(parts)
 
 
+def _halves(batches):
+    """Stretches of groups to be split, as the stretches of both halves of the group's range of distances (reach: its least and greatest)."""
+    for batch in batches:
+        gram, k1, k2, place, reach = (np.asarray(batch.column(c)) for c in range(5))
+        raw, at = column_bytes(batch.column(5))
+        low, before, more = _unpack(place)
+        data, parts = raw.tobytes(), []
+        least, most = reach >> 8, reach & 0xFF
+        middle = (least + most) >> 1
+        for x, y in ((least, middle), (middle + 1, most)):
+            near, far = np.maximum(x, before - more), np.minimum(y, before)
+            row = np.flatnonzero((near <= far) & (x <= y))
+            x, y, near, far = x[row], y[row], near[row], far[row]
+            anchor = at[:-1][row] + before[row]
+            shared = digests(data, anchor - x, anchor + LENGTH - y)
+            key = mixed((shared[:, 0] ^ gram[row] ^ (x << 8 | y)).view(np.uint64)).view(np.int64)
+            own = digests(data, anchor - far, anchor - near + LENGTH)
+            parts.append((key, own, k1[row], k2[row], ((low[row] + before[row] - far) << 16) | (far << 8) | (far - near), x << 8 | y))
+        yield _rows(parts)
 
 
 def _judged(batches):
-    """Rows sorted by gram and stretch: SAME for all whose stretch repeats; where a gram has several stretches, also the first row of each, as SPEAKER if the stretch repeats and else as OPEN. The state is one row ahead, and the first row of a gram that waits for another stretch."""
+    """Rows sorted by gram and digest: SAME for all whose stretch repeats; where a gram has several stretches, also the first row of each, as SPEAKER if the stretch repeats and else as OPEN. The state is one row ahead, and the first row of a gram that waits for another stretch."""
     held, before, wait = None, None, None
     for batch in _and_end(batches):
         if batch is None and held is None:
@@ -125,11 +186,11 @@ def _judged(batches):
         if rows < 0:
             continue
         held = [c[rows:] for c in columns]
-        gram, stretch, k1, k2, place, own = columns
+        gram, one, two, *rest, own = columns
         if not rows:
             continue
         same_gram = np.concatenate([[before is not None and before[0] == gram[0]], gram[1:] == gram[:-1]])
-        goes_on = same_gram & np.concatenate([[before is not None and before[1] == stretch[0]], stretch[1:] == stretch[:-1]])
+        goes_on = same_gram & np.concatenate([[before is not None and before[1:] == (one[0], two[0])], (one[1:] == one[:-1]) & (two[1:] == two[:-1])])
         repeats = (goes_on | np.append(goes_on[1:], False) | (own == MANY))[:rows]
         head = np.flatnonzero(~goes_on[:rows])
         first = ~same_gram[head]
@@ -138,14 +199,17 @@ def _judged(batches):
         same = np.flatnonzero(repeats)
         row = np.concatenate([same, speak])
         kind = np.concatenate([np.full(len(same), SAME), np.where(repeats[speak], SPEAKER, OPEN)])
-        out = [gram[row], k1[row], k2[row], place[row], kind.astype(np.int32)]
+        out = [gram[row], *(x[row] for x in rest), kind.astype(np.int32)]
         if len(head):
             if not first[0] and wait is not None:
                 out = [np.append(x, np.array(y, x.dtype)) for x, y in zip(out, wait, strict=True)]
             top = head[-1]
-            wait = (gram[top], k1[top], k2[top], place[top], SPEAKER if repeats[top] else OPEN) if first[-1] else None
-        before = (gram[rows - 1], stretch[rows - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "k1", "k2", "place", "kind"])
+            wait = (gram[top], *(x[top] for x in rest), SPEAKER if repeats[top] else OPEN) if first[-1] else None
+        before = (gram[rows - 1], one[rows - 1], two[rows - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], JUDGED)
+
+
+JUDGED = ["gram", "k1", "k2", "place", "reach", "kind"]
 
 
 def _and_end(batches):
@@ -291,7 +355,7 @@ def _sorted_groups(batches):
         if len(table) < 2:
             return None
         gram, k1, k2, place = (np.asarray(table.column(c)) for c in range(4))
-        raw, at = column_bytes(table.column(4))
+        raw, at = column_bytes(table.column(5))
         low, before, more = _unpack(place)
         mask = repeated_windows(raw, at, np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])), before, more)
         row, first, last = _spans(mask, before, low)
@@ -315,36 +379,32 @@ def _sorted_groups(batches):
         yield out
 
 
-def _window_hashes(batches):
-    for batch in batches:
-        k1, k2, place = (np.asarray(batch.column(c)) for c in (1, 2, 3))
-        raw, at = column_bytes(batch.column(4))
-        low, _, more = _unpack(place)
-        start = pieces(at[:-1], more + 1)
-        row = np.repeat(np.arange(len(place)), more + 1)
-        h1 = hash_spans(raw, start, start + LENGTH)
-        other = (raw ^ 0x5A).astype(np.uint8)
-        h2 = hash_spans(other, start, start + LENGTH) * _SECOND
-        yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(low[row] + start - at[:-1][row])], ["w1", "w2", "k1", "k2", "low"])
-
-
 def _cut_out(batches):
-    """From documents with lists of anchors' places: the stretches' bytes."""
+    """From documents with lists of stretches' places: the stretches' bytes. The join brings equal rows one after the other; one of them is enough."""
+    last = None
     for batch in batches:
-        raw, at = column_bytes(batch.column(3))
-        lists = batch.column(4)
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        batch = batch.filter(pa.array([x != y for x, y in zip(keys, [last, *keys], strict=False)], pa.bool_()))
+        last = keys[-1] if keys else last
+        raw, at = column_bytes(batch.column(2))
+        lists = batch.column(3)
         ends = lists.offsets.to_numpy()
-        size = np.diff(ends)
         flat = lists.values.slice(ends[0], ends[-1] - ends[0])
-        place, gram = np.asarray(flat.field("place")), np.asarray(flat.field("gram"))
-        doc = np.repeat(np.arange(len(batch)), size)
+        gram, place, reach = (np.asarray(flat.field(c)) for c in ("gram", "place", "reach"))
+        doc = np.repeat(np.arange(len(batch)), np.diff(ends))
         low, _, more = _unpack(place)
-        count = more + LENGTH
-        data = raw[pieces(at[:-1][doc] + low, count)]
-        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-        body = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        k1, k2 = np.asarray(batch.column(1))[doc], np.asarray(batch.column(2))[doc]
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(k1), pa.array(k2), pa.array(place), body], ["gram", "k1", "k2", "place", "body"])
+        end = np.cumsum(more + LENGTH)
+        a = 0
+        while a < len(place):
+            b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + BODIES, "right")))
+            rows = slice(a, b)
+            count = more[rows] + LENGTH
+            data = raw[pieces(at[:-1][doc[rows]] + low[rows], count)]
+            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            body = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            k1, k2 = (np.asarray(batch.column(c))[doc[rows]] for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (gram[rows], k1, k2, place[rows], reach[rows])), body], ["gram", "k1", "k2", "place", "reach", "body"])
+            a = b
 
 
 def _removed(as_text: bool):
@@ -374,34 +434,41 @@ def _removed(as_text: bool):
 def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) -> DataFrame:
     """docs without text, with n_bytes, n_removed, n_spans and kept: the remaining bytes, or as text without the parts of characters that a cut leaves."""
     spark = docs.sparkSession
-    small_batches(spark)
     names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept")]
     text = text_or_empty()
     key = F.col("doc_id").cast("string")
     row = F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))  # other columns ride along under names of our own
     keyed = docs.select(row.alias("row"), F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(7), text, key).alias("k2"), text.alias("text"))
-    anchors = cut_lineage(keyed.select("k1", "k2", "text").mapInArrow(_anchors, "gram long, stretch long, k1 long, k2 long, place long, kind int"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    asked = anchors.where(F.col("kind") < SAME).repartition("gram").sortWithinPartitions("gram", "stretch")
-    judged = cut_lineage(asked.mapInArrow(_judged, "gram long, k1 long, k2 long, place long, kind int"))
-    small_batches(spark)
+    asked = keyed.select("k1", "k2", "text").mapInArrow(_anchors, SCHEMA)
+    same, settled = [], []
     low, more = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFF)
-    same = judged.where(F.col("kind") == SAME).select("k1", "k2", "place").unionByName(anchors.where(F.col("kind") == SAME).select("k1", "k2", "place"))
-    ranges = same.select("k1", "k2", low.alias("low"), (low + more).alias("high"))
-
-    open_ = judged.where(F.col("kind") != SAME)
-    wanted = open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "gram")).alias("places"))
-    schema = "gram long, k1 long, k2 long, place long, body binary"
-    bodies = keyed.join(wanted.hint("shuffle_merge"), ["k1", "k2"]).select("row", "k1", "k2", "text", "places").mapInArrow(_cut_out, schema)
-    hot = [r.gram for r in open_.groupBy("gram").count().where(F.col("count") > most).select("gram").limit(10_001).collect()]
-    if hot:
-        rare = ~F.col("gram").isin(hot) if len(hot) <= 10_000 else F.lit(False)
-        windows = bodies.where(~rare).mapInArrow(_window_hashes, "w1 long, w2 long, k1 long, k2 long, low long")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        ranges = ranges.unionByName(windows.join(twice, ["w1", "w2"]).select("k1", "k2", "low", F.col("low").alias("high")))
-        bodies = bodies.where(rare)
-    ranges = ranges.unionByName(bodies.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, RANGE))
-    found = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+
+    def bodies(rows: DataFrame) -> DataFrame:
+        """The bytes of rows' stretches."""
+        wanted = rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "place", "reach")).alias("places"))
+        return keyed.select("k1", "k2", "text").join(wanted.hint("shuffle_merge"), ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_cut_out, "gram long, k1 long, k2 long, place long, reach int, body binary")
+
+    while True:
+        with small_batches(spark):
+            asked = cut_lineage(asked)
+        with small_batches(spark, 20_000):
+            met = asked.where(F.col("kind") < SAME).repartition("gram").sortWithinPartitions("gram", "stretch", "stretch2")
+            judged = cut_lineage(met.mapInArrow(_judged, ", ".join(f"{c} {'int' if c in ('reach', 'kind') else 'long'}" for c in JUDGED)))
+        same += [x.where(F.col("kind") == SAME).select("k1", "k2", low.alias("low"), (low + more).alias("high")) for x in (asked, judged)]
+        open_ = judged.where(F.col("kind") != SAME).select(*JUDGED[:-1])
+        hot = cut_lineage(open_.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram"))
+        if hot.isEmpty():
+            settled.append(open_)
+            break
+        settled.append(open_.join(hot, "gram", "left_anti"))
+        asked = bodies(open_.join(hot, "gram", "left_semi")).mapInArrow(_halves, SCHEMA)
+    open_ = settled[0]
+    for x in settled[1:]:
+        open_ = open_.unionByName(x)
+    ranges = bodies(open_).repartition("gram").sortWithinPartitions("gram", "k1", "k2", "place").mapInArrow(_sorted_groups, RANGE)
+    for x in same:
+        ranges = ranges.unionByName(x)
+    found = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     joined = keyed.join(found.hint("shuffle_merge"), ["k1", "k2"], "left").select("row", "text", "ranges")
     kinds = [("row", keyed.schema["row"].dataType), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.StringType() if as_text else T.BinaryType())]
     out = joined.mapInArrow(_removed(as_text), T.StructType([T.StructField(name, kind) for name, kind in kinds]))
