@@ -1,18 +1,18 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams are set against each other: one of target text (labelled good and
-not toxic, from a bounded sample of labelled rows) and one of raw text (all documents). A document's log
-importance is the ratio of the two models for it, in two readings: which words it has at all (a Bernoulli
-model, in which only clear depletion counts: smoothing by the raw model, then either a soft threshold or, with
-enough rows, only words that target text has far fewer of than chance allows, whichever does better on held-out
-rows), and the mean ratio of its words and word pairs (a multinomial model, free of length). Each is centred on
-the cut that separates labelled rows outside the target sample best; the weight is the lesser of the two. Gumbel top-k
-then draws k documents without replacement, with k the expected number of target documents: those of positive weight.
-
-Defined cases: null or empty text has neutral ratios; rows that repeat share the draw of their doc_id and
-text, so ties at the k-th key are all kept; a null doc_id is drawn like any other value; without labelled
-rows of a class there is no cut of its kind, and without target rows everything is kept; an empty table
-gives an empty result; further columns pass through.
+Target text (labelled good and not toxic, from a bounded sample of labelled rows) and raw text (all documents) each
+have two generative models over hashed n-grams: one of which words a text has at all (independent presences), and one
+of its words and word pairs (multinomial). A document's log importance is log p_target - log p_raw, in nats and
+unscaled; of the two models' ratios it has the lesser, as a text must be likely under both. Where a word's presence in
+target text is within CHANCE standard deviations of what raw text lets expect, the target model takes the raw one's
+probability; absent words have no term, being nearly all. Gumbel top-k then draws k documents without replacement:
+log importance plus Gumbel noise from doc_id and text, and the k greatest keys. k is a parameter; by default it is the
+share of good rows among the labelled rows, of all documents.
+
+Defined cases: null or empty text has log importance 0, and very long texts the sum over all of their n-grams; rows
+that repeat doc_id and text share their noise, so ties at the k-th key are all kept; null ids are told apart by their
+texts; without labelled rows every ratio is 0 and k all documents; an empty table gives an empty result; further
+columns pass through, and those called log_weight or sample_key are replaced.
 """
 
 from __future__ import annotations
@@ -23,19 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytebpe import hash_spans
-from .common import column_bytes, small_batches, text_or_empty
+from .bytebpe import Spans
+from .common import column_bytes, cut_lineage, small_batches, text_or_empty
 
-#: Labelled rows used at most, half of them for the target model and half to place the cuts.
+#: Labelled rows used at most.
 LABELLED = 50_000
 WORD_BITS, PAIR_BITS = 18, 16
-SMOOTH, SOFT = 3.0, 0.7
-#: Standard deviations below the expected count from which a word counts as depleted; clean rows that a cut may lose, and what losing them weighs.
-DEPLETED = 4.0
-LOST, LOST_WEIGHT = 0.03, 3.0
+#: Rows or occurrences that smoothing adds to both sides of a ratio.
+SMOOTH = 1.0
+#: Standard deviations from the expected presences under which a word says nothing.
+CHANCE = 4.0
 CHUNK = 1024
-#: Noise of the draw against a weight in units of the classes' spread.
-SHARPNESS = 200.0
 BLOCK = 1 << 20
 KINDS = {"has": WORD_BITS, "word": PAIR_BITS, "pair": PAIR_BITS}
 
@@ -55,11 +53,11 @@ def ngrams(raw: np.ndarray, at: np.ndarray) -> dict[str, tuple[np.ndarray, np.nd
     word = kind[starts] > 0
     starts, ends = starts[word], ends[word]
     doc = np.searchsorted(at, starts, "right") - 1
-    h = hash_spans(raw, starts, ends)
+    h = Spans(raw, starts, ends).key
     two = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
     two = (two ^ (two >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     same = doc[:-1] == doc[1:]
-    once = np.unique((doc.astype(np.uint64) << np.uint64(WORD_BITS)) | (h >> np.uint64(64 - WORD_BITS)))
+    once = np.unique((doc.astype(np.uint64) << np.uint64(WORD_BITS)) | (h >> np.uint64(64 - WORD_BITS)))  # a word counts once a text
     return {
         "has": ((once >> np.uint64(WORD_BITS)).astype(np.int64), (once & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)),
         "word": (doc, (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)),
@@ -82,7 +80,7 @@ def _count(batches):
     rows = np.zeros(CHUNK, np.int64)
     for batch in batches:
         flag = np.asarray(batch.column(1))
-        rows[:2] += len(flag), int(flag.sum())
+        rows[:3] += len(flag), int(flag.sum()), int(np.asarray(batch.column(2)).sum())
         for a, b, raw, at in blocks(batch.column(0)):
             target = flag[a:b]
             for kind, (doc, bucket) in ngrams(raw, at).items():
@@ -113,154 +111,97 @@ def _add(batches):
 
 
 class Model:
-    """Log ratios of target and raw text by bucket, and the two cuts."""
+    """Log ratios of target and raw text by bucket, from the counts of both."""
 
     def __init__(self, chunks: list) -> None:
         full = {f"{k}{t}": np.zeros(1 << bits) for k, bits in KINDS.items() for t in (0, 1)} | {"0": np.zeros(CHUNK)}
         for kind, chunk, counts in chunks:
             full[kind][chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, "<u8")
         raw_rows, target_rows = full["0"][:2]
-        self.empty = not target_rows
         self.ratio = {}
         for kind in KINDS:
             raw, target = full[f"{kind}0"], full[f"{kind}1"]
             share = target_rows / max(raw_rows, 1) if kind == "has" else target.sum() / max(raw.sum(), 1)
             expected = raw * share
             ratio = np.log((target + SMOOTH) / (expected + SMOOTH))
-            self.ratio[kind] = ratio.astype(np.float32)
             if kind == "has":
-                self.ratio["soft"] = (np.sign(ratio) * np.maximum(0, np.abs(ratio) - SOFT)).astype(np.float32)
-                self.ratio["depleted"] = np.where(expected - target > DEPLETED * np.sqrt(expected + 0.5), np.log((target + 1) / (expected + 1)), 0).astype(np.float32)
-        self.use = "soft"
-        self.cuts = {"has": (-np.inf, 1.0), "mean": (-np.inf, 1.0)}
-
-    def readings(self, column: pa.Array) -> dict[str, np.ndarray]:
-        """Both log ratios of the words that each text has, and the mean log ratio of its words and pairs."""
-        out = {k: np.zeros(len(column)) for k in ("soft", "depleted", "mean")}
+                ratio = np.where(np.abs(expected - target) > CHANCE * np.sqrt(expected + 0.5), ratio, 0)
+            self.ratio[kind] = ratio.astype(np.float32)
+
+    def ratios(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's log ratio by the words that it has, and by its words and word pairs."""
+        has, sums = np.zeros(len(column)), np.zeros(len(column))
         for a, b, raw, at in blocks(column):
-            n, found = b - a, ngrams(raw, at)
-            doc, bucket = found["has"]
-            for k in ("soft", "depleted"):
-                out[k][a:b] = np.bincount(doc, self.ratio[k][bucket], n)
-            sums = sum(np.bincount(found[k][0], self.ratio[k][found[k][1]], n) for k in ("word", "pair"))
-            size = np.bincount(found["word"][0], minlength=n) + np.bincount(found["pair"][0], minlength=n)
-            out["mean"][a:b] = sums / np.maximum(size, 1)
-        return out
-
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        read = self.readings(column)
-        return read[self.use], read["mean"]
-
-    def weight(self, has: np.ndarray, mean: np.ndarray) -> np.ndarray:
-        each = [SHARPNESS * np.where(np.isinf(cut), np.inf, (x - (0 if np.isinf(cut) else cut)) / spread) for x, (cut, spread) in ((has, self.cuts["has"]), (mean, self.cuts["mean"]))]
-        return np.minimum(np.minimum(*each), 1e3)
-
-
-def best_cut(good: np.ndarray, bad: np.ndarray) -> tuple[float, float, float]:
-    """The cut that catches most bad rows for what it loses of good ones, half the distance of the medians, and the cut's value."""
-    if not len(good) or not len(bad):
-        return -np.inf, 1.0, 0.0
-    cuts = np.unique(np.concatenate([np.quantile(bad, np.linspace(0, 1, 401)), np.quantile(good, np.linspace(0, 0.2, 201))]))
-    cuts = np.concatenate([[cuts[0] - 1e-9], (cuts[1:] + cuts[:-1]) / 2])
-    lost = np.searchsorted(np.sort(good), cuts) / len(good)
-    caught = np.searchsorted(np.sort(bad), cuts) / len(bad)
-    value = np.where(lost <= LOST, caught - LOST_WEIGHT * lost, -1)
-    best = int(np.argmax(value))
-    return float(cuts[best]), max(1e-6, abs(float(np.median(good) - np.median(bad))) / 2), float(value[best])
+            found = {k: np.bincount(doc, self.ratio[k][bucket], b - a) for k, (doc, bucket) in ngrams(raw, at).items()}
+            has[a:b], sums[a:b] = found["has"], found["word"] + found["pair"]
+        return has, sums
+
+    def weight(self, column: pa.Array) -> np.ndarray:
+        return np.minimum(*self.ratios(column))
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(doc_id, class, fit): a bounded sample by hash of labelled rows; class 0 good, 1 low quality, 2 toxic; conflicting rows count by their worst."""
+    """(labelled_id, good): a bounded sample by hash of labelled rows; conflicting rows count by their worst."""
     own = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("doc_id is not null")
-    order = F.xxhash64("doc_id")
-    return own.orderBy(order).limit(most).select(
-        F.col("doc_id").alias("labelled_id"),
-        F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("label_class"),
-        (F.pmod(order, F.lit(2)) == 0).alias("label_fit"),
-    )
+    return own.orderBy(F.xxhash64("doc_id")).limit(most).select(F.col("doc_id").alias("labelled_id"), F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False)).alias("good"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
-    """Counts over all documents, log ratios, and the cuts."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Model, float]:
+    """The models, counted over all documents, and the share of good rows among those of labelled documents (1 if there are none)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    sample = labelled_sample(labels, most).persist()
-    try:
+    with small_batches(spark):
+        sample = cut_lineage(labelled_sample(labels, most))
         rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"), "left")
-        flagged = rows.select("text", F.coalesce(F.col("label_fit") & (F.col("label_class") == 0), F.lit(False)).alias("target"))
+        flagged = rows.select("text", F.coalesce("good", F.lit(False)).alias("target"), F.col("labelled_id").isNotNull().alias("labelled"))
         parts = flagged.mapInArrow(_count, "kind string, chunk int, counts binary")
         summed = parts.repartition("kind", "chunk").sortWithinPartitions("kind", "chunk").mapInArrow(_add, "kind string, chunk int, counts binary")
-        model = Model([tuple(r) for r in summed.collect()])
-        if model.empty:
-            return model
-        shared = spark.sparkContext.broadcast(model)
-
-        def scores(batches):
-            for batch in batches:
-                read = shared.value.readings(batch.column(0))
-                yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, read.values())], ["label_class", *read])
-
-        held = rows.where("not label_fit").select("text", "label_class").mapInArrow(scores, "label_class int, soft double, depleted double, mean double").toPandas()
-    finally:
-        sample.unpersist()
-    good, low, toxic = (held[held.label_class == k] for k in range(3))
-    cuts = {k: best_cut(good[k].values, toxic[k].values) for k in ("soft", "depleted")}
-    model.use = max(cuts, key=lambda k: cuts[k][2])
-    model.cuts = {"has": cuts[model.use][:2], "mean": best_cut(good["mean"].values, low["mean"].values)[:2]}
-    return model
+        chunks = [tuple(r) for r in summed.collect()]
+    _, target, labelled = next((np.frombuffer(counts, "<u8")[:3] for kind, chunk, counts in chunks if (kind, chunk) == ("0", 0)), (0, 0, 0))
+    return Model(chunks), float(target / labelled) if labelled else 1.0
 
 
 def weighted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with log_weight and sample_key (log weight and Gumbel noise from doc_id and text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    """docs with log_weight and sample_key: the log importance, and that with Gumbel noise from doc_id and text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("log_weight", "sample_key")]
-    rows = docs.select(*kept, text_or_empty().alias("__text"))
+    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id", "text"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    rows = docs.select(*kept, (-F.log(-F.log(draw))).alias("__noise"), text_or_empty().alias("__text"))
 
     def run(batches):
         for batch in batches:
-            weight = shared.value.weight(*shared.value.score(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight)], [*kept, "log_weight"])
+            *own, noise, text = batch.columns
+            weight = shared.value.weight(text)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(weight), pa.array(weight + np.asarray(noise))], [*kept, "log_weight", "sample_key"])
 
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("log_weight", T.DoubleType())])
-    out = rows.mapInArrow(run, schema)
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return out.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(draw)))
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("sample_key", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def kth_largest(rows: DataFrame, key: str, k: int) -> float:
-    """The k-th largest value of a double column, by histograms of 1024 bins, each within one bin of the last."""
+    """The k-th largest value of a column of finite doubles, by histograms of 1024 bins, each within one bin of the last."""
     low, high = rows.agg(F.min(key), F.max(key)).first()
     above = 0
     while low < high:
         bin_of = F.least(F.lit(1023), F.floor((F.col(key) - low) / (high - low) * 1024))
         bins = {r.b: (r.n, r.low, r.high) for r in rows.where(F.col(key).between(low, high)).groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()}
         for b in sorted(bins, reverse=True):
-            n, first, last = bins[b]
+            n, low, high = bins[b]
             if above + n >= k:
                 break
             above += n
-        if (first, last) == (low, high):
-            values = sorted({r[0] for r in rows.where(F.col(key).between(low, high)).select(key).distinct().limit(4096).collect()}, reverse=True)
-            return values[0] if len(values) == 1 else low
-        low, high = first, last
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """The drawn documents with log_weight and sample_key."""
-    model = fit(docs, labels, most)
-    narrow = weighted(docs.select("doc_id", "text"), model).select("log_weight", "sample_key").persist()
-    try:
-        k = narrow.where("log_weight > 0").count()
-        cut = kth_largest(narrow, "sample_key", k) if k else np.inf
-    finally:
-        narrow.unpersist()
-    return weighted(docs, model).where(F.col("sample_key") >= F.lit(float(cut)))
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = LABELLED, columns: list[str] | None = None) -> DataFrame:
+    """The k drawn documents (by default as many as the labelled rows' share of good ones lets expect) with log_weight and sample_key; of docs all columns, or those given. Weights are read once and written with the rows."""
+    model, share = fit(docs, labels, most)
+    with small_batches(docs.sparkSession):
+        scored = cut_lineage(weighted(docs, model).select(*(columns or [c for c in docs.columns if c not in ("log_weight", "sample_key")]), "log_weight", "sample_key"))
+    k = round(scored.count() * share) if k is None else k
+    return scored.where(F.col("sample_key") >= F.lit(float(kth_largest(scored, "sample_key", k)))) if k and not scored.isEmpty() else scored.limit(0)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return resample(docs, labels).select("doc_id", "log_weight", "sample_key")
+    return resample(docs, labels, columns=["doc_id"])
