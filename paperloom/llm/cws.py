@@ -12,15 +12,18 @@ of each pair's hash, so a draw collides by chance once in 65,536; likeness is th
 Words of weight one need only r (b) and c at level 0; their ln a is kept for as many words as a worker's
 bounded caches hold, and drawn anew, to the same values, for others.
 
+The next document is found by ranges: bounds from a sample cut the order into ranges of some thousand rows, each is
+sorted by one task as a stream, and the first row of a range also goes to the end of the range before it.
+
 Defined cases: null text counts as empty; texts without words have equal fingerprints, all zero, and are
 alike to each other only; equal texts have equal fingerprints; the next document is the next in the order
-of doc_id (nulls first), then text, so repeated rows follow each other; of one row the next is itself; an
-empty table gives an empty result; further columns are ignored.
+of doc_id (nulls first), then a hash of the text, then the text, so rows of one id or none lie in many ranges like
+others and repeated rows follow each other; of one row the next is itself; a very long text is sampled in parts of its
+terms; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import Table, hash_spans, heads, mixed
+from .bytebpe import Keys, Spans, mixed
 from .common import small_batches, text_or_empty
 
 SAMPLES = 64
@@ -37,8 +40,10 @@ WORDS, WHOLE = 1 << 16, 1 << 14
 #: Bytes of texts that are taken at once, and terms of them.
 BLOCK, TERMS = 1 << 18, 1 << 14
 _UNIT = np.float32(2.0**-24)
-#: Rows of a range of doc_ids that one group of the sorted pass takes, about.
-RANGE_ROWS = 2_000
+#: Rows of a range, about; beyond MANY ranges up to WIDE of them, so that bounds stay few (16 bytes for each range).
+RANGE_ROWS, MANY, WIDE = 2_000, 1_000, 100_000
+#: Sampled rows for each bound.
+SAMPLED = 8
 
 
 class Sampler:
@@ -48,8 +53,8 @@ class Sampler:
         self.samples = samples
         draw = np.arange(1, samples + 1, dtype=np.uint64)
         self.salt = [mixed(draw * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k << 32)) for k in range(3)]
-        self.one, self.one_values = Table(WORDS), np.empty((2 * WORDS, samples), np.float32)
-        self.full, self.full_values = Table(WHOLE), np.empty((2 * WHOLE, 3, samples), np.float32)
+        self.one, self.one_values = Keys(WORDS), np.empty((2 * WORDS, samples), np.float32)
+        self.full, self.full_values = Keys(WHOLE), np.empty((2 * WHOLE, 3, samples), np.float32)
 
     def draws(self, key: np.ndarray) -> np.ndarray:
         """r, b and ln c of each key and draw, from three 64-bit hashes cut into uniform numbers of 24 bits."""
@@ -59,8 +64,8 @@ class Sampler:
             u += [((h >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * _UNIT, ((h >> np.uint64(8) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * _UNIT]
         return np.stack([-np.log(u[0] * u[1]), u[2], np.log(-np.log(u[3] * u[4]))], axis=1)
 
-    def _cached(self, table: Table, values: np.ndarray, key: np.ndarray, make) -> np.ndarray:
-        at = table.find(key, key)
+    def _cached(self, table: Keys, values: np.ndarray, key: np.ndarray, make) -> np.ndarray:
+        at = table.find(key)
         new = np.flatnonzero(at < 0)
         if len(new):
             made = make(key[new])
@@ -74,7 +79,7 @@ class Sampler:
                 return self._cached(table, values, key, make)
             values[table.n : table.n + len(new)] = made
             at[new] = np.arange(table.n, table.n + len(new))
-            table.add(key[new], key[new], np.zeros(len(new), np.int64), np.zeros(0, np.uint16))
+            table.place(key[new])
         return values[at]
 
     def _at_one(self, key: np.ndarray) -> np.ndarray:
@@ -100,7 +105,7 @@ class Sampler:
         starts, ends = edge[::2], edge[1::2]
         if not len(starts):
             return
-        word = mixed(hash_spans(raw, starts, ends) ^ heads(raw, starts, ends))
+        word = Spans(raw, starts, ends).key
         doc = np.searchsorted(at, starts, "right") - 1
         order = np.lexsort((word, doc))
         word, doc = word[order], doc[order]
@@ -154,35 +159,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def in_ranges(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
-    """(range_no, is_next, doc_id, text): documents by ranges of doc_id, and for each range the first document of the next one, of the last range that of the first."""
+def sort_key(doc_id: pa.Array, text_hash: pa.Array) -> np.ndarray:
+    """(doc_id, hash of the text) as bytes that sort as the pair does, nulls first."""
+    out = np.zeros(len(doc_id), [("some", ">u1"), ("id", ">u8"), ("hash", ">u8")])
+    flip = lambda x: np.asarray(x).view(np.uint64) ^ np.uint64(1 << 63)
+    out["some"], out["id"], out["hash"] = np.asarray(doc_id.is_valid()), flip(doc_id.fill_null(0)), flip(text_hash)
+    return out.view("S17")
+
+
+def bounds(keyed: DataFrame, rows: int) -> np.ndarray:
+    """Lower bounds of all ranges but the first, from a sample by hash of (doc_id, text_hash)."""
+    n = keyed.count()
+    parts = max(1, min(-(-n // rows), max(MANY, -(-n // WIDE))))
+    every = max(1, n // (parts * SAMPLED))
+    sample = keyed.select("doc_id", "text_hash").where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text_hash"), F.lit(every)) == 0).toArrow()
+    keys = np.sort(sort_key(*(sample.column(c).combine_chunks() for c in ("doc_id", "text_hash"))))
+    return np.unique(keys[(np.arange(1, parts) * len(keys)) // parts]) if parts > 1 and len(keys) else keys[:0]
+
+
+def _place(shared):
+    def run(batches):
+        for batch in batches:
+            at = np.searchsorted(shared.value, sort_key(batch.column(0), batch.column(1)), "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "range_no"])
+
+    return run
+
+
+def in_ranges(docs: DataFrame, rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """(range_no, is_next, doc_id, text_hash, text), documents by ranges and for each range the first document of the next one, of the last range that of the first; and the number of ranges."""
     spark = docs.sparkSession
-    own = docs.select("doc_id", text_or_empty().alias("text"))
-    n = docs.select("doc_id").count()
-    parts = max(1, min(10_000, -(-n // rows)))
-    bounds = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double").alias("x")).where("x is not null").approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    shared = F.array(*[F.lit(x) for x in bounds]) if bounds else None
-    range_no = F.lit(0) if shared is None else F.coalesce(F.size(F.filter(shared, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    if len(bounds) > 512:  # a search in Python beats comparing with every bound
-        values = spark.sparkContext.broadcast(bounds)
-
-        def search(batches):
-            for batch in batches:
-                at = [0 if x is None else bisect.bisect_right(values.value, x) for x in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], ["doc_id", "text", "range_no"])
-
-        placed = own.mapInArrow(search, "doc_id long, text string, range_no int")
-    else:
-        placed = own.select("doc_id", "text", range_no.cast("int").alias("range_no"))
-    firsts = {r.range_no: r.least for r in placed.select("range_no", "doc_id").groupBy("range_no").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("least")).collect()}
-    order = sorted(firsts)
-    before = {k: order[i - 1] for i, k in enumerate(order)}
-    if not order:
-        return placed.select("range_no", F.lit(False).alias("is_next"), "doc_id", "text")
-    ids = spark.createDataFrame([(k, firsts[k].doc_id, before[k]) for k in order], "range_no int, head long, to_range int")
-    heads_ = placed.join(F.broadcast(ids), "range_no").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    heads_ = heads_.groupBy("to_range").agg(F.min(F.struct("text", "doc_id")).alias("x"))
-    return placed.select("range_no", F.lit(False).alias("is_next"), "doc_id", "text").unionAll(heads_.select(F.col("to_range").alias("range_no"), F.lit(True), "x.doc_id", "x.text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    cuts = bounds(keyed, rows)
+    shared = spark.sparkContext.broadcast(cuts)
+    narrow = keyed.select("doc_id", "text_hash").mapInArrow(_place(shared), "doc_id long, text_hash long, range_no int")
+    row = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text_hash")
+    first = {r.range_no: r.least for r in narrow.groupBy("range_no").agg(F.min(row).alias("least")).collect()}
+    order = sorted(first)
+    ids = spark.createDataFrame([(first[k].doc_id, first[k].text_hash, order[i - 1]) for i, k in enumerate(order)], "head_id long, head_hash long, to_range int")
+    heads = keyed.join(F.broadcast(ids), (F.col("text_hash") == F.col("head_hash")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
+    heads = heads.groupBy("to_range").agg(F.min(F.struct("text_hash", "text", "doc_id")).alias("x"))
+    placed = keyed.mapInArrow(_place(shared), "doc_id long, text_hash long, text string, range_no int")
+    own = placed.select("range_no", F.lit(False).alias("is_next"), "doc_id", "text_hash", "text")
+    return own.unionAll(heads.select(F.col("to_range").alias("range_no"), F.lit(True), "x.doc_id", "x.text_hash", "x.text")), len(cuts) + 1
 
 
 def _pairs(samples: int):
@@ -190,7 +209,7 @@ def _pairs(samples: int):
         sampler = Sampler(samples)
         held = None  # the last row: range, whether it only follows, doc_id, text, its signature
         for batch in batches:
-            number, is_next, doc_id, text = (c.to_pylist() for c in batch.columns)
+            number, is_next, doc_id, _, text = (c.to_pylist() for c in batch.columns)
             rows = list(zip(number, is_next, doc_id, text, sampler.signatures([x.encode() for x in text]), strict=True))
             rows, held = ([held] if held else []) + rows, rows[-1] if rows else held
             two = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if x[0] == y[0] and not x[1]]
@@ -207,8 +226,9 @@ def _pairs(samples: int):
 
 def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness; one shuffle of the texts, by ranges of doc_id."""
-    small_batches(docs.sparkSession)
-    rows = in_ranges(docs).repartition("range_no").sortWithinPartitions("range_no", "is_next", "doc_id", "text")
+    with small_batches(docs.sparkSession, 10_000):
+        placed, n = in_ranges(docs)
+    rows = placed.repartition(n, "range_no").sortWithinPartitions("range_no", "is_next", "doc_id", "text_hash", "text")
     return rows.mapInArrow(_pairs(samples), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
