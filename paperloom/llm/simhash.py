@@ -9,11 +9,13 @@ of the others with two at most: key = the clean segment and an index of the othe
 segments and at most two in the third: key = a clean half of both and an index of the third. That makes 18
 tables of 33-bit keys, so no link is missed. Equal keys meet by sort; in a group a search from each unseen
 fingerprint over those not reached yet gives a spanning forest of all links by true distance, never all
-pairs. Fingerprints are joined once each, however many documents share one.
+pairs. A group of over GROUP fingerprints is dealt in chunks by hash, and every two chunks meet in a task of their own,
+so no link is lost and no task holds the group. Fingerprints are joined once each, however many documents share one.
 
 Defined cases: null or wordless text has fingerprint zero, linked like any other; equal texts have equal
-fingerprints; a null doc_id takes part but can't name a component unless all of its ids are null; an empty
-table gives an empty result; columns beyond doc_id and text are ignored.
+fingerprints; repeated rows have a row each; a very long text is hashed whole by its task; a null doc_id takes part but
+can't name a component unless all of its ids are null; an empty table gives an empty result; columns beyond doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Fingerprints of one key that one task searches, and fingerprints of one task that makes keys.
+GROUP, KEYED = 20_000, 20_000
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
 GOLAY = 0b101011100011
 
@@ -68,7 +72,6 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
     """(doc_id, fp) with the 64 bits as a signed long; further columns stand between."""
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", *also, text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprints, ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[:-1]) + ", fp long")
 
@@ -157,71 +160,109 @@ def forest(group: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def _linked(distance: int):
+def _linked(distance: int, most: int):
+    """From rows (key, part, fp) in order, links (a, b) of each group of equal key and part; of a group of over `most`, nothing but rows (key, fp) to be dealt anew."""
+
     def links(key: np.ndarray, fp: np.ndarray):
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
         two = start[size == 2]
         two = two[distances(fp[two], fp[two + 1]) <= distance]
-        found = [(fp[two], fp[two + 1])]
+        found, big = [(fp[two], fp[two + 1])], [(key[:0], fp[:0])]
         for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            found += forest(fp[a : a + n], distance)
+            if n > most:
+                big.append((key[a : a + n], fp[a : a + n]))
+            else:
+                found += forest(fp[a : a + n], distance)
         a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        yield batch_of(pairs[:, 0], pairs[:, 1], None)
+        for key, fp in big:
+            yield batch_of(fp, fp, key)
+
+    def batch_of(a, b, key):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)], ["a", "b", "key"])
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
+        count, passed = 0, None  # the key of a group that is being passed on
         for batch in batches:
             key, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if passed is not None and len(key):
+                own = int(np.searchsorted(key, passed, "right"))
+                if own:
+                    yield batch_of(fp[:own], fp[:own], key[:own])
+                key, fp = key[own:], fp[own:]
+                passed = None if len(key) else passed
             if not len(key):
                 continue
             held.append((key, fp))
             count += len(key)
-            if count < 200_000 or held[0][0][0] == key[-1]:  # a group's rows stay together
+            if count < 200_000:
                 continue
             key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(key, key[-1]))
-            yield links(key[:cut], fp[:cut])
+            if cut == 0 and count > most:
+                yield batch_of(fp, fp, key)
+                held, count, passed = [], 0, key[-1]
+                continue
+            if cut:
+                yield from links(key[:cut], fp[:cut])
             held, count = [(key[cut:], fp[cut:])], len(key) - cut
         if held:
-            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> DataFrame:
     """(a, b): links that span every component of different fingerprints (column fp). Keys are complete up to DISTANCE only."""
     if distance > DISTANCE:
         raise ValueError(f"keys find all links up to {DISTANCE} differing bits, not {distance}")
-    keyed = distinct.select("fp").mapInArrow(_keyed, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked(distance), "a long, b long").distinct()
-
-
-def _with_component(distinct: DataFrame, distance: int) -> DataFrame:
-    """Different fingerprints (column fp) with the least one that links reach."""
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    node = components(links(distinct, distance)).withColumnRenamed("node", "fp")
-    small_batches(spark)
-    return distinct.join(node, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-
-
-def survivors(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    spark, schema = distinct.sparkSession, "a long, b long, key long"
+    dealt = distinct.select("fp").repartition(-(-max(1, distinct.count()) // KEYED))
+    with small_batches(spark, 20_000):
+        keyed = dealt.mapInArrow(_keyed, "key long, fp long")
+        found = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked(distance, most), schema))
+        big = found.where("key is not null")
+        chunks = cut_lineage(big.groupBy("key").agg(F.ceil(2 * F.count("*") / most).cast("int").alias("chunks")))
+        out = found.where("key is null")
+        if not chunks.isEmpty():
+            own = F.pmod(F.xxhash64("a"), F.col("chunks"))
+            pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x.cast("long"), own).alias("i"), F.greatest(x.cast("long"), own).alias("j"))))
+            met = big.join(chunks, "key").select("a", "key", pair.alias("pair")).select(F.xxhash64("key", "pair").alias("key"), F.col("a").alias("fp"))
+            again = met.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked(distance, 1 << 62), schema)
+            out = out.unionByName(cut_lineage(again))
+    return out.select("a", "b").distinct()
+
+
+def _with_component(distinct: DataFrame, distance: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Different fingerprints (column fp and others) without any link, and those with links, written with the least fingerprint that links reach as component."""
+    node = cut_lineage(components(links(distinct, distance, most)).withColumnRenamed("node", "fp"))
+    return distinct.join(node, "fp", "left_anti"), cut_lineage(distinct.join(node, "fp"))
+
+
+def _fingerprint_table(docs: DataFrame, *also: Column) -> DataFrame:
+    with small_batches(docs.sparkSession):
+        return cut_lineage(fingerprints(docs, *also))
+
+
+def survivors(docs: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> DataFrame:
     """(doc_id, text_hash), the XXH64 of its text, of one row for each component: the least doc_id, nulls last, then the least hash."""
-    each = cut_lineage(fingerprints(docs, F.xxhash64("text").alias("text_hash")))
+    each = _fingerprint_table(docs, F.xxhash64("text").alias("text_hash"))
     row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
-    joined = _with_component(each.groupBy("fp").agg(F.min(row).alias("least")), distance)
-    return joined.groupBy("component").agg(F.min("least").alias("least")).select("least.doc_id", "least.text_hash")
+    alone, linked = _with_component(cut_lineage(each.groupBy("fp").agg(F.min(row).alias("least"))), distance, most)
+    chosen = alone.select("least").unionByName(linked.groupBy("component").agg(F.min("least").alias("least")).select("least"))
+    return chosen.select("least.doc_id", "least.text_hash")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
-    each = cut_lineage(fingerprints(docs))
-    joined = _with_component(each.groupBy("fp").agg(F.min("doc_id").alias("least")), distance)
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = joined.select("fp", "component").join(least, "component").select("fp", "component_id")
+    each = _fingerprint_table(docs)
+    alone, linked = _with_component(cut_lineage(each.groupBy("fp").agg(F.min("doc_id").alias("least"))), distance, most)
+    # a table of its own, so that a component of many fingerprints is split in the join
+    least = cut_lineage(linked.groupBy("component").agg(F.min("least").alias("component_id")))
+    classes = alone.select("fp", F.col("least").alias("component_id")).unionByName(linked.join(least, "component").select("fp", "component_id"))
     return each.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
