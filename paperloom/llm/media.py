@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, text_or_empty
+from .common import text_or_empty
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -159,7 +159,6 @@ def as_image(payload: bytes) -> np.ndarray:
 
 def to_png(df: DataFrame, payload: str = "payload", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, n_bytes and media: each binary payload as PNG."""
-    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
