@@ -263,13 +263,17 @@ class Table(Keys):
         key, n = np.empty(self.n, np.uint64), max(1, self.n)
         at = np.flatnonzero(self.slot >= 0)
         key[self.slot[at]] = self.key[at]
-        return self.bits, self.limit, key, {k: v[:n].copy() for k, v in self.columns.items()}, self.pool[: self.used].copy(), self.bytes[: self.bytes_used].copy()
+        narrow = lambda x: x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.int32)
+        size, count = narrow(self.columns["size"][:n]), narrow(self.columns["count"][:n])
+        return self.bits, self.limit, key, size, count, self.columns["head"][:n].copy(), self.columns["tail"][:n].copy(), self.pool[: self.used].copy(), self.bytes[: self.bytes_used].copy()
 
     def __setstate__(self, state: tuple) -> None:
-        self.bits, self.limit, key, columns, pool, body = state
+        self.bits, self.limit, key, size, count, head, tail, pool, body = state
         self.clear()
         self.place(key)
-        self.columns, self.pool, self.used, self.bytes, self.bytes_used = columns, pool, len(pool), body, len(body)
+        before = lambda x: np.cumsum(x, dtype=np.int64) - x
+        self.columns = {"size": size.astype(np.int32), "head": head, "tail": tail, "body": before(np.where(size > SHORT, size, 0).astype(np.int64)), "first": before(count.astype(np.int64)), "count": count.astype(np.int32)}
+        self.pool, self.used, self.bytes, self.bytes_used = pool, len(pool), body, len(body)
 
     def find(self, spans: Spans) -> np.ndarray:
         """The entry of each span, -1 where there is none."""
@@ -331,7 +335,7 @@ class Encoder:
             a = b
 
     def lookup(self, raw: np.ndarray, offsets: np.ndarray):
-        """(entry, starts, pre-tokens before each text) of a block without added tokens; entries from -2 down are the cache's."""
+        """(entry, keys, pre-tokens before each text) of a block without added tokens; entries from -2 down are the cache's."""
         starts, before = self.bpe.split(raw, offsets)
         spans = Spans(raw, starts, np.append(starts[1:], len(raw)))
         entry = np.full(len(starts), -1, np.int32)
@@ -349,7 +353,7 @@ class Encoder:
                 self._learn(asked.take(new))
                 found[new] = self.cache.find(asked.take(new))
             entry[miss] = -2 - found
-        return entry, starts, before
+        return entry, spans.key, before
 
     def _learn(self, spans: Spans) -> None:
         _, one = np.unique(spans.key, return_index=True)
@@ -401,23 +405,34 @@ class Encoder:
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray):
         """For each block: (first text, end, ids of all its texts, ids before each text)."""
+        for a, b, ids, before, _, _ in self.ids_and_keys(raw, offsets):
+            yield a, b, ids, before
+
+    def ids_and_keys(self, raw: np.ndarray, offsets: np.ndarray):
+        """For each block: (first text, end, ids of all its texts, ids before each text, keys of their pre-tokens, pre-tokens before each text)."""
         for a, b, part, at in self.blocks(raw, offsets):
             if self.bpe.has_special(part):
                 each = [self._ids_one(part[at[k] : at[k + 1]]) for k in range(b - a)]
-                yield a, b, np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+                yield a, b, np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]), *self.keys(part, at)
             elif len(cuts := self._cuts(part)) > 2:
-                ids = np.concatenate([self._ids_block(part[x:y], np.array([0, y - x]))[0] for x, y in zip(cuts, cuts[1:], strict=False)])
-                yield a, b, ids, np.array([0, len(ids)])
+                each = [self._ids_block(part[x:y], np.array([0, y - x])) for x, y in zip(cuts, cuts[1:], strict=False)]
+                ids, keys = np.concatenate([x[0] for x in each]), np.concatenate([x[2] for x in each])
+                yield a, b, ids, np.array([0, len(ids)]), keys, np.array([0, len(keys)])
             else:
                 yield a, b, *self._ids_block(part, at)
 
+    def keys(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a block's pre-tokens, and how many stand before each text."""
+        starts, before = self.bpe.split(part, at)
+        return Spans(part, starts, np.append(starts[1:], len(part))).key, before
+
     def _ids_one(self, part: np.ndarray) -> np.ndarray:
         if self.bpe.has_special(part):
             return np.array(self.bpe.encode_text(part.tobytes()), np.uint16)
         return self._ids_block(part, np.array([0, len(part)]))[0]
 
-    def _ids_block(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry, _, before = self.lookup(part, at)
+    def _ids_block(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        entry, keys, before = self.lookup(part, at)
         own, size = entry < -1, self._sizes(entry).astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         out = np.empty(int(total[-1]), np.uint16)
@@ -427,4 +442,4 @@ class Encoder:
                     out = table.pool[pieces(table.first[np.where(own, -2 - entry, entry)], size)]
                 else:
                     out[pieces(total[rows], size[rows])] = table.pool[pieces(table.first[np.where(own, -2 - entry, entry)[rows]], size[rows])]
-        return out, total[before]
+        return out, total[before], keys, before
