@@ -26,8 +26,8 @@ from .bytebpe import ByteBpe, Encoder, Spans, Table
 from .common import column_bytes, cut_lineage, pieces, small_batches, text_or_empty
 from .token_counts import block_words, encoded_table, most_frequent
 
-#: Words of the broadcast table at most: about 15 MB in each worker.
-BROADCAST = 1 << 18
+#: Words of the broadcast table at most: about 35 MB as it is sent.
+BROADCAST = 1 << 20
 #: Distinct words that a task holds before it passes them on.
 HELD = 1 << 19
 
