@@ -29,10 +29,11 @@ def nbsp_to_space(text: Column) -> Column:
 
 
 def normalize_space(text: Column) -> Column:
-    """FN-11: zero-width characters go, a tab or three blanks and more become one tab, other white space one blank, ends are trimmed."""
+    """FN-11: zero-width characters go, a tab or three blanks and more become one tab (six blanks at a bracket, as a place to tick), other white space one blank, ends are trimmed."""
     clean = F.regexp_replace(nbsp_to_space(text), "[\u200b\u200c\u200d\ufeff]", "")
     tabs = F.regexp_replace(clean, r" *\t[ \t]*| {3,}", "\t")
-    return F.regexp_replace(F.regexp_replace(tabs, r"[ \r\n\f]+", " "), r"^[ \t]+|[ \t]+$", "")
+    ends = F.regexp_replace(F.regexp_replace(tabs, r"[ \r\n\f]+", " "), r"^[ \t]+|[ \t]+$", "")
+    return F.regexp_replace(F.regexp_replace(ends, r"([(\[])\t", "$1      "), r"\t(?=[)\]])", "      ")
 
 
 def ascii_digits(text: Column) -> Column:

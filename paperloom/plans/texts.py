@@ -29,7 +29,7 @@ def empty_lines_dropped(spark, d):
     return lines.where((F.trim("line") != "") | (F.col("n") == 1)).groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
-@query("whitespace_normalise", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), ' *\t[ \t]*| {3,}', chr(9), 'g'), '[ \r\n\f]+', ' ', 'g'), '^[ \t]+|[ \t]+$', '', 'g') AS line FROM documents")
+@query("whitespace_normalise", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), ' *\t[ \t]*| {3,}', chr(9), 'g'), '[ \r\n\f]+', ' ', 'g'), '^[ \t]+|[ \t]+$', '', 'g'), '([(\[])\t', '\1      ', 'g'), '\t([)\]])', '      \1', 'g') AS line FROM documents")
 def whitespace_normalise(spark, d):
     """FN-11."""
     return table(spark, d, "documents").select("doc_id", T.normalize_space(F.col("text")).alias("line"))
