@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Tolerances in points.
+# Tolerances in points, patterns of page numbers, lone marks, labels, header lines and instructing verbs.
 ROW_TOLERANCE, TAB_GAP, EDGE = 3.0, 18.0, 50.0
-PAGE_NUMBER = r"(?i)^\s*(page\s*)?\d{1,3}(\s*(of|/)\s*\d{1,3})?\s*$"
+PAGE_NUMBER = r"(?i)^\s*(page\s*\d+(\s*(of|/)\s*\d+)?|\d+\s*(of|/)\s*\d+|-?\s*\d+\s*-?)\s*$"
 MARK_ONLY = r"(?i)^\s*(\d+\s*M(arks?)?|\[\d+\])\s*$"
 LABEL = r"^\s*\(?([A-Za-z]|\d{1,2}|[ivx]{1,4})[.)]|^\s*Q\s*\.?\s*\d"
 NO_JOIN_AFTER = r"(?i)^\s*(Class\s*:|Date\s*:|Roll\s*No|Time\s*:|General\s+Instructions|Section\b|OR\s*$)"
-UMBRELLA = r"(?i)^(answer|attempt|choose|select|tick|fill|match|read|complete|do as directed|solve|rearrange|identify|name|define|give)\b"
+UMBRELLA = r"(?i)^(answer|attempt|choose|select|tick|fill|match|read|complete|do as directed|solve|unscramble|rearrange|arrange|identify|observe|name|define|give|state|write|put|mark|circle|classify|categori[sz]e|find|correct|rewrite|change|convert|expand|frame|make|pick|underline|very short|short|long|case[- ]based|hots|application)\b"
+TABLE_UMBRELLA = r"(?i)^(answer|attempt|match|complete|fill)"
 
 
 def outside_boxes(pieces: DataFrame, boxes: DataFrame, page: str) -> DataFrame:
@@ -88,9 +89,11 @@ def good_table(area: Column, page_area: Column, rows: Column, columns: Column, h
     return (area >= 400) & (rows >= 2) & (columns >= 2) & (area <= 0.35 * page_area) & (header_cells >= F.greatest(F.lit(2), F.floor(columns / 2))) & (longest <= 120)
 
 
-def umbrella(stem: Column, subs: Column, pairs: Column) -> Column:
-    """FLT-14: a stem that only introduces its parts."""
-    return (F.char_length(stem) <= 140) & ~stem.contains("?") & stem.rlike(UMBRELLA) & ((subs >= 2) | pairs)
+def umbrella(stem: Column, subs: Column, pairs: Column, table: Column | None = None) -> Column:
+    """FLT-14: a stem that only introduces its parts, its matching columns or, after some verbs, its table."""
+    own = F.regexp_replace(F.trim(stem), r"^\(?[A-Za-z]\)\s*", "")
+    below = (subs >= 2) | pairs if table is None else (subs >= 2) | pairs | (table & F.trim(stem).rlike(TABLE_UMBRELLA))
+    return (F.trim(stem) != "") & (F.char_length(F.trim(stem)) <= 140) & ~stem.contains("?") & own.rlike(UMBRELLA) & below
 
 
 def plan(questions: DataFrame, paper: str) -> DataFrame:

@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words that point at a figure, words that ask for a drawing, words before and around money, units.
+# Words that point at a figure, words that ask for a drawing, words before and around money, units, slips.
 FIGURE_WORDS = r"(?i)\b(figure|fig\.|diagram|adjoining|graph shown|in the given figure|the given diagram|(?:in|observe|identify|look at|see|study|label|name|from)\s+the\s+(?:given\s+|following\s+|above\s+|below\s+)?(?:picture|image|photo(?:graph)?)|(?:picture|image|photo(?:graph)?)s?\s+(?:given|shown|below|above|alongside)|on the (?:given |outline |political |physical )?map|outline map|in the map|map of india|map of the world)\b"
 DRAW_WORDS = r"(?i)\b(draw|construct|sketch|plot|represent .* on)\b"
 REPEATABLE = ["the", "a", "an", "is", "are", "was", "were", "and", "of", "to", "in", "on", "for", "with", "by"]
 MONEY_BEFORE = r"(?i)\b(?:for|cost|costs|price|deposit|deposits|paid|pays|earns|of)\s+\d{2,}(?:,\d{3})*(?!\s*(?:m|cm|km|kg|g|units?|students?|plants?|%|pieces?|marks?|years?|days?|minutes?|hours?|litres?|ml|mL|°|digits?|numbers?|chairs?|rows?|books?|symbols?|chocolates?|terms?|inches))\b"
+PLACEHOLDER = r"(?i)\(\s*marks?\s*\)"
+DEGREE_O = r"\b(\d+)\s*[oO]\b"
+IS_INSIDE, IS_AFTER, IS_CAPITALS = r"\bIs\b(?!\s*[A-Z])", r"\b[a-z]+\s+Is\s", r"\b[A-Z]{2,}\s+IS\b|\sIS_+"
+RUPEES, UNIT_POWER, KILOGRAM = r"\bRs\.?\s*\d", r"\b\d+\s*(?:m|cm|kg|g|km)\s*\.\s*\d\b", r"\bKg\b"
 MONEY_WORDS = r"(?i)\b(bought|sold|cost|price|deposit|profit|loss|discount|pay|paid|charges?|fare|amount)\b"
 
 
@@ -24,28 +28,60 @@ def wants_figure(text: Column) -> Column:
     return (at > 0) & ~near.rlike(DRAW_WORDS)
 
 
-def wording_rules(text: Column, stem: Column | None = None) -> list[tuple[str, str, Column, Column, bool]]:
-    """(rule, category, test, message, blocking) for rules R20-R33 that only need an entry's text."""
+def wording_rules(text: Column, stem: Column | None = None, *, ends: Column | None = None, has_figure: Column | None = None) -> list[tuple[str, str, Column, Column, bool]]:
+    """(rule, category, test, message, blocking) for rules R21-R33 over an entry's text and stem. `ends`: the stem is followed by options or nothing, so it should end a sentence; has_figure: the entry has a picture or table."""
     stem = text if stem is None else stem
+    ends = F.lit(True) if ends is None else ends
+    figure = wants_figure(text) & ~(F.lit(False) if has_figure is None else has_figure)
+    a_map = text.rlike(r"(?i)\bmap\b")
     repeated = "(?i)" + r"\b(" + "|".join(REPEATABLE) + r")\s+\1\b"
     lit = F.lit
     return [
         ("R21", "structure", F.trim(stem) == "", lit("question has no text"), True),
         ("R22", "wording", stem.rlike("^[.,;:]"), F.concat(lit('starts with a stray "'), F.substring(stem, 1, 1), lit('"')), False),
-        ("R26", "marks", text.rlike(r"(?i)\(\s*marks?\s*\)"), lit('"(marks)" placeholder'), False),
-        ("R27", "wording", text.rlike(r"\b(\d+)\s*[oO]\b") & ~text.contains("°"), lit('degree written with the letter "o"'), False),
-        ("R28a", "wording", F.regexp_replace(stem, "^[^.?!]*", "").rlike(r"\bIs\b(?!\s*[A-Z])") | stem.rlike(r"\b[a-z]+\s+Is\s"), lit('"Is" for "is"'), False),
-        ("R28b", "wording", text.rlike(r"\b[A-Z]{2,}\s+IS\b|\sIS_+"), lit('"IS" in capitals'), False),
-        ("R29a", "wording", text.rlike(r"\bRs\.?\s*\d"), lit('"Rs" for the rupee sign'), False),
+        ("R26", "marks", text.rlike(PLACEHOLDER), lit('"(marks)" placeholder'), False),
+        ("R27", "wording", text.rlike(DEGREE_O) & ~text.contains("°"), lit('degree written with the letter "o"'), False),
+        ("R28a", "wording", F.regexp_replace(stem, "^[^.?!]*", "").rlike(IS_INSIDE) | stem.rlike(IS_AFTER), lit('"Is" for "is"'), False),
+        ("R28b", "wording", text.rlike(IS_CAPITALS), lit('"IS" in capitals'), False),
+        ("R29a", "wording", text.rlike(RUPEES), lit('"Rs" for the rupee sign'), False),
         ("R29b", "wording", text.rlike(MONEY_BEFORE) & ~text.contains("₹") & text.rlike(MONEY_WORDS), lit("money amount without a sign"), False),
-        ("R30a", "wording", text.rlike(r"\b\d+\s*(?:m|cm|kg|g|km)\s*\.\s*\d\b"), lit("unit power written with a dot"), False),
-        ("R30b", "wording", text.rlike(r"\bKg\b"), lit('"Kg" for kg'), False),
+        ("R30a", "wording", text.rlike(UNIT_POWER), lit("unit power written with a dot"), False),
+        ("R30b", "wording", text.rlike(KILOGRAM), lit('"Kg" for kg'), False),
         ("R31", "wording", text.rlike(repeated), lit("repeated word"), False),
-        ("R32", "wording", stem.rlike("[A-Za-z0-9]$") & ~stem.rlike(r"(?i)^\(?[a-h]\)"), lit("no punctuation at the end of the question"), False),
-        ("R33", "figures", wants_figure(text), lit("refers to a figure"), True),
+        ("R32", "wording", ends & stem.rlike("[A-Za-z0-9]$") & ~stem.rlike(r"(?i)^\(?[a-h]\)"), lit("no punctuation at the end of the question"), False),
+        ("R33", "figures", figure & ~a_map, lit("refers to a figure"), True),
+        ("R33m", "figures", figure & a_map, lit("map question: the outline map is printed separately"), False),
     ]
 
 
+def entry_rules() -> list[tuple[str, str, Column, Column, bool]]:
+    """R19-R33 over questions as operators.papers.entries gives them, each with the condition that its entry has to meet."""
+    c, lit = F.col, F.lit
+    no = lambda x: F.coalesce(x, lit(False))
+    stem = F.coalesce(c("stem"), lit(""))
+    letters = F.array_distinct(F.transform(F.filter("sub_labels", lambda x: x.rlike(r"(?i)^\([a-h]\)$")), F.lower))
+    wanted = F.transform(letters, lambda x, k: F.concat(lit("("), F.char(lit(97) + k), lit(")")))
+    few = no(c("per") == 1) & (c("options") > 0) & (c("options") != 4) & ~stem.rlike("(?i)assertion")
+    ends = ~c("has_cont") & ((c("options") > 0) | (c("n_items") == 1))
+    words = [r for r in wording_rules(c("all_text"), stem, ends=no(ends), has_figure=no(c("has_figure"))) if r[0] != "R21"]
+    return [
+        ("R20", "wording", no(c("or_glued")), lit('"OR" at the end of a sentence'), False),
+        ("R21", "structure", (F.trim(stem) == "") & (F.size("sub_labels") == 0) & (c("options") == 0), lit("question has no text"), True),
+        ("R23", "structure", (F.size(letters) > 0) & (letters != wanted) & ~stem.rlike(r"(?i)^\(?[a-h]\)"), F.concat(lit("sub-part labels run "), F.array_join(letters, ", ")), False),
+        ("R24", "structure", few, F.concat(c("options").cast("string"), lit(" options")), False),
+        ("R25", "structure", no(c("bare_options")), lit("options are pictures: labels only"), False),
+        *words,
+    ]
+
+
+def garbled_rule(text: Column) -> list[tuple[str, str, Column, Column, bool]]:
+    """R01 over a paper's whole text: twenty vowel signs and more, of which three in ten stand alone."""
+    from ..functions.text import devanagari_marks
+
+    found = devanagari_marks(text)
+    return [("R01", "unreadable", (found["marks"] >= 20) & (found["orphans"] > found["marks"] * 0.3), F.concat(F.lit("garbled Devanagari: "), found["orphans"].cast("string"), F.lit(" of "), found["marks"].cast("string"), F.lit(" signs stand alone")), True)]
+
+
 def findings(rows: DataFrame, paper: str, rules: list[tuple[str, str, Column, Column, bool]]) -> DataFrame:
     """A row per rule that holds, from one pass over rows."""
     each = [F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), message.alias("message"), F.lit(blocking).alias("blocking"))) for rule, category, test, message, blocking in rules]
@@ -76,7 +112,7 @@ def read_notes(notes: DataFrame, key: str, note: str = "note") -> DataFrame:
     lines = notes.select(key, F.posexplode(F.split(note, "\n")).alias("pos", "line"))
     from .segments import carry_forward
 
-    headed = carry_forward(lines, [key], ["pos"], F.when(F.col("line").startswith("## "), F.substring("line", 4, 1000)), "heading")
+    headed = carry_forward(lines, [key], ["pos"], F.when(F.col("line").startswith("## "), F.substring(F.col("line"), F.lit(4), F.char_length("line"))), "heading")
     bullets = headed.where(F.col("line").startswith("- ") & (F.lower("heading") != "changes made"))
     tag = F.col("line").contains("**[blocking]**")
-    return bullets.select(key, "heading", tag.alias("blocking"), F.trim(F.regexp_replace(F.substring("line", 3, 10_000), r"\*\*(\[blocking\])?", "")).alias("message"))
+    return bullets.select(key, "heading", tag.alias("blocking"), F.trim(F.regexp_replace(F.substring(F.col("line"), F.lit(3), F.char_length("line")), r"\*\*(\[blocking\])?", "")).alias("message"))

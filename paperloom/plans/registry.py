@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    for module in ("marks", "segments", "texts", "routing", "layouts", "structures", "papers"):
+    for module in ("marks", "segments", "texts", "routing", "layouts", "structures", "papers", "shapes"):
         importlib.import_module(f"paperloom.plans.{module}")

@@ -178,19 +178,21 @@ def uploaded_link(spark, d):
     return rows.select("o_orderkey", F.get(F.filter("u", lambda x: x["name"].endswith(".docx")), F.lit(0))["link"].alias("link"), F.get("u", F.lit(0))["name"].alias("first_upload"))
 
 
-@query("regress_diff", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'removed' WHEN a.doc_id IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id WHERE a.n_chars IS DISTINCT FROM b.n_chars")
+@query("regress_diff", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'removed' WHEN a.doc_id IS NULL THEN 'added' ELSE 'changed' END AS change FROM documents a FULL JOIN (SELECT CASE WHEN doc_id % 11 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents) b ON a.doc_id = b.doc_id WHERE a.n_chars IS DISTINCT FROM b.n_chars")
 def regress_diff(spark, d):
-    """JN-10."""
+    """JN-10: all documents against a run in which some have other ids and some other lengths."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    new = docs.where("doc_id % 11 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return R.table_diff(docs.where("doc_id % 7 <> 0"), new, "doc_id", "n_chars")
+    new = docs.select(F.when(F.col("doc_id") % 11 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"))
+    return R.table_diff(docs, new, "doc_id", "n_chars")
 
 
 _LINES = "SELECT unnest(string_split(text, chr(10))) AS line FROM documents"
+_EDITED = "SELECT CASE WHEN length(line) % 7 = 0 THEN line || '!' ELSE line END AS line FROM (" + _LINES + ")"
 
 
-@query("line_diff", f"(SELECT line, '-' AS side FROM (({_LINES} WHERE doc_id % 3 = 0) EXCEPT ALL ({_LINES} WHERE doc_id % 3 = 1))) UNION ALL (SELECT line, '+' FROM (({_LINES} WHERE doc_id % 3 = 1) EXCEPT ALL ({_LINES} WHERE doc_id % 3 = 0)))")
+@query("line_diff", f"(SELECT line, '-' AS side FROM (({_LINES}) EXCEPT ALL ({_EDITED}))) UNION ALL (SELECT line, '+' FROM (({_EDITED}) EXCEPT ALL ({_LINES})))")
 def line_diff(spark, d):
-    """SET-05: old run against new run, here two thirds of the documents."""
-    lines = lambda k: table(spark, d, "documents").where(F.col("doc_id") % 3 == k).select(F.explode(F.split("text", "\n")).alias("line"))
-    return R.line_diff(lines(0), lines(1))
+    """SET-05: all lines against a run that ends some of them in another way."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    edited = lines.select(F.when(F.char_length("line") % 7 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")).alias("line"))
+    return R.line_diff(lines, edited)

@@ -59,10 +59,10 @@ def group_mark_carried(spark, d):
     return S.carry_forward(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], mark, "group_mark").select("event_id", "group_mark")
 
 
-@query("forward_fill_heading", "SELECT conv_id, turn, last_value(CASE WHEN role <> 'assistant' THEN left(text, 30) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations")
+@query("forward_fill_heading", "SELECT conv_id, turn, sha256(last_value(CASE WHEN role <> 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS heading FROM conversations")
 def forward_fill_heading(spark, d):
     """WN-12."""
-    return S.carry_forward(table(spark, d, "conversations"), ["conv_id"], ["turn"], F.when(F.col("role") != "assistant", F.left("text", F.lit(30))), "heading").select("conv_id", "turn", "heading")
+    return S.carry_forward(table(spark, d, "conversations"), ["conv_id"], ["turn"], F.when(F.col("role") != "assistant", F.col("text")), "heading").select("conv_id", "turn", F.sha2("heading", 256).alias("heading"))
 
 
 @query("restart_segments", f"WITH r AS (SELECT *, CASE WHEN event_id % 10 <= lag(event_id % 10) OVER w THEN 1 ELSE 0 END AS st FROM events WINDOW w AS {_W}) SELECT event_id, CAST(sum(st) OVER {_W} AS BIGINT) AS segment FROM r")

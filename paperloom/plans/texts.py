@@ -220,19 +220,19 @@ def ist_dates(spark, d):
     return table(spark, d, "events").select("event_id", T.ist(F.col("ts")).alias("shown"))
 
 
-@query("html_plain_text", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g'))) AS chars, replace(replace(replace(left(html, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+@query("html_plain_text", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g'))) AS chars, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM pages")
 def html_plain_text(spark, d):
     """FN-25, SRC-11."""
     plain = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\r\n\f]+", " "))
-    return table(spark, d, "pages").select("page_id", F.char_length(plain).cast("long").alias("chars"), T.html_escape(F.left("html", F.lit(40))).alias("escaped"))
+    return table(spark, d, "pages").select("page_id", F.char_length(plain).cast("long").alias("chars"), F.sha2(T.html_escape(F.col("html")), 256).alias("escaped"))
 
 
-@query("json_props", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, base64(encode(left(props, 9))) AS encoded FROM events")
+@query("json_props", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, base64(encode(props)) AS encoded FROM events")
 def json_props(spark, d):
     """FN-J1, FN-J2."""
     props = F.col("props")
     first = F.get(F.json_object_keys(props), F.lit(0))
-    return table(spark, d, "events").select("event_id", F.element_at(F.from_json(props, "map<string,string>"), first).alias("first_value"), F.base64(F.left(props, F.lit(9)).cast("binary")).alias("encoded"))
+    return table(spark, d, "events").select("event_id", F.element_at(F.from_json(props, "map<string,string>"), first).alias("first_value"), F.base64(props.cast("binary")).alias("encoded"))
 
 
 @query("devanagari_ratio")
