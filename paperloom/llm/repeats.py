@@ -383,11 +383,11 @@ def _cut_out(batches):
     """From documents with lists of stretches' places: the stretches' bytes. The join brings equal rows one after the other; one of them is enough."""
     last = None
     for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
         batch = batch.filter(pa.array([x != y for x, y in zip(keys, [last, *keys], strict=False)], pa.bool_()))
         last = keys[-1] if keys else last
-        raw, at = column_bytes(batch.column(2))
-        lists = batch.column(3)
+        raw, at = column_bytes(batch.column(3))
+        lists = batch.column(4)
         ends = lists.offsets.to_numpy()
         flat = lists.values.slice(ends[0], ends[-1] - ends[0])
         gram, place, reach = (np.asarray(flat.field(c)) for c in ("gram", "place", "reach"))
@@ -402,7 +402,7 @@ def _cut_out(batches):
             data = raw[pieces(at[:-1][doc[rows]] + low[rows], count)]
             offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             body = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            k1, k2 = (np.asarray(batch.column(c))[doc[rows]] for c in (0, 1))
+            k1, k2 = (np.asarray(batch.column(c))[doc[rows]] for c in (1, 2))
             yield pa.RecordBatch.from_arrays([*map(pa.array, (gram[rows], k1, k2, place[rows], reach[rows])), body], ["gram", "k1", "k2", "place", "reach", "body"])
             a = b
 
@@ -446,7 +446,8 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
     def bodies(rows: DataFrame) -> DataFrame:
         """The bytes of rows' stretches."""
         wanted = rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "place", "reach")).alias("places"))
-        return keyed.select("k1", "k2", "text").join(wanted.hint("shuffle_merge"), ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_cut_out, "gram long, k1 long, k2 long, place long, reach int, body binary")
+        # all columns, so that this exchange of the texts serves the last join as well
+        return keyed.join(wanted.hint("shuffle_merge"), ["k1", "k2"]).select("row", "k1", "k2", "text", "places").mapInArrow(_cut_out, "gram long, k1 long, k2 long, place long, reach int, body binary")
 
     while True:
         with small_batches(spark):
