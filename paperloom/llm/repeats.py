@@ -479,3 +479,18 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: In hexadecimal, as SQL has no windows over bytes: two digits a byte.
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, s, md5(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT rid, h, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS s FROM d)),
+r AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+g AS (SELECT rid, s, sum(st) OVER (PARTITION BY rid ORDER BY s) AS g FROM (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 200 THEN 0 ELSE 1 END AS st FROM r)),
+run AS (SELECT rid, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY rid, g),
+gap AS (SELECT rid, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS x, a AS y FROM run UNION ALL SELECT rid, max(b), 1000000000000 FROM run GROUP BY rid),
+kept AS (SELECT gap.rid, string_agg(substr(h, 2 * x + 1, 2 * (least(y, length(h) // 2) - x)), '' ORDER BY x) AS h FROM gap JOIN d ON d.rid = gap.rid GROUP BY gap.rid),
+cut AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY rid)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.rid = d.rid LEFT JOIN kept ON kept.rid = d.rid
+"""

@@ -163,3 +163,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc"
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path)
+
+
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(sha, {1 + 5 * k}, 5) AS INTEGER) >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+OP10_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages), m AS (SELECT sha, max(page_id) AS keeper FROM p GROUP BY sha)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p JOIN m USING (sha)
+"""
