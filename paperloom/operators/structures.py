@@ -28,6 +28,32 @@ def list_counters(rows: DataFrame, keys: list[str], order: list[str], level: str
     return out.withColumn("counter", F.row_number().over(Window.partitionBy(*keys, level, "__reset").orderBy(*order))).drop("__reset")
 
 
+def list_labels(blocks: DataFrame, levels: DataFrame) -> DataFrame:
+    """SRC-06: blocks (paper_id, block_pos, num_id, num_level, ...) with num_format and num_label, the label that the list of levels (num_format, level_text, start) draws, with the numbers of the levels above it where its text has them."""
+    listed = blocks.where("num_id is not null").select("paper_id", "block_pos", "num_id", "num_level").join(levels, ["paper_id", "num_id", "num_level"])
+    counted = list_counters(listed, ["paper_id", "num_id"], ["block_pos"], "num_level")
+    n = F.col("counter") - 1 + F.col("start")
+    form = F.lower("num_format")
+    roman = T.int_to_roman(n)
+    shown = F.when(form == "lowerletter", T.list_letter(n)).when(form == "upperletter", F.upper(T.list_letter(n))).when(form == "lowerroman", F.lower(roman)).when(form == "upperroman", roman).when(form == "bullet", "•").otherwise(n.cast("string"))
+    own = counted.withColumn("__shown", shown)
+    w = Window.partitionBy("paper_id", "num_id").orderBy("block_pos")
+    label = F.col("level_text")
+    for k in range(9):
+        label = F.replace(label, F.lit(f"%{k + 1}"), F.coalesce(F.when(F.col("num_level") >= k, F.last(F.when(F.col("num_level") == k, F.col("__shown")), ignorenulls=True).over(w)), F.lit("")))
+    found = own.select("paper_id", "block_pos", "num_format", F.when(form == "bullet", "•").otherwise(label).alias("num_label"))
+    return blocks.join(found, ["paper_id", "block_pos"], "left")
+
+
+def slice_runs(runs: Column, start: Column, end: Column) -> Column:
+    """FN-12: the runs of the characters from start up to end of all runs' joined text; empty ones go."""
+    sizes = F.transform(runs, lambda r: F.char_length(r["text"]))
+    at = F.transform(sizes, lambda n, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    cut = lambda r, i: F.greatest(start - F.get(at, i), F.lit(0))
+    text = lambda r, i: F.substring(r["text"], cut(r, i) + 1, F.greatest(F.least(end - F.get(at, i), F.get(sizes, i)) - cut(r, i), F.lit(0)))
+    return F.filter(F.transform(runs, lambda r, i: F.struct(text(r, i).alias("text"), r["bold"].alias("bold"))), lambda r: r["text"] != "")
+
+
 def placeholder_images(lines: DataFrame, keys: list[str], order: list[str], text: str, images: str) -> DataFrame:
     """JN-12: the object characters of a paragraph's lines take its pictures in order."""
     n = F.char_length(text) - F.char_length(F.translate(text, "￼", ""))

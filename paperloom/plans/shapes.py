@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import papers as P
 from ..operators import rules as R
-from .registry import query, table
+from .registry import query, stored, table
 
 # Each shape: lines ("..." text, ^ centred, [[...]] table, # picture), then questions (number, alt, marks, source, parts, options)
 # and sections (letter, sum, expected, verdict). Marks that are a size are written as 'm'.
@@ -32,10 +32,10 @@ SHAPES: list[tuple[list, list, list]] = [
     (["Section A (4 marks)", "Answer any 2 of the 3 questions. (2x2=4)", "1. One {n}.", "2. Two {n}.", "3. Three {m}."], [(1, None, 2, "group instruction", 0, 0), (2, None, 2, "group instruction", 0, 0), (3, None, 2, "group instruction", 0, 0)], [("A", 4, 4, "fine")]),
     (["Section A (5 marks) Q. 1. Glued to {n}. (1x5=5)", "--------  SECTION B - NEXT (2 MARKS)", "2. Look at the figure of {n}. 2M", "#"], [(1, None, 5, "paper", 0, 0), (2, None, 2, "paper", 0, 0)], [("A", 5, 5, "fine"), ("B", 2, 2, "fine")]),
 ]
-#: Items that neighbours make: (shape, question's number, item, label, text, options or cells, as text).
+#: Items that neighbours make: (shape, question's number, item, label, text, options or cells, as text), of the shapes below.
 ITEMS: list[tuple] = [
-    (16, 1, "stem", None, "The side of {n} is as long as the side of {m}.", None), (16, 2, "stem", None, "Match:", None), (16, 2, "pairs", None, None, "Left|Right|{n}|x|{m}|y"),
-    (17, 1, "stem", None, "Which one is {n}?", None), (17, 1, "opts", None, None, "(a) p|(b) q|(c) r|(d) s"), (17, 2, "tables", None, None, "1|2"), (17, 2, "stem", None, "Draw {m}.", None), (17, 2, "or", "glued", None, None),
+    (0, 1, "stem", None, "The side of {n} is as long as the side of {m}.", None), (0, 2, "stem", None, "Match:", None), (0, 2, "pairs", None, None, "Left|Right|{n}|x|{m}|y"),
+    (1, 1, "stem", None, "Which one is {n}?", None), (1, 1, "opts", None, None, "(a) p|(b) q|(c) r|(d) s"), (1, 2, "tables", None, None, "1|2"), (1, 2, "stem", None, "Draw {m}.", None), (1, 2, "or", "glued", None, None),
 ]
 MORE: list[list] = [
     ["Section A", "1. The side of {n} is as long as", "the side of {m}.", "2. Match:", "Left\tRight", "{n}\tx", "{m}\ty"],
@@ -43,8 +43,8 @@ MORE: list[list] = [
 ]
 
 
-def _rows():
-    for shape, each in enumerate([*(x for x, _, _ in SHAPES), *MORE]):
+def _rows(family: list[list]):
+    for shape, each in enumerate(family):
         for k, line in enumerate(each):
             if isinstance(line, list):
                 yield shape, k, "table", "", None, 0, line, False
@@ -54,16 +54,15 @@ def _rows():
                 yield shape, k, "p", line.lstrip("^#"), "center" if line[0] == "^" else None, int(line[0] == "#"), None, False
 
 
-def blocks(spark, d):
-    shapes = spark.createDataFrame(list(_rows()), "shape int, block_pos int, kind string, text string, align string, images int, cells array<array<string>>, floating boolean")
-    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("paper_id"), (F.col("p_partkey") % (len(SHAPES) + len(MORE))).cast("int").alias("shape"), F.col("p_size").cast("string").alias("m"))
+def blocks(spark, d, family: list[list]):
+    shapes = spark.createDataFrame(list(_rows(family)), "shape int, block_pos int, kind string, text string, align string, images int, cells array<array<string>>, floating boolean")
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("paper_id"), (F.col("p_partkey") % len(family)).cast("int").alias("shape"), F.col("p_size").cast("string").alias("m"))
     filled = lambda c: F.replace(F.replace(c, F.lit("{n}"), F.col("paper_id")), F.lit("{m}"), F.col("m"))
     return part.join(F.broadcast(shapes), "shape").withColumns({"text": filled(F.col("text")), "cells": F.transform("cells", lambda r: F.transform(r, filled))}).drop("m")
 
 
-def classified(spark, d):
-    rows = blocks(spark, d)
-    return P.items(P.lines(rows)), rows.select("paper_id", "shape").distinct()
+def classified(spark, d, family: list[list]):
+    return stored(P.items(P.lines(blocks(spark, d, family))))
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -71,32 +70,35 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names})"
 
 
-_N = len(SHAPES) + len(MORE)
-_PARTS = f"SELECT CAST(p_partkey AS VARCHAR) AS paper_id, p_partkey % {_N} AS shape, CAST(p_size AS VARCHAR) AS m FROM part"
+FIRST = [x for x, _, _ in SHAPES]
+
+
+def _parts(n: int) -> str:
+    return f"SELECT CAST(p_partkey AS VARCHAR) AS paper_id, p_partkey % {n} AS shape, CAST(p_size AS VARCHAR) AS m FROM part"
+
+
 _FILL = "replace(replace({0}, '{{n}}', paper_id), '{{m}}', m)"
 
 
-@query("shape_questions", f"SELECT paper_id, number, alt, CAST(marks AS DOUBLE) AS marks, marks_source, parts, options FROM ({_PARTS}) JOIN {_values([(s, *q) for s, (_, qs, _) in enumerate(SHAPES) for q in qs], 'shape, number, alt, marks, marks_source, parts, options')} USING (shape)")
+@query("shape_questions", f"SELECT paper_id, number, alt, CAST(marks AS DOUBLE) AS marks, marks_source, parts, options FROM ({_parts(len(SHAPES))}) JOIN {_values([(s, *q) for s, (_, qs, _) in enumerate(SHAPES) for q in qs], 'shape, number, alt, marks, marks_source, parts, options')} USING (shape)")
 def shape_questions(spark, d):
     """WN-24, WN-27, WN-28, WN-11, WN-14, JN-11, AG-17, FLT-08, PRJ-11, FN-17, M1-M10 over whole papers."""
-    found, shape = classified(spark, d)
-    rows = P.questions(found).join(shape, "paper_id").where(F.col("shape") < len(SHAPES))
+    rows = P.questions(classified(spark, d, FIRST))
     return rows.select("paper_id", "number", "alt", "marks", "marks_source", F.col("subs").cast("int").alias("parts"), F.col("options").cast("int").alias("options"))
 
 
-@query("shape_sections", f"SELECT paper_id, letter, CAST(sum AS DOUBLE) AS sum, CAST(expected AS DOUBLE) AS expected, verdict FROM ({_PARTS}) JOIN {_values([(s, *x) for s, (_, _, xs) in enumerate(SHAPES) for x in xs], 'shape, letter, sum, expected, verdict')} USING (shape)")
+@query("shape_sections", f"SELECT paper_id, letter, CAST(sum AS DOUBLE) AS sum, CAST(expected AS DOUBLE) AS expected, verdict FROM ({_parts(len(SHAPES))}) JOIN {_values([(s, *x) for s, (_, _, xs) in enumerate(SHAPES) for x in xs], 'shape, letter, sum, expected, verdict')} USING (shape)")
 def shape_sections(spark, d):
     """WN-26, JN-06, AG-02 to AG-04, R02-R05: sections by their headings, instruction lines and parts."""
-    found, shape = classified(spark, d)
-    return P.sections(P.entries(found)).join(shape, "paper_id").where(F.col("shape") < len(SHAPES)).select("paper_id", "letter", "sum", "expected", "verdict")
+    return P.sections(P.entries(classified(spark, d, FIRST))).select("paper_id", "letter", "sum", "expected", "verdict")
 
 
-@query("shape_items", f"SELECT paper_id, number, item, label, {_FILL.format('t')} AS text, {_FILL.format('held')} AS held FROM ({_PARTS}) JOIN {_values(ITEMS, 'shape, number, item, label, t, held')} USING (shape)")
+@query("shape_items", f"SELECT paper_id, number, item, label, {_FILL.format('t')} AS text, {_FILL.format('held')} AS held FROM ({_parts(len(MORE))}) JOIN {_values(ITEMS, 'shape, number, item, label, t, held')} USING (shape)")
 def shape_items(spark, d):
     """WN-06, WN-08, WN-09, WN-16, R20: broken lines joined, matching columns, options one to a line, tables side by side, glued OR."""
-    found, shape = classified(spark, d)
+    found = classified(spark, d, MORE)
     held = F.coalesce(F.array_join("options", "|"), F.array_join(F.flatten("cells"), "|"))
-    return found.join(shape, "paper_id").where((F.col("shape") >= len(SHAPES)) & F.col("number").isNotNull()).select("paper_id", "number", "item", "label", "text", held.alias("held"))
+    return found.where("number is not null").select("paper_id", "number", "item", "label", "text", held.alias("held"))
 
 
 # Entries as operators.papers gives them, made from documents: the stem is the whole text, the rest hangs on the id.

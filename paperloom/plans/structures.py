@@ -128,12 +128,12 @@ def new_uploads(spark, d):
     return filed.select("o_orderkey", F.lit(True).alias("filed")).unionByName(refused.select("o_orderkey", F.lit(False).alias("filed")))
 
 
-@query("docx_round_trip", "SELECT CAST(c_custkey AS VARCHAR) AS paper_id, 2 AS paragraphs, 'Section A' || chr(10) || '1. ' || c_name || ' & <co>' || chr(9) || '5M' AS text FROM customer WHERE c_nationkey = 3")
+@query("docx_round_trip", "SELECT CAST(c_custkey AS VARCHAR) AS paper_id, 2 AS paragraphs, 'Section A' || chr(10) || '1. ' || c_name || ' & <co>' || chr(9) || '5M' AS text FROM customer")
 def docx_round_trip(spark, d):
     """SNK-05, SRC-03: Word files are written and read back."""
     from ..sources.docx import read_blocks
 
-    one = table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("paper_id"), "c_name")
+    one = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("paper_id"), "c_name")
     plan = one.select("paper_id", F.lit(1).alias("seq"), F.lit("heading").alias("style"), F.lit(0).alias("indent"), F.lit(True).alias("keep_next"), F.lit("Section A").alias("text")).unionByName(
         one.select("paper_id", F.lit(2).alias("seq"), F.lit("question").alias("style"), F.lit(360).alias("indent"), F.lit(False).alias("keep_next"), F.concat(F.lit("1. "), "c_name", F.lit(" & <co>\t5M")).alias("text"))
     )

@@ -20,7 +20,16 @@ M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
-BLOCKS = "paper_id string, block_pos int, kind string, text string, align string, bold boolean, images int, num_level int, num_format string, cells array<array<string>>, error string"
+WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+V = "{urn:schemas-microsoft-com:vml}"
+#: English metric units in a point.
+EMU = 12_700
+
+RUN = "array<struct<text:string,bold:boolean,italic:boolean,underline:boolean,sup:boolean,sub:boolean,highlight:boolean>>"
+PICTURES = "array<struct<rid:string,width:double,height:double>>"
+NESTED = "array<struct<row:int,at:int,count:int,cells:array<array<string>>>>"
+BLOCKS = f"paper_id string, block_pos int, kind string, text string, align string, bold boolean, images int, pictures {PICTURES}, shapes int, style string, num_id string, num_level int, runs {RUN}, cells array<array<string>>, nested {NESTED}, floating boolean, error string"
+PARTS = "paper_id string, part string, name string, target string, level int, format string, text string, start int, content binary"
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -52,48 +61,92 @@ def _math(node) -> str:
     return "".join(_math(x) for x in node)
 
 
-def _walk(node, out: list, images: list) -> None:
-    """Text of a paragraph's runs in order; a line end for each break, a tab for each tab."""
+def _flag(props, name: str) -> bool:
+    """SRC-20: a run property that is there counts as on unless it says otherwise."""
+    x = None if props is None else props.find(f"{W}{name}")
+    return x is not None and x.get(f"{W}val", "true") not in ("0", "false", "none", "off")
+
+
+def _points(style: str, name: str) -> float | None:
+    value = dict(x.split(":", 1) for x in style.split(";") if ":" in x).get(name, "").strip()
+    return float(value[:-2]) if value.endswith("pt") else None
+
+
+def _walk(node, out: list, pictures: list, shapes: list, props=None) -> None:
+    """SRC-15, SRC-18: (text, run properties) of a paragraph's runs in order; a line end for each break, a tab for each tab; pictures with their sizes in points, and shapes that hold none."""
     for x in node:
         if x.tag == f"{W}t":
-            out.append(x.text or "")
+            out.append((x.text or "", props))
         elif x.tag in (f"{W}tab", f"{W}ptab"):
-            out.append("\t")
+            out.append(("\t", props))
         elif x.tag in (f"{W}br", f"{W}cr"):
-            out.append("\n")
+            out.append(("\n", props))
         elif x.tag == f"{W}noBreakHyphen":
-            out.append("-")
+            out.append(("-", props))
         elif x.tag in (f"{M}oMath", f"{M}oMathPara"):
-            out.append(_math(x))
-        elif x.tag == f"{A}blip":
-            images.append(x.get(f"{R}embed"))
+            out.append((_math(x), props))
+        elif x.tag in (f"{W}drawing", f"{W}pict", f"{W}object"):
+            found = [(b.get(f"{R}embed"), None, None) for b in x.iter(f"{A}blip")] + [(i.get(f"{R}id"), *(_points(s.get("style", ""), k) for k in ("width", "height"))) for s in x.iter(f"{V}shape") for i in s.iter(f"{V}imagedata")]
+            extent = next(x.iter(f"{WP}extent"), None)
+            size = (None, None) if extent is None else tuple(int(extent.get(k)) / EMU for k in ("cx", "cy"))
+            pictures += [{"rid": rid, "width": w or size[0], "height": h or size[1]} for rid, w, h in found]
+            shapes += [] if found else [x]
+        elif x.tag == f"{W}r":
+            _walk(x, out, pictures, shapes, x.find(f"{W}rPr"))
         elif x.tag not in (f"{W}pPr", f"{W}rPr", f"{W}del"):
-            _walk(x, out, images)
+            _walk(x, out, pictures, shapes, props)
 
 
 def _paragraph(p) -> dict:
-    """SRC-15: text, alignment, weight, pictures and list level of a paragraph."""
-    out, images = [], []
-    _walk(p, out, images)
+    """SRC-15: text, runs, alignment, weight, pictures, style and list level of a paragraph."""
+    out, pictures, shapes = [], [], []
+    _walk(p, out, pictures, shapes)
     props = p.find(f"{W}pPr")
     find = lambda path: None if props is None else props.find(path)
-    align, num = find(f"{W}jc"), find(f"{W}numPr")
-    level = None if num is None else num.find(f"{W}ilvl")
-    runs = [r for r in p.iter(f"{W}r") if any((t.text or "").strip() for t in r.iter(f"{W}t"))]
+    value = lambda x: None if x is None else x.get(f"{W}val")
+    level = find(f"{W}numPr/{W}ilvl")
+    runs = []
+    for text, own in out:
+        vertical = None if own is None else value(own.find(f"{W}vertAlign"))
+        run = {"bold": _flag(own, "b"), "italic": _flag(own, "i"), "underline": _flag(own, "u"), "sup": vertical == "superscript", "sub": vertical == "subscript", "highlight": _flag(own, "highlight")}
+        if runs and {k: v for k, v in runs[-1].items() if k != "text"} == run:
+            runs[-1]["text"] += text
+        else:
+            runs.append({"text": text, **run})
+    worded = [r for r in runs if r["text"].strip()]
     return {
-        "kind": "p", "text": "".join(out), "align": None if align is None else align.get(f"{W}val"), "images": len(images),
-        "bold": bool(runs) and all(r.find(f"{W}rPr/{W}b") is not None for r in runs), "num_level": None if num is None else int(level.get(f"{W}val")) if level is not None else 0,
+        "kind": "p", "text": "".join(t for t, _ in out), "align": value(find(f"{W}jc")), "images": len(pictures), "pictures": pictures, "shapes": len(shapes), "runs": runs, "style": value(find(f"{W}pStyle")),
+        "bold": bool(worded) and all(r["bold"] for r in worded), "num_id": value(find(f"{W}numPr/{W}numId")), "num_level": None if find(f"{W}numPr") is None else int(value(level) or 0),
     }
 
 
+def _cell(cell) -> tuple[str, list[tuple[int, int, list]]]:
+    """A cell's paragraphs, and its inner tables as (place of their first paragraph, paragraphs, cells)."""
+    texts, inner = [], []
+    for x in cell:
+        if x.tag == f"{W}p":
+            texts.append(_paragraph(x)["text"])
+        elif x.tag == f"{W}tbl":
+            own = [_paragraph(p)["text"] for p in x.iter(f"{W}p")]
+            inner.append((len(texts), len(own), _cells(x)[0]))
+            texts += own
+    return "\n".join(texts), inner
+
+
+def _cells(table) -> tuple[list[list[str]], list[dict]]:
+    rows = [[_cell(c) for c in row.findall(f"{W}tc")] for row in table.findall(f"{W}tr")]
+    nested = [{"row": k, "at": at, "count": n, "cells": cells} for k, row in enumerate(rows) for _, inner in row for at, n, cells in inner]
+    return [[text for text, _ in row] for row in rows], nested
+
+
 def _body(node):
     """SRC-16, SRC-17: paragraphs and tables in order, inside content controls too."""
     for x in node:
         if x.tag == f"{W}p":
             yield _paragraph(x)
         elif x.tag == f"{W}tbl":
-            cells = [["\n".join(_paragraph(p)["text"] for p in c.iter(f"{W}p")) for c in row.findall(f"{W}tc")] for row in x.findall(f"{W}tr")]
-            yield {"kind": "table", "text": "", "cells": cells}
+            cells, nested = _cells(x)
+            yield {"kind": "table", "text": "", "cells": cells, "nested": nested, "floating": x.find(f"{W}tblPr/{W}tblpPr") is not None}
         elif x.tag in (f"{W}sdt", f"{W}sdtContent", f"{W}ins"):
             yield from _body(x)
 
@@ -116,20 +169,71 @@ def parse_docx(content: bytes) -> list[dict]:
     return [{"block_pos": k - (len(heads) if blocks[: len(heads)] == heads else 0), **b} for k, b in enumerate(blocks)]
 
 
-_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
-_SCHEMA = pa.schema([(name, _TYPES[kind]) for name, kind in (x.split(" ") for x in BLOCKS.split(", "))])
-
-
-def _parse(batches):
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            try:
-                rows = [{"paper_id": path, **b} for b in parse_docx(content)]
-            except (ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                rows = [{"paper_id": path, "kind": "error", "error": str(e)}]
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+def parse_parts(content: bytes) -> list[dict]:
+    """SRC-04, SRC-05, SRC-06, SRC-08: what a file holds besides its text: relations, styles, list levels and media."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        read = lambda name: ElementTree.fromstring(z.read(name)) if name in names else ElementTree.Element("none")
+        value = lambda node, path: None if (x := node.find(path)) is None else x.get(f"{W}val")
+        for x in read("word/_rels/document.xml.rels"):
+            out.append({"part": "relation", "name": x.get("Id"), "target": x.get("Target", "").removeprefix("/word/").removeprefix("/")})
+        for x in read("word/styles.xml").findall(f"{W}style"):
+            out.append({"part": "style", "name": x.get(f"{W}styleId"), "target": value(x, f"{W}basedOn"), "text": value(x, f"{W}pPr/{W}numPr/{W}numId"), "level": int(value(x, f"{W}pPr/{W}numPr/{W}ilvl") or 0)})
+        numbering = read("word/numbering.xml")
+        levels = {x.get(f"{W}abstractNumId"): x.findall(f"{W}lvl") for x in numbering.findall(f"{W}abstractNum")}
+        for x in numbering.findall(f"{W}num"):
+            starts = {o.get(f"{W}ilvl"): value(o, f"{W}startOverride") for o in x.findall(f"{W}lvlOverride")}
+            for k in levels.get(value(x, f"{W}abstractNumId"), []):
+                level = k.get(f"{W}ilvl")
+                out.append({"part": "level", "name": x.get(f"{W}numId"), "level": int(level), "format": value(k, f"{W}numFmt") or "decimal", "text": value(k, f"{W}lvlText") or f"%{int(level) + 1}.", "start": int(starts.get(level) or value(k, f"{W}start") or 1)})
+        out += [{"part": "media", "name": n.rsplit("/", 1)[1], "target": n.removeprefix("word/"), "content": z.read(n)} for n in sorted(names) if n.startswith("word/media/")]
+    return out
+
+
+def _reader(parse, columns: str):
+    schema = _arrow(columns)
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows = [{"paper_id": path, **b} for b in parse(content)]
+                except (ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows = [{"paper_id": path, "kind": "error", "error": str(e)}] if "error" in schema.names else []
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
+def _arrow(columns: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(columns))
 
 
 def read_blocks(files: DataFrame) -> DataFrame:
     """SRC-02: blocks of binaryFile rows (path, content); a file that is no Word document gives one row of kind error."""
-    return files.select("path", "content").mapInArrow(_parse, BLOCKS)
+    return files.select("path", "content").mapInArrow(_reader(parse_docx, BLOCKS), BLOCKS)
+
+
+def read_parts(files: DataFrame) -> DataFrame:
+    """Relations, styles, list levels and media of binaryFile rows, one table told apart by part."""
+    return files.select("path", "content").mapInArrow(_reader(parse_parts, PARTS), PARTS)
+
+
+def relations(parts: DataFrame) -> DataFrame:
+    return parts.where("part = 'relation'").select("paper_id", F.col("name").alias("rid"), "target")
+
+
+def styles(parts: DataFrame) -> DataFrame:
+    return parts.where("part = 'style'").select("paper_id", F.col("name").alias("style"), F.col("target").alias("based_on"), F.col("text").alias("num"), "level")
+
+
+def media(parts: DataFrame) -> DataFrame:
+    return parts.where("part = 'media'").select("paper_id", "target", "content")
+
+
+def levels(parts: DataFrame) -> DataFrame:
+    return parts.where("part = 'level'").select("paper_id", F.col("name").alias("num_id"), F.col("level").alias("num_level"), F.col("format").alias("num_format"), F.col("text").alias("level_text"), "start")
