@@ -47,7 +47,8 @@ LENGTH, GRAM = 200, 48
 SPREAD = LENGTH - GRAM + 1
 #: Stretches of one anchor string that one task may hold.
 GROUP = 20_000
-BLOCK = 1 << 20
+#: Bytes of texts that are taken at once; their arrays are some hundred times as large.
+BLOCK = 1 << 19
 #: Bytes of stretches in one batch.
 BODIES = 64 << 20
 #: Kinds of rows: to be judged, alone in its batch or not; and judged.
@@ -70,7 +71,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, up to n at least."""
-    return _powers(1 << max(21, int(n).bit_length()))
+    return _powers(1 << max(20, int(n).bit_length()))
 
 
 def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
