@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .annulus import OP12_SQL, op12_annulus_clusters
 from .chat import OP1_SQL, op1_chat_prefix_targets
 from .cws import op2_document_fingerprints
+from .language import op11_language_id
 from .media import op8_media_columns
+from .ngram_importance import OP13_SQL, op13_target_importance
 from .packing import op7_retrieval_packing
 from .quality import op9_quality_classifier
 from .repeats import OP4_SQL, op4_suffix_array_dedup
@@ -24,7 +27,10 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_language_id": op11_language_id,
+    "op12_annulus_clusters": op12_annulus_clusters,
+    "op13_target_importance": op13_target_importance,
 }
 
 #: DuckDB can't run a tokenizer's merges, checksums of ids, sampled draws or fingerprints; tests compare those with brute force.
-ORACLE: dict[str, str] = {"op1_chat_prefix_targets": OP1_SQL, "op4_suffix_array_dedup": OP4_SQL, "op10_warc_revisits": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_chat_prefix_targets": OP1_SQL, "op4_suffix_array_dedup": OP4_SQL, "op10_warc_revisits": OP10_SQL, "op12_annulus_clusters": OP12_SQL, "op13_target_importance": OP13_SQL}
