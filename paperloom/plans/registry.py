@@ -58,5 +58,5 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def load() -> None:
-    for module in ("marks", "segments", "texts", "routing", "layouts", "structures", "papers", "shapes", "rendering"):
+    for module in ("marks", "segments", "texts", "routing", "layouts", "structures", "papers", "shapes", "rendering", "diffs"):
         importlib.import_module(f"paperloom.plans.{module}")
