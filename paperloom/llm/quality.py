@@ -1,18 +1,20 @@
 """Quality classifier by importance resampling.
 
 Target text (labelled good and not toxic, from a bounded sample of labelled rows) and raw text (all documents) each
-have two generative models over hashed n-grams: one of which words a text has at all (independent presences), and one
-of its words and word pairs (multinomial). A document's log importance is log p_target - log p_raw, in nats and
-unscaled; of the two models' ratios it has the lesser, as a text must be likely under both. Where a word's presence in
-target text is within CHANCE standard deviations of what raw text lets expect, the target model takes the raw one's
-probability; absent words have no term, being nearly all. Gumbel top-k then draws k documents without replacement:
-log importance plus Gumbel noise from doc_id and text, and the k greatest keys. k is a parameter; by default it is the
-share of good rows among the labelled rows, of all documents.
+have a generative model over hashed n-grams: words and word pairs, multinomial. A document's log importance is
+log p_target - log p_raw, in nats and unscaled. Gumbel top-k then draws k documents without replacement: log importance
+plus Gumbel noise from doc_id and text (times a temperature, 1 by default), and the k greatest keys.
+
+The sum over a long text outweighs the few words that make it toxic, so a second model says what lies outside the
+target: which words a text has at all (independent presences). Only words whose presence in target text differs from
+what raw text lets expect by over CHANCE standard deviations count; where their log ratios add up to less than OUTSIDE,
+the document is not supported by the target. Supported documents are drawn first; others fill up what is left of k, by
+the same keys. k is a parameter; by default it is the share of good rows among the labelled rows, of all documents.
 
 Defined cases: null or empty text has log importance 0, and very long texts the sum over all of their n-grams; rows
 that repeat doc_id and text share their noise, so ties at the k-th key are all kept; null ids are told apart by their
-texts; without labelled rows every ratio is 0 and k all documents; an empty table gives an empty result; further
-columns pass through, and those called log_weight or sample_key are replaced.
+texts; without labelled rows every ratio is 0, all are supported and k is all documents; an empty table gives an empty result; further
+columns pass through, and those called log_weight, log_presence, supported or sample_key are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ WORD_BITS, PAIR_BITS = 18, 16
 SMOOTH = 1.0
 #: Standard deviations from the expected presences under which a word says nothing.
 CHANCE = 4.0
+#: Log ratio of presences below which a document lies outside the target.
+OUTSIDE = -2.0
+RESULTS = ("log_weight", "log_presence", "supported", "sample_key")
 CHUNK = 1024
 BLOCK = 1 << 20
 KINDS = {"has": WORD_BITS, "word": PAIR_BITS, "pair": PAIR_BITS}
@@ -129,15 +134,12 @@ class Model:
             self.ratio[kind] = ratio.astype(np.float32)
 
     def ratios(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's log ratio by the words that it has, and by its words and word pairs."""
-        has, sums = np.zeros(len(column)), np.zeros(len(column))
+        """Each text's log ratio by its words and word pairs, and by the words that it has."""
+        sums, has = np.zeros(len(column)), np.zeros(len(column))
         for a, b, raw, at in blocks(column):
             found = {k: np.bincount(doc, self.ratio[k][bucket], b - a) for k, (doc, bucket) in ngrams(raw, at).items()}
-            has[a:b], sums[a:b] = found["has"], found["word"] + found["pair"]
-        return has, sums
-
-    def weight(self, column: pa.Array) -> np.ndarray:
-        return np.minimum(*self.ratios(column))
+            sums[a:b], has[a:b] = found["word"] + found["pair"], found["has"]
+        return sums, has
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -160,20 +162,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Model
     return Model(chunks), float(target / labelled) if labelled else 1.0
 
 
-def weighted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with log_weight and sample_key: the log importance, and that with Gumbel noise from doc_id and text."""
+def weighted(docs: DataFrame, model: Model, temperature: float = 1.0) -> DataFrame:
+    """docs with log_weight, log_presence, supported and sample_key: the log importance, that of presences, whether it reaches OUTSIDE, and the log importance with Gumbel noise from doc_id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("log_weight", "sample_key")]
+    kept = [c for c in docs.columns if c not in RESULTS]
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id", "text"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    rows = docs.select(*kept, (-F.log(-F.log(draw))).alias("__noise"), text_or_empty().alias("__text"))
+    rows = docs.select(*kept, (-F.log(-F.log(draw)) * temperature).alias("__noise"), text_or_empty().alias("__text"))
 
     def run(batches):
         for batch in batches:
             *own, noise, text = batch.columns
-            weight = shared.value.weight(text)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(weight), pa.array(weight + np.asarray(noise))], [*kept, "log_weight", "sample_key"])
+            weight, presence = shared.value.ratios(text)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(weight), pa.array(presence), pa.array(presence >= OUTSIDE), pa.array(weight + np.asarray(noise))], [*kept, *RESULTS])
 
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("sample_key", T.DoubleType())])
+    double = T.DoubleType()
+    schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(c, t) for c, t in zip(RESULTS, (double, double, T.BooleanType(), double), strict=True))])
     return rows.mapInArrow(run, schema)
 
 
@@ -192,13 +195,21 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = LABELLED, columns: list[str] | None = None) -> DataFrame:
-    """The k drawn documents (by default as many as the labelled rows' share of good ones lets expect) with log_weight and sample_key; of docs all columns, or those given. Weights are read once and written with the rows."""
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = LABELLED, columns: list[str] | None = None, temperature: float = 1.0) -> DataFrame:
+    """The k drawn documents (by default as many as the labelled rows' share of good ones lets expect) with the results; of docs all columns, or those given. Weights are read once and written with the rows."""
     model, share = fit(docs, labels, most)
     with small_batches(docs.sparkSession):
-        scored = cut_lineage(weighted(docs, model).select(*(columns or [c for c in docs.columns if c not in ("log_weight", "sample_key")]), "log_weight", "sample_key"))
-    k = round(scored.count() * share) if k is None else k
-    return scored.where(F.col("sample_key") >= F.lit(float(kth_largest(scored, "sample_key", k)))) if k and not scored.isEmpty() else scored.limit(0)
+        scored = cut_lineage(weighted(docs, model, temperature).select(*(columns or [c for c in docs.columns if c not in RESULTS]), *RESULTS))
+    n, inside = scored.agg(F.count("*"), F.count_if("supported")).first()
+    k = round(n * share) if k is None else k
+    if k <= 0 or not n:
+        return scored.limit(0)
+    part = F.col("supported") if k <= inside else ~F.col("supported")
+    left = k if k <= inside else min(k, n) - inside
+    if not left:
+        return scored.where("supported")
+    drawn = part & (F.col("sample_key") >= F.lit(float(kth_largest(scored.where(part), "sample_key", left))))
+    return scored.where(drawn if k <= inside else F.col("supported") | drawn)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Records' headers go by payload digest: of equal payloads that with the largest id is the response, the
 others become revisit records without payload that name it. Only the archives hold payloads; they are
 written through Spark's writer as whole records with fresh headers, a file per task, whose partitions follow the
-payloads' bytes, and at most FILE_RECORDS records a file. Each file is one gzip stream, as the writer makes it. They
+payloads' bytes (before compression), and at most FILE_RECORDS records a file. Each file is one gzip stream, as the writer makes it. They
 are read back file by file, each record by its Content-Length; a revisit's length and digest are those of the response
 whose record it names, and a response that is missing raises an error.
 
@@ -57,7 +57,7 @@ def resolve(records: DataFrame, least: int = 0) -> DataFrame:
     # a table of its own, so that a digest that a third of all pages share is split in the join
     keeper = cut_lineage(headers.groupBy("sha1").agg(F.max(F.struct(F.col("id").isNotNull().alias("some"), "id", "url")).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha1", "keeper"))
     revisits = headers.join(keeper, "sha1").where("id is null and keeper.some or id < keeper.id").select(F.col("id").alias("r_id"), F.col("sha1").alias("r_sha1"), "keeper")
-    return records.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left").drop("r_id", "r_sha1")
+    return records.join(revisits.hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left").drop("r_id", "r_sha1")
 
 
 def _record_id(key, sha1, url):
@@ -98,7 +98,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", payload: s
     """Deduplicated archives, gzip-compressed, below path."""
     records = with_digest(pages, key, payload, date)
     size = records.agg(F.sum("size")).first()[0] or 0
-    with settings(pages.sparkSession, spark__sql__shuffle__partitions=max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_of(size))):
+    # the last join deals the payloads by id and digest to as many tasks as their bytes ask for, and nothing joins small parts, which may be large ones well compressed
+    with settings(pages.sparkSession, spark__sql__shuffle__partitions=parts_of(size), spark__sql__adaptive__coalescePartitions__enabled=False):
         resolve(records, least).select(_record().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 

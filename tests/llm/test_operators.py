@@ -449,6 +449,11 @@ def test_op10(spark, tmp_path):
     kept = [f for f, _ in warc.parse_records(raw)]
     assert {f["WARC-Refers-To"] for f in kept if f["WARC-Type"] == "revisit"} <= {f["WARC-Record-ID"] for f in kept if f["WARC-Type"] == "response"}
     assert len({f["WARC-Record-ID"] for f in kept}) == 24
+    packed = spark.createDataFrame([(k,) for k in range(160)], "page_id long").coalesce(1).selectExpr("page_id", "'u' as url", "repeat(concat('page ', page_id, ' '), 110000) as html")
+    packed.write.parquet(f"file://{tmp_path}/packed")
+    warc.write_archives(spark.read.parquet(f"file://{tmp_path}/packed"), f"file://{tmp_path}/even")
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "even").glob("*.gz")]
+    assert sum(sizes) > 140_000_000 and max(sizes) < 64 << 20  # files follow the bytes, however well they are compressed
     (tmp_path / "cut").mkdir()
     only = [warc.parse_records(gzip.decompress(f.read_bytes())) for f in (tmp_path / "big").glob("*.gz")]
     revisit = next(f for each in only for f, _ in each if f["WARC-Type"] == "revisit")
@@ -501,42 +506,49 @@ def test_op9(spark):
     assert quality.resample(docs, table.where("doc_id < 0")).count() == 603
     assert quality.resample(docs.where("doc_id > 9999"), table).count() == 0
 
-    # both models by hand: words and pairs by their own names, as no two of them share a bucket here
+    # both models by hand: presences by the words' own names, as no two of them share a bucket here, words and pairs by their buckets
+    def buckets(text):
+        found = quality.ngrams(*column_bytes(pa.array([text or ""])))
+        return [found[k][1].tolist() for k in ("word", "pair")]
+
     target, raw = [], []
     good = {i for i, q, x in labels if q and not x}
     for r in docs.collect():
         words = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", r.text or "")
-        raw.append((r, words))
-        target += [words] if r.doc_id in good else []
-    has = [Counter(w for x in side for w in set(x)) for side in ([w for _, w in raw], target)]
-    grams = [[Counter(w for x in side for w in f(x)) for f in (lambda x: x, lambda x: zip(x, x[1:], strict=False))] for side in ([w for _, w in raw], target)]
+        raw.append((r, words, buckets(r.text)))
+        assert [len(b) for b in raw[-1][2]] == [len(words), max(0, len(words) - 1)]
+        target += [raw[-1]] if r.doc_id in good else []
+    has = [Counter(w for x in side for w in set(x)) for side in ([w for _, w, _ in raw], [w for _, w, _ in target])]
+    grams = [[Counter(g for _, _, b in side for g in b[k]) for k in (0, 1)] for side in (raw, target)]
 
-    def log_weight(words):
+    def log_weight(words, own_buckets):
         out = 0
         for w in set(words):
             expected, found = has[0][w] * len(target) / len(raw), has[1][w]
             out += np.log((found + 1) / (expected + 1)) if abs(expected - found) > 4 * np.sqrt(expected + 0.5) else 0
         both = 0
-        for k, own in enumerate((words, list(zip(words, words[1:], strict=False)))):
+        for k, own in enumerate(own_buckets):
             share = sum(grams[1][k].values()) / sum(grams[0][k].values())
             both += sum(np.log((grams[1][k][g] + 1) / (grams[0][k][g] * share + 1)) for g in own)
-        return min(out, both)
+        return both, out
 
     model, share = quality.fit(docs, table)
     assert share == len(target) / (len(labels) + 1)  # one labelled row is there twice
     rows = quality.weighted(docs, model).collect()
-    want = {(r.doc_id, r.text): log_weight(w) for r, w in raw}
-    off = [abs(r.log_weight - want[r.doc_id, r.text]) for r in rows]
-    assert np.median(off) < 1e-3 and np.mean(np.array(off) < 1e-3) > 0.6  # pairs of words may share one of 65,536 buckets
-    for k in (0, 1, 200, 603):
-        keys = sorted((r.sample_key for r in rows), reverse=True)
+    want = {(r.doc_id, r.text): log_weight(w, b) for r, w, b in raw}
+    off = [abs(r.log_weight - want[r.doc_id, r.text][0]) for r in rows]
+    assert max(off) < 1e-3
+    assert all(abs(r.log_presence - want[r.doc_id, r.text][1]) < 1e-3 and r.supported == (want[r.doc_id, r.text][1] >= quality.OUTSIDE) for r in rows)
+    assert {r.supported for r in rows} == {True, False}
+    for k in (0, 1, 200, 480, 550, 603):
+        keys = sorted(((r.supported, r.sample_key) for r in rows), reverse=True)
         got = Counter((r.doc_id, r.text) for r in quality.resample(docs, table, k).collect())
-        assert got == Counter((r.doc_id, r.text) for r in rows if k and r.sample_key >= keys[k - 1])
+        assert got == Counter((r.doc_id, r.text) for r in rows if k and (r.supported, r.sample_key) >= keys[k - 1])
     noise = np.array([r.sample_key - r.log_weight for r in rows])
     assert abs(noise.mean() - 0.5772) < 0.2 and 1.0 < noise.std() < 1.6
-    drawn = {(r.doc_id, r.text) for r in quality.resample(docs, table, 300).collect()}
-    by_weight = sorted(rows, key=lambda r: -r.log_weight)[:300]
-    assert drawn != {(r.doc_id, r.text) for r in by_weight} and drawn != {(r.doc_id, r.text) for r in rows if r.log_weight > 0}
+    top = {(r.doc_id, r.text) for r in sorted((r for r in rows if r.supported), key=lambda r: -r.log_weight)[:200]}
+    shared = [len(top & {(r.doc_id, r.text) for r in quality.resample(docs, table, 200, temperature=t).collect()}) for t in (0.0, 1.0, 1000.0)]
+    assert shared[0] >= 199 and shared[0] > shared[2] and shared[1] > shared[2]
 
 
 def test_kth_largest(spark):
