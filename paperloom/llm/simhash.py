@@ -40,18 +40,24 @@ GROUP, KEYED = 20_000, 20_000
 GOLAY = 0b101011100011
 
 
-def fingerprint(text: bytes) -> int:
+def shingles(text: bytes) -> bytes:
+    """The XXH64 values of a text's word shingles, eight bytes each from the highest; of the whole sequence if it has fewer words, none without words."""
     norm = b" ".join(text.lower().split())
     if not norm:
-        return 0
+        return b""
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 0x20).tolist()
     starts, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(norm)]
     digest = xxhash.xxh64_digest
     if len(starts) <= SHINGLE:
-        hashes = digest(norm, SEED)
-    else:
-        hashes = b"".join([digest(norm[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)])
+        return digest(norm, SEED)
+    return b"".join([digest(norm[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)])
+
+
+def majority(hashes: bytes) -> int:
+    """A bit for each that over half of the values set."""
     n = len(hashes) // 8
+    if not n:
+        return 0
     lanes = np.frombuffer(hashes, np.uint8).reshape(n, 8)
     if n < 64:
         ones = np.unpackbits(lanes, axis=1).sum(axis=0)
@@ -60,6 +66,10 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes) -> int:
+    return majority(shingles(text))
+
+
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -247,15 +257,6 @@ def _fingerprint_table(docs: DataFrame, *also: Column) -> DataFrame:
         return cut_lineage(fingerprints(docs, *also))
 
 
-def survivors(docs: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> DataFrame:
-    """(doc_id, text_hash), the XXH64 of its text, of one row for each component: the least doc_id, nulls last, then the least hash."""
-    each = _fingerprint_table(docs, F.xxhash64("text").alias("text_hash"))
-    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
-    alone, linked = _with_component(cut_lineage(each.groupBy("fp").agg(F.min(row).alias("least"))), distance, most)
-    chosen = alone.select("least").unionByName(linked.groupBy("component").agg(F.min("least").alias("least")).select("least"))
-    return chosen.select("least.doc_id", "least.text_hash")
-
-
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     each = _fingerprint_table(docs)
