@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut_lineage
+from paperloom.llm.near_copies import survivors
 from paperloom.llm.packing import pack
 from paperloom.llm.quality import resample
 from paperloom.llm.repeats import remove_repeats
-from paperloom.llm.simhash import survivors
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints one row: that of the smallest doc_id, nulls last, and of its texts the one with the least hash. Rows without doc_id or that share one go only where their texts are linked."""
+    """Of each group of near copies, linked by fingerprints or by the likeness of their five-word shingles, one row: that of the smallest doc_id, nulls last, and of its texts the one with the least hash. Rows without doc_id or that share one go only where their texts are linked."""
     kept = survivors(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__kept"))
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
     rows = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["__id"]) & (hashed["__hash"] == kept["__kept"]), "left_semi")
