@@ -38,22 +38,6 @@ def destination(folder: Column, name: Column) -> Column:
     return F.when(cls.isin(ROMAN) & folder.isin("formatted", "needsfixes", "archive"), F.concat(folder, F.lit("/Class-"), cls)).otherwise(folder)
 
 
-def free_names(rows: DataFrame, base: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:
-    """SET-04: name, name_v2, ... in order of arrival; versions that a listing (taken: base, version) holds are passed over."""
-    w = Window.partitionBy(base).orderBy(*order)
-    ranked = rows.withColumn("__rank", F.row_number().over(w))
-    if taken is None:
-        version = F.col("__rank")
-    else:
-        held = taken.groupBy(base).agg(F.array_sort(F.collect_set("version")).alias("__held"))
-        ranked = ranked.join(held, base, "left")
-        none = F.coalesce("__held", F.array().cast("array<int>"))
-        candidates = F.array_except(F.sequence(F.lit(1), F.col("__rank") + F.size(none)), none)
-        version = F.element_at(candidates, F.col("__rank"))
-    named = ranked.withColumn("version", version)
-    return named.withColumn("free_name", F.when(F.col("version") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_v"), F.col("version").cast("string")))).drop("__rank", "__held")
-
-
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """STR-03, JN-05: marks rows that a later attempt of the same key supersedes."""
     return rows.withColumn("superseded", F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1)

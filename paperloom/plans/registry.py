@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import importlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import shared_dir, stored  # noqa: F401  for the queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -32,31 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that the cluster names in spark.checkpoint.dir. Where it is unset, only a local session has a folder that all tasks share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = Path(tempfile.gettempdir(), "checkpoints").as_uri()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A table written once and read back: the classified items of papers, from which several things are derived. It goes when the application ends."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def load() -> None:
-    for module in ("marks", "segments", "texts", "routing", "layouts", "structures", "papers", "shapes", "rendering", "diffs"):
+    for module in ("marks", "segments", "texts", "routing", "layouts", "structures", "papers", "shapes", "rendering", "diffs", "filing"):
         importlib.import_module(f"paperloom.plans.{module}")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import routing as R
+from ..operators.filing import free_names
 from .registry import query, table
 
 _FILES = """SELECT page_id AS id, 'f' || page_id || CASE page_id % 5 WHEN 0 THEN '.DOCX' WHEN 1 THEN '.pdf' WHEN 2 THEN '.doc' WHEN 3 THEN '.png' ELSE '' END AS name,
@@ -81,7 +82,7 @@ def canonical_name(spark, d):
 def free_name(spark, d):
     """SET-04, SRT-02."""
     rows = table(spark, d, "orders").withColumn("base", F.concat(F.lit("paper"), F.col("o_custkey").cast("string")))
-    return R.free_names(rows, "base", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "free_name")
+    return free_names(rows, "base", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "free_name")
 
 
 @query("free_name_taken", "WITH r AS (SELECT o_orderkey, 'paper' || o_custkey AS base, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders), v AS (SELECT *, rn + CASE WHEN o_custkey % 2 = 0 AND rn >= 2 THEN 1 ELSE 0 END AS version FROM r) SELECT o_orderkey, CASE WHEN version = 1 THEN base ELSE base || '_v' || version END AS free_name FROM v")
@@ -90,7 +91,7 @@ def free_name_taken(spark, d):
     base = F.concat(F.lit("paper"), F.col("o_custkey").cast("string"))
     rows = table(spark, d, "orders").withColumn("base", base)
     taken = rows.where("o_custkey % 2 = 0").select("base", F.lit(2).alias("version")).distinct()
-    return R.free_names(rows, "base", ["o_orderdate", "o_orderkey"], taken).select("o_orderkey", "free_name")
+    return free_names(rows, "base", ["o_orderdate", "o_orderkey"], taken).select("o_orderkey", "free_name")
 
 
 @query("superseded", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 1 AS superseded FROM orders")
