@@ -1,8 +1,6 @@
-"""Layout: rows and tables of a page from positioned text, and the plan of a rendered paper.
+"""Layout: pieces and tables of a page, and the plan of a rendered paper.
 
-Text pieces are rows (page, x0, y0, x1, y1, text). Rows of a page hang on their first piece, and joined lines
-on the joined result before them, so those two are folds over a page's ordered pieces, as aggregates over
-arrays: a page is bounded, and everything stays in the JVM.
+Text pieces are rows (page, x0, y0, x1, y1, text). Rows and lines that hang on the ones before them are in pages.py.
 """
 
 from __future__ import annotations
@@ -10,12 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Tolerances in points, patterns of page numbers, lone marks, labels, header lines and instructing verbs.
-ROW_TOLERANCE, TAB_GAP, EDGE = 3.0, 18.0, 50.0
+# Distance of page numbers from the edge in points, patterns of page numbers and instructing verbs.
+EDGE = 50.0
 PAGE_NUMBER = r"(?i)^\s*(page\s*\d+(\s*(of|/)\s*\d+)?|\d+\s*(of|/)\s*\d+|-?\s*\d+\s*-?)\s*$"
-MARK_ONLY = r"(?i)^\s*(\d+\s*M(arks?)?|\[\d+\])\s*$"
-LABEL = r"^\s*\(?([A-Za-z]|\d{1,2}|[ivx]{1,4})[.)]|^\s*Q\s*\.?\s*\d"
-NO_JOIN_AFTER = r"(?i)^\s*(Class\s*:|Date\s*:|Roll\s*No|Time\s*:|General\s+Instructions|Section\b|OR\s*$)"
 UMBRELLA = r"(?i)^(answer|attempt|choose|select|tick|fill|match|read|complete|do as directed|solve|unscramble|rearrange|arrange|identify|observe|name|define|give|state|write|put|mark|circle|classify|categori[sz]e|find|correct|rewrite|change|convert|expand|frame|make|pick|underline|very short|short|long|case[- ]based|hots|application)\b"
 TABLE_UMBRELLA = r"(?i)^(answer|attempt|match|complete|fill)"
 
@@ -35,45 +30,6 @@ def without_page_numbers(pieces: DataFrame, page_height: Column) -> DataFrame:
     return pieces.where(~(F.col("text").rlike(PAGE_NUMBER) & ((F.col("y0") < EDGE) | (F.col("y1") > page_height - EDGE))))
 
 
-def rows_of_pieces(pieces: DataFrame, page: str) -> DataFrame:
-    """WN-05, SRT-03: pieces in order of (y0, x0); a piece within three points of its row's first stays in the row; in a row a wide gap is a tab."""
-    piece = F.struct("y0", "x0", "x1", "y1", "text")
-    ordered = pieces.groupBy(page).agg(F.array_sort(F.collect_list(piece)).alias("ps"))
-    start = F.array().cast("array<struct<anchor:double,parts:array<struct<x0:double,x1:double,y1:double,text:string>>>>")
-
-    def step(acc: Column, p: Column) -> Column:
-        part = F.struct(p.x0.cast("double").alias("x0"), p.x1.cast("double").alias("x1"), p.y1.cast("double").alias("y1"), p.text.alias("text"))
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = F.coalesce(F.abs(last["anchor"] - p.y0) <= ROW_TOLERANCE, F.lit(False))
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["anchor"].alias("anchor"), F.concat(last["parts"], F.array(part)).alias("parts"))))
-        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(p.y0.cast("double").alias("anchor"), F.array(part).alias("parts")))))
-
-    rows = ordered.select(page, F.posexplode(F.aggregate("ps", start, step)).alias("row_no", "r")).select(page, "row_no", F.col("r.anchor").alias("y0"), F.array_sort("r.parts").alias("parts"))
-    text = F.aggregate(
-        F.transform("parts", lambda x, i: F.struct(x["text"].alias("text"), F.when(i > 0, F.when(x["x0"] - F.get("parts", i - 1)["x1"] > TAB_GAP, "\t").otherwise(" ")).otherwise("").alias("gap"))),
-        F.lit(""), lambda a, x: F.concat(a, x["gap"], x["text"]),
-    )
-    return rows.select(page, "row_no", "y0", F.get("parts", F.lit(0))["x0"].alias("x0"), F.array_max(F.transform("parts", lambda x: x["x1"])).alias("x1"), F.array_max(F.transform("parts", lambda x: x["y1"])).alias("y1"), text.alias("text"))
-
-
-def join_wrapped(rows: DataFrame, page: str, right: float, left: float) -> DataFrame:
-    """WN-07: a row goes on the one before if that reaches the right edge, is no heading and stands close above; a lone mark always does."""
-    row = F.struct("row_no", "x0", "y0", "x1", "y1", "text")
-    ordered = rows.groupBy(page).agg(F.array_sort(F.collect_list(row)).alias("rs"))
-    start = F.array().cast("array<struct<x0:double,x1:double,y1:double,text:string>>")
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        close = r.y0 - last["y1"]
-        mark = r.text.rlike(MARK_ONLY) & (close < 8)
-        wrapped = (last["x1"] >= right) & ~r.text.rlike(LABEL) & ~last["text"].rlike(NO_JOIN_AFTER) & (close < 6) & (r.x0 - last["x0"]).between(-12, 24) & (last["x0"] - left < 60) & ~last["text"].rlike(r"\d\s*M\s*$")
-        joined = F.struct(last["x0"].alias("x0"), F.when(mark, last["x1"]).otherwise(F.greatest(last["x1"], r.x1)).alias("x1"), r.y1.alias("y1"), F.concat(last["text"], F.when(mark, "\t").otherwise(" "), r.text).alias("text"))
-        new = F.struct(r.x0.alias("x0"), r.x1.alias("x1"), r.y1.alias("y1"), r.text.alias("text"))
-        return F.when(F.coalesce(mark | wrapped, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(new)))
-
-    return ordered.select(page, F.posexplode(F.aggregate("rs", start, step)).alias("line_no", "l")).select(page, "line_no", "l.text")
-
-
 def stacked_fractions(rows: DataFrame, page: str) -> DataFrame:
     """JN-09, WN-25: a whole number over another, centred within eight points and at most twelve below, is a fraction on one line."""
     w = Window.partitionBy(page).orderBy("y0", "x0")

@@ -1,9 +1,41 @@
-"""Numbers that are free beside others that are held."""
+"""Ordered rows: groups that hang on their first row, rows of a group in order, and numbers that are free beside others that are held."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def grouped(rows: DataFrame, by: list[str], order: list[str], values: list[str], step: Callable, name: str) -> DataFrame:
+    """rows with `name`, the number of their group from 0 within `by`. step(state, *values) gives the next state and whether the row begins a group; the state is None at first. Rows pass by once, in order."""
+    names, schema = [*rows.columns, name], T.StructType([*rows.schema.fields, T.StructField(name, T.IntegerType())])
+
+    def run(batches):
+        last, state, n = None, None, -1
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            out = []
+            for key, own in zip(keys, zip(*(batch.column(c).to_pylist() for c in values), strict=True), strict=True):
+                if key != last:
+                    last, state, n = key, None, -1
+                state, new = step(state, *own)
+                n += new
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def in_order(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """(key, its rows) of sorted batches, one group after the other; what a group's reader leaves is passed over."""
+    rows = (r for batch in batches for r in batch.to_pylist())
+    for key, own in groupby(rows, lambda r: tuple(r[c] for c in by)):
+        yield key, own
 
 
 def nth_free(rows: DataFrame, held: DataFrame, by: list[str], rank: str, number: str) -> DataFrame:

@@ -134,22 +134,6 @@ def new_uploads(rows: DataFrame, listing: DataFrame, folder: str, name: str) ->
     return rows.join(held, [folder, name], "left_anti"), rows.join(held, [folder, name], "left_semi")
 
 
-def side_by_side(images: DataFrame, page: str) -> DataFrame:
-    """WN-17: pictures in reading order whose heights overlap the group's first by more than five points share a group."""
-    item = F.struct("y0", "x0", "y1", "id")
-    ordered = images.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    start = F.array().cast("array<struct<y0:double,y1:double,ids:array<bigint>>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = (F.size(acc) > 0) & (F.least(last["y1"], x.y1) - F.greatest(last["y0"], x.y0) > 5)
-        grown = F.array(F.struct(last["y0"].alias("y0"), last["y1"].alias("y1"), F.concat(last["ids"], F.array(x.id)).alias("ids")))
-        new = F.array(F.struct(x.y0.alias("y0"), x.y1.alias("y1"), F.array(x.id).alias("ids")))
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.concat(acc, new))
-
-    return ordered.select(page, F.posexplode(F.aggregate("xs", start, step)).alias("group_no", "g")).select(page, "group_no", "g.ids")
-
-
 def shown_and_rest(lines: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """SRT-05: the first lines of each report, and one more that says how many are left."""
     w = Window.partitionBy(key)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import layout as L
+from ..operators import pages as G
 from .registry import query, table
 
 
@@ -56,16 +57,68 @@ def page_numbers(spark, d):
     return L.without_page_numbers(rows, F.lit(800.0)).select("event_id")
 
 
-@query("row_group")
+#: The first piece beyond each place's tolerance (places are whole points), and from each page's first piece on the anchors that follow one another.
+_ANCHORS = """p AS (SELECT * FROM ({pieces})), n AS (SELECT DISTINCT page, y0, min(y0) OVER (PARTITION BY page ORDER BY y0 RANGE BETWEEN {beyond} FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM p),
+r AS (SELECT page, 0 AS no, min(y0) AS anchor FROM p GROUP BY page UNION ALL SELECT r.page, no + 1, following FROM r JOIN n ON n.page = r.page AND n.y0 = r.anchor WHERE following IS NOT NULL),
+g AS (SELECT p.*, r.no FROM p JOIN (SELECT *, lead(anchor) OVER (PARTITION BY page ORDER BY no) AS till FROM r) r ON p.page = r.page AND p.y0 >= anchor AND (till IS NULL OR p.y0 < till))"""
+_ROWS = _ANCHORS.format(pieces=_PIECES, beyond=4) + """, t AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY page, no ORDER BY x0, x1, y1, text, event_id) AS gap FROM g),
+o AS (SELECT page, no AS row_no, min(y0) AS y0, min(x0) AS x0, max(x1) AS x1, max(y1) AS y1, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > 14 THEN chr(9) ELSE ' ' END || text, '' ORDER BY x0, x1, y1, text, event_id) AS text FROM t GROUP BY page, no)"""
+
+
+@query("row_group", f"WITH RECURSIVE {_ROWS} SELECT * FROM o")
 def row_group(spark, d):
-    """WN-05: anchored on a row's first piece, which takes a recursion in SQL; tests compare with a loop."""
-    return L.rows_of_pieces(pieces(spark, d), "page")
+    """WN-05: anchored on a row's first piece."""
+    return G.rows_of_pieces(pieces(spark, d), "page")
+
 
+_LINES = _ROWS + """, w AS (SELECT page, row_no, 0 AS line_no, x0, x1, y1, text FROM o WHERE row_no = 0 UNION ALL
+SELECT page, row_no, CASE WHEN mark OR wrapped THEN line_no ELSE line_no + 1 END, CASE WHEN mark OR wrapped THEN lx0 ELSE x0 END, CASE WHEN mark THEN lx1 WHEN wrapped THEN greatest(lx1, x1) ELSE x1 END, y1, CASE WHEN mark THEN ltext || chr(9) || text WHEN wrapped THEN ltext || ' ' || text ELSE text END
+FROM (SELECT o.*, line_no, w.x0 AS lx0, w.x1 AS lx1, w.text AS ltext, regexp_matches(o.text, '(?i)^\\s*(\\d+\\s*M(arks?)?|\\[\\d+\\])\\s*$') AND o.y0 - w.y1 < 8 AS mark,
+  w.x1 >= 60 AND NOT regexp_matches(o.text, '(?i)^\\s*(\\d+[.)]|OR\\b|Section\\b|Note)') AND NOT regexp_matches(w.text, '(?i)^\\s*(Section\\b|Date\\s*:|OR\\s*$)') AND o.y0 - w.y1 < 6 AND o.x0 - w.x0 BETWEEN -12 AND 24 AND w.x0 < 60 AND NOT regexp_matches(w.text, '\\d\\s*M\\s*$') AS wrapped
+  FROM w JOIN o ON o.page = w.page AND o.row_no = w.row_no + 1))"""
+_KINDS = ["Explain why", "the sky 5", "M", "3M", "Section B", "OR", "2. Next", "[4]", " ", "note it"]
 
-@query("wrapped_lines")
+
+@query("wrapped_lines", f"WITH RECURSIVE {_LINES.replace(_PIECES, 'SELECT event_id, user_id AS page, CAST(event_id * 37 % 60 AS DOUBLE) AS x0, CAST(event_id * 53 % 700 AS DOUBLE) AS y0, CAST(event_id * 37 % 60 + 40 AS DOUBLE) AS x1, CAST(event_id * 53 % 700 + 10 AS DOUBLE) AS y1, ' + str(_KINDS) + '[event_id % 10 + 1] AS text FROM events')} SELECT page, line_no, last(text ORDER BY row_no) AS text FROM w GROUP BY page, line_no")
 def wrapped_lines(spark, d):
-    """WN-07: each join decides the next; tests compare with a loop."""
-    return L.join_wrapped(L.rows_of_pieces(pieces(spark, d), "page"), "page", right=360.0, left=0.0)
+    """WN-07: each join decides the next; texts of all kinds that matter."""
+    e = F.col("event_id")
+    kinds = F.array(*map(F.lit, _KINDS))
+    rows = pieces(spark, d).select("page", (e * 37 % 60).cast("double").alias("x0"), "y0", (e * 37 % 60 + 40).cast("double").alias("x1"), "y1", F.get(kinds, (e % 10).cast("int")).alias("text"))
+    return G.join_wrapped(G.rows_of_pieces(rows, "page"), "page", right=60.0, left=0.0).select("page", "line_no", "text")
+
+
+_A, _B = "(o_custkey % 89 + 1)", "(o_orderkey % 97 + 2)"
+_FRACTIONS = f"""SELECT o_orderkey AS page, unnest(CASE o_orderkey % 7
+  WHEN 0 THEN ['a) Simplify ' || {_A} || '/' || {_B} || ' to its lowest form.'] WHEN 1 THEN ['Add ' || {_A} || '/' || {_B} || ' and 5 kg'] WHEN 2 THEN ['Add ' || {_A}, {_B}::VARCHAR] WHEN 3 THEN [{_A} || '/' || {_B}]
+  WHEN 4 THEN [{_A}::VARCHAR, {_B}::VARCHAR] WHEN 5 THEN ['Find ' || {_A} || '/' || {_B} || '  of 8/9'] ELSE ['x ' || {_A} || '/' || {_B} || chr(9) || '7/8 y'] END) AS text FROM orders"""
+
+
+def printed(spark, d):
+    """Lines as a page prints them: by the order's key a number above, below or far from another."""
+    k = F.col("o_orderkey")
+    a, b = (F.col("o_custkey") % 89 + 1).cast("string"), (k % 97 + 2).cast("string")
+    span = lambda text, x0, x1: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("sup"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"))
+    line = lambda y0, y1, *spans: F.struct(F.lit(float(y0)).alias("y0"), F.lit(float(y1)).alias("y1"), F.array(*spans).alias("spans"))
+    number = [
+        F.array(line(96, 104, span(a, 110, 116)), line(100, 111, span("a) Simplify", 40, 104)), line(107, 116, span(b, 109, 117)), line(107, 118, span("to its lowest form.", 125, 200))),
+        F.array(line(100, 108, span("Add ", 40, 60), span(a, 62, 68), span(" and 5 kg", 70, 110)), line(112, 120, span(b, 61, 69))),
+        F.array(line(100, 108, span("Add ", 40, 60), span(a, 62, 68)), line(112, 120, span(b, 90, 98))),
+        F.array(line(100, 108, span(a, 62, 68)), line(118, 126, span(b, 63, 69))),
+        F.array(line(100, 108, span(a, 62, 68)), line(121, 129, span(b, 63, 69))),
+        F.array(line(100, 108, span("Find ", 40, 60), span(a, 62, 68)), line(112, 120, span(b, 61, 69), span(" of ", 72, 80), span("8", 82, 86)), line(122, 130, span("9", 82, 86))),
+        F.array(line(100, 108, span("x ", 50, 60), span(a, 62, 68)), line(100, 108, span("7", 90, 94), span(" y", 96, 99)), line(112, 120, span(b, 61, 69)), line(123, 130, span("8", 90, 95))),
+    ]
+    lines = F.explode(F.element_at(F.array(*number), (k % 7 + 1).cast("int"))).alias("l")
+    rows = table(spark, d, "orders").select(k.alias("page"), lines).select("page", "l.y0", "l.y1", "l.spans")
+    return rows.select("page", F.get("spans", F.lit(0))["x0"].alias("x0"), "y0", F.array_max(F.transform("spans", lambda s: s["x1"])).alias("x1"), "y1", F.array_join(F.transform("spans", lambda s: s["text"]), "").alias("text"), "spans")
+
+
+@query("inline_fractions", _FRACTIONS)
+def inline_fractions(spark, d):
+    """JN-09, WN-25, SNK-12: numbers over one another within lines, one or two rows on, and the rest of the lower row behind them."""
+    rows = G.rows_of_pieces(printed(spark, d), "page")
+    return G.inline_fractions(rows, "page").select("page", "text")
 
 
 @query(

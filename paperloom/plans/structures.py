@@ -8,6 +8,8 @@ from ..functions import text as T
 from ..operators import rules as R
 from ..operators import structures as S
 from ..sources.write_docx import to_docx
+from ..operators.pages import side_by_side as side_by_side_groups
+from .layouts import _ANCHORS, _PIECES, pieces
 from .registry import query, table
 
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
@@ -147,12 +149,11 @@ def only_named(spark, d):
     return table(spark, d, "orders").where(F.concat(F.lit("paper"), F.col("o_custkey").cast("string")) == "paper7").select("o_orderkey")
 
 
-@query("side_by_side")
+@query("side_by_side", f"WITH RECURSIVE {_ANCHORS.format(pieces=_PIECES, beyond=5)} SELECT page, no AS group_no, string_agg(event_id, ',' ORDER BY y0, x0, y1, event_id) AS ids FROM g GROUP BY page, no")
 def side_by_side(spark, d):
-    """WN-17: groups hang on their first picture; tests compare with a loop."""
-    from .layouts import pieces
-
-    return S.side_by_side(pieces(spark, d).select("page", "x0", "y0", "y1", F.col("event_id").alias("id")), "page")
+    """WN-17: groups hang on their first picture; all are ten points high here."""
+    groups = side_by_side_groups(pieces(spark, d).select("page", "x0", "y0", "y1", F.col("event_id").alias("id")), "page")
+    return groups.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
 @query("shown_and_rest", "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, CAST(no AS INT) AS no, CASE WHEN no <= 10 THEN event_type ELSE (n - 10) || ' more' END AS line FROM r WHERE no <= 11")

@@ -64,7 +64,7 @@ def test_rows_of_pieces_by_a_loop(spark):
             parts = sorted(parts, key=lambda p: (p.x0, p.x1, p.y1, p.text))
             text = parts[0].text
             for a, b in zip(parts, parts[1:], strict=False):
-                text += ("\t" if b.x0 - a.x1 > 18 else " ") + b.text
+                text += ("\t" if b.x0 - a.x1 > 14 else " ") + b.text
             want[page, k] = text
     assert got == want
 
@@ -80,7 +80,7 @@ def test_garbled_devanagari_by_a_loop(spark):
 
 
 def test_wrapped_lines_join(spark):
-    from paperloom.operators.layout import join_wrapped
+    from paperloom.operators.pages import join_wrapped
 
     rows = spark.createDataFrame([(1, 0, 10.0, 0.0, 400.0, 10.0, "Explain why the"), (1, 1, 10.0, 12.0, 200.0, 22.0, "sky is blue"), (1, 2, 10.0, 24.0, 50.0, 30.0, "2M"), (1, 3, 10.0, 40.0, 90.0, 50.0, "2. Next")], "page int, row_no int, x0 double, y0 double, x1 double, y1 double, text string")
     got = [r.text for r in join_wrapped(rows, "page", right=380.0, left=0.0).orderBy("line_no").collect()]
@@ -90,7 +90,7 @@ def test_wrapped_lines_join(spark):
 def test_side_by_side_by_a_loop(spark):
     from paperloom.plans.layouts import pieces
 
-    got = {(r.page, r.group_no): list(r.ids) for r in registry.QUERIES["side_by_side"](spark, DIR).collect()}
+    got = {(r.page, r.group_no): [*map(int, r.ids.split(","))] for r in registry.QUERIES["side_by_side"](spark, DIR).collect()}
     want = {}
     for page, group in pieces(spark, DIR).toPandas().sort_values(["y0", "x0", "y1", "event_id"]).groupby("page"):
         groups = []
