@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 import numpy as np
@@ -38,6 +41,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
     return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__execution__arrow__maxBytesPerBatch=BATCH_BYTES)
 
 
+def lean(task):
+    """A function over Arrow batches that gives back, when it ends, the memory that its worker freed: workers are used again by later stages."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that the cluster names in spark.checkpoint.dir. Where it is unset, only a local session has a folder that all tasks share."""
     root = spark.conf.get("spark.checkpoint.dir", None)

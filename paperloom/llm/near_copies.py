@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import mixed
-from .common import cut_lineage, small_batches, text_or_empty
+from .common import cut_lineage, lean, small_batches, text_or_empty
 from .components import components
 from .simhash import DISTANCE, links, majority, shingles
 
@@ -115,7 +115,7 @@ def similar_links(distinct: DataFrame, most: int = GROUP) -> DataFrame:
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))))
     dealt = rows.join(distinct.select("fp", "sig"), "fp").select("key", "fp", "sig", pair.alias("pair")).select(F.xxhash64("key", "pair").alias("key"), "fp", "sig")
     with small_batches(distinct.sparkSession):
-        return cut_lineage(dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_groups, "a long, b long")).distinct()
+        return cut_lineage(dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(_groups), "a long, b long")).distinct()
 
 
 def survivors(docs: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> DataFrame:
@@ -124,7 +124,7 @@ def survivors(docs: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> D
     kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[:-1])
     row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
     with small_batches(docs.sparkSession):
-        each = cut_lineage(rows.mapInArrow(_signed, f"{kinds}, fp long, sig binary, keys array<long>"))
+        each = cut_lineage(rows.mapInArrow(lean(_signed), f"{kinds}, fp long, sig binary, keys array<long>"))
     distinct = cut_lineage(each.groupBy("fp").agg(F.min(row).alias("least"), F.min_by(F.struct("sig", "keys"), row).alias("x")).select("fp", "least", "x.sig", "x.keys"))
     both = links(distinct, distance).unionByName(similar_links(distinct, most)).distinct()
     node = cut_lineage(components(both).withColumnRenamed("node", "fp"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytebpe import Spans
-from .common import column_bytes, cut_lineage, small_batches, text_or_empty
+from .common import column_bytes, cut_lineage, lean, small_batches, text_or_empty
 
 #: Labelled rows used at most.
 LABELLED = 50_000
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Model
         sample = cut_lineage(labelled_sample(labels, most))
         rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id"), "left")
         flagged = rows.select("text", F.coalesce("good", F.lit(False)).alias("target"), F.col("labelled_id").isNotNull().alias("labelled"))
-        parts = flagged.mapInArrow(_count, "kind string, chunk int, counts binary")
+        parts = flagged.mapInArrow(lean(_count), "kind string, chunk int, counts binary")
         summed = parts.repartition("kind", "chunk").sortWithinPartitions("kind", "chunk").mapInArrow(_add, "kind string, chunk int, counts binary")
         chunks = [tuple(r) for r in summed.collect()]
     _, target, labelled = next((np.frombuffer(counts, "<u8")[:3] for kind, chunk, counts in chunks if (kind, chunk) == ("0", 0)), (0, 0, 0))
@@ -177,7 +177,7 @@ def weighted(docs: DataFrame, model: Model, temperature: float = 1.0) -> DataFra
 
     double = T.DoubleType()
     schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(c, t) for c, t in zip(RESULTS, (double, double, T.BooleanType(), double), strict=True))])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def kth_largest(rows: DataFrame, key: str, k: int) -> float:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytebpe import mixed
-from .common import column_bytes, cut_lineage, pieces, small_batches, text_or_empty
+from .common import column_bytes, cut_lineage, lean, pieces, small_batches, text_or_empty
 
 LENGTH, GRAM = 200, 48
 SPREAD = LENGTH - GRAM + 1
@@ -440,7 +440,7 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
     key = F.col("doc_id").cast("string")
     row = F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(names)))  # other columns ride along under names of our own
     keyed = docs.select(row.alias("row"), F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(7), text, key).alias("k2"), text.alias("text"))
-    asked = keyed.select("k1", "k2", "text").mapInArrow(_anchors, SCHEMA)
+    asked = keyed.select("k1", "k2", "text").mapInArrow(lean(_anchors), SCHEMA)
     same, settled = [], []
     low, more = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFF)
 
@@ -448,14 +448,14 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
         """The bytes of rows' stretches."""
         wanted = rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "place", "reach")).alias("places"))
         # all columns, so that this exchange of the texts serves the last join as well
-        return keyed.join(wanted.hint("shuffle_merge"), ["k1", "k2"]).select("row", "k1", "k2", "text", "places").mapInArrow(_cut_out, "gram long, k1 long, k2 long, place long, reach int, body binary")
+        return keyed.join(wanted.hint("shuffle_merge"), ["k1", "k2"]).select("row", "k1", "k2", "text", "places").mapInArrow(lean(_cut_out), "gram long, k1 long, k2 long, place long, reach int, body binary")
 
     while True:
         with small_batches(spark):
             asked = cut_lineage(asked)
         with small_batches(spark, 20_000):
             met = asked.where(F.col("kind") < SAME).repartition("gram").sortWithinPartitions("gram", "stretch", "stretch2")
-            judged = cut_lineage(met.mapInArrow(_judged, ", ".join(f"{c} {'int' if c in ('reach', 'kind') else 'long'}" for c in JUDGED)))
+            judged = cut_lineage(met.mapInArrow(lean(_judged), ", ".join(f"{c} {'int' if c in ('reach', 'kind') else 'long'}" for c in JUDGED)))
         same += [x.where(F.col("kind") == SAME).select("k1", "k2", low.alias("low"), (low + more).alias("high")) for x in (asked, judged)]
         open_ = judged.where(F.col("kind") != SAME).select(*JUDGED[:-1])
         hot = cut_lineage(open_.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram"))
@@ -463,17 +463,17 @@ def remove_repeats(docs: DataFrame, most: int = GROUP, as_text: bool = False) ->
             settled.append(open_)
             break
         settled.append(open_.join(hot, "gram", "left_anti"))
-        asked = bodies(open_.join(hot, "gram", "left_semi")).mapInArrow(_halves, SCHEMA)
+        asked = bodies(open_.join(hot, "gram", "left_semi")).mapInArrow(lean(_halves), SCHEMA)
     open_ = settled[0]
     for x in settled[1:]:
         open_ = open_.unionByName(x)
-    ranges = bodies(open_).repartition("gram").sortWithinPartitions("gram", "k1", "k2", "place").mapInArrow(_sorted_groups, RANGE)
+    ranges = bodies(open_).repartition("gram").sortWithinPartitions("gram", "k1", "k2", "place").mapInArrow(lean(_sorted_groups), RANGE)
     for x in same:
         ranges = ranges.unionByName(x)
     found = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     joined = keyed.join(found.hint("shuffle_merge"), ["k1", "k2"], "left").select("row", "text", "ranges")
     kinds = [("row", keyed.schema["row"].dataType), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.StringType() if as_text else T.BinaryType())]
-    out = joined.mapInArrow(_removed(as_text), T.StructType([T.StructField(name, kind) for name, kind in kinds]))
+    out = joined.mapInArrow(lean(_removed(as_text)), T.StructType([T.StructField(name, kind) for name, kind in kinds]))
     return out.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)), "n_bytes", "n_removed", "n_spans", "kept")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small_batches, text_or_empty
+from .common import cut_lineage, lean, small_batches, text_or_empty
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -83,7 +83,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
     """(doc_id, fp) with the 64 bits as a signed long; further columns stand between."""
     rows = docs.select("doc_id", *also, text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[:-1]) + ", fp long")
+    return rows.mapInArrow(lean(_fingerprints), ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[:-1]) + ", fp long")
 
 
 def _remainder(word: int) -> int:
@@ -233,7 +233,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, most: int = GROUP) -> D
     dealt = distinct.select("fp").repartition(-(-max(1, distinct.count()) // KEYED))
     with small_batches(spark, 20_000):
         keyed = dealt.mapInArrow(_keyed, "key long, fp long")
-        found = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linked(distance, most), schema))
+        found = cut_lineage(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(_linked(distance, most)), schema))
         big = found.where("key is not null")
         chunks = cut_lineage(big.groupBy("key").agg(F.ceil(2 * F.count("*") / most).cast("int").alias("chunks")))
         out = found.where("key is null")

@@ -199,6 +199,44 @@ def test_op7_neighbours_meet_across_the_table(spark):
     assert same > 0.9 * pairs
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_op7_tree_stays_small(spark, monkeypatch, equal):
+    monkeypatch.setattr(packing, "LEAVES", 2)
+    built = []
+    own = packing.Tree.__init__
+    monkeypatch.setattr(packing.Tree, "__init__", lambda self, rows, weight, most: own(self, rows, weight, most) or built.append((len(rows), self)))
+    rng = random.Random(6)
+    texts = [(k, "same words in every text " * 8 if equal else " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))) for k in range(900)]
+    rows = packing.pack(spark.createDataFrame([*texts, (None, None)], "doc_id long, text string").repartition(3), BPE, window=128, shard_bytes=8192).toPandas()
+    assert rows.length.sum() == sum(len(tokens(t)) + 1 for _, t in texts) + 1
+    sampled, tree = built[0]
+    assert sampled < 300 and tree.leaves <= 4
+    sizes = rows.groupby(rows.sequence_id // (1 << 32)).length.sum()
+    assert len(sizes) > 15 and sizes.max() < 0.3 * sizes.sum()  # the planes part each leaf further, equal texts too
+
+
+def test_op7_layout_against_greedy_by_hand():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(12)], k=rng.randint(1, 14))).encode() for _ in range(25)]
+    encoder = Encoder(BPE)
+    raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    index = packing.Index(*packing.words(encoder, raw, at))
+    sizes = [len(tokens(t.decode())) + 1 for t in texts]
+    before, window = np.cumsum([0, *sizes]), 1 << 20
+    pieces = packing.lay_out(index, before, window)
+    left, seed, order = set(range(len(texts))), 0, [0]
+    left.discard(0)
+    score = index.scores(0, len(texts))
+    while left:
+        best = max(left, key=lambda d: (score[d], -d))
+        if score[best] <= 0:  # no neighbour is left: the next unused document seeds
+            seed = best = min(left)
+            score = index.scores(seed, len(texts))
+        left.discard(best)
+        order.append(best)
+    assert list(dict.fromkeys(p[0] for p in pieces)) == order
+
+
 def test_op7_statistics_cover_the_table(spark):
     texts = ["a b a", " b c", None, "", "a b", " c  c"]
     found, size = packing.statistics(spark.createDataFrame([(t or "",) for t in texts], "text string").repartition(3), BPE)
