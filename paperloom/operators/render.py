@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..measures import TEXT_WIDTH
 
-# Page measures and tab stops in twips, notes on the source of a paper.
-PAGE_WIDTH, PAGE_HEIGHT, MARGIN_LEFT, MARGIN_RIGHT, MARGIN_TOP, MARGIN_BOTTOM = 11906, 16838, 709, 709, 700, 567
-TEXT_WIDTH = PAGE_WIDTH - MARGIN_LEFT - MARGIN_RIGHT
+# Indents and tab stops in twips, notes on the source of a paper.
 QUESTION_INDENT, PART_INDENT, INSTRUCTION_INDENT = 360, 720, 284
 OPTION_STOPS = {4: [2880, 5400, 7920], 3: [3720, 7080], 2: [5400], 1: []}
 HEADER_STOPS = [3600, 8640]

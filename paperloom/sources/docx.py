@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 # Namespaces of the format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
@@ -22,13 +24,17 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 V = "{urn:schemas-microsoft-com:vml}"
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 #: English metric units in a point.
 EMU = 12_700
 
 RUN = "array<struct<text:string,bold:boolean,italic:boolean,underline:boolean,sup:boolean,sub:boolean,highlight:boolean>>"
 PICTURES = "array<struct<rid:string,width:double,height:double>>"
+TEXTS = f"array<struct<text:string,align:string,runs:{RUN},pictures:{PICTURES}>>"
+#: A table's declared column widths, whether it has borders, and its cells in order; merged: 'restart' or 'continue' for cells that span rows.
+GRID = f"struct<cols:array<int>,bordered:boolean,cells:array<struct<row:int,cell:int,span:int,merged:string,bordered:boolean,paragraphs:{TEXTS}>>>"
 NESTED = "array<struct<row:int,at:int,count:int,cells:array<array<string>>>>"
-BLOCKS = f"paper_id string, block_pos int, kind string, text string, align string, bold boolean, images int, pictures {PICTURES}, shapes int, style string, num_id string, num_level int, runs {RUN}, cells array<array<string>>, nested {NESTED}, floating boolean, error string"
+BLOCKS = f"paper_id string, block_pos int, kind string, text string, align string, bold boolean, images int, pictures {PICTURES}, shapes int, style string, num_id string, num_level int, runs {RUN}, indent int, keep_next boolean, stops array<int>, cells array<array<string>>, nested {NESTED}, grid {GRID}, floating boolean, error string"
 PARTS = "paper_id string, part string, name string, target string, level int, format string, text string, start int, content binary"
 
 
@@ -41,24 +47,31 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+# What parts of a fraction stand in parentheses for, and the character that draws a bar over the one before it.
+TERMS, OVERLINE = "+-×÷ ", "\u0305"
+
+
 def _math(node) -> str:
-    """SRC-19: an equation in a line: fractions with a slash, powers and indices in braces, roots."""
+    """SRC-19: an equation in a line: fractions with a slash, powers and indices in braces, roots with their degree, delimiters as they are given, bars over each character."""
     tag = node.tag.removeprefix(M)
-    part = lambda name: "".join(_math(x) for x in node.findall(f"{M}{name}"))
-    group = lambda s: f"({s})" if len(s) > 1 and not s.isalnum() else s
     if tag == "t":
         return node.text or ""
+    if tag.endswith("Pr"):
+        return ""
+    part = {k: "".join(map(_math, node.findall(f"{M}{k}"))) for k in ("e", "num", "den", "sub", "sup", "deg")}
+    term = lambda s: f"({s})" if any(c in s for c in TERMS) else s
     if tag == "f":
-        return f"{group(part('num'))}/{group(part('den'))}"
-    if tag == "sSup":
-        return f"{part('e')}^{{{part('sup')}}}"
-    if tag == "sSub":
-        return f"{part('e')}_{{{part('sub')}}}"
+        return f"{term(part['num'])}/{term(part['den'])}"
+    if tag in ("sSup", "sSub", "sSubSup"):
+        return part["e"] + ("_{" + part["sub"] + "}" if "Sub" in tag else "") + ("^{" + part["sup"] + "}" if "Sup" in tag else "")
     if tag == "rad":
-        return f"√({part('e')})"
+        return f"{part['deg']}√({part['e']})"
     if tag == "d":
-        return f"({part('e')})"
-    return "".join(_math(x) for x in node)
+        own = {k: x.get(f"{M}val") for k in ("begChr", "endChr") if (x := node.find(f"{M}dPr/{M}{k}")) is not None}
+        return (own.get("begChr", "(") or "") + ", ".join(map(_math, node.findall(f"{M}e"))) + (own.get("endChr", ")") or "")
+    if tag == "bar":
+        return "".join(c + OVERLINE for c in part["e"])
+    return "".join(map(_math, node))
 
 
 def _flag(props, name: str) -> bool:
@@ -83,6 +96,15 @@ def _walk(node, out: list, pictures: list, shapes: list, props=None) -> None:
             out.append(("\n", props))
         elif x.tag == f"{W}noBreakHyphen":
             out.append(("-", props))
+        elif x.tag == f"{W}sym":
+            out.append((chr(int(x.get(f"{W}char") or "20", 16)), props))
+        elif x.tag == f"{MC}AlternateContent":  # the same thing twice: the first form that holds a picture, or else one shape
+            forms = [([], []) for _ in x]
+            for form, (found, drawn) in zip(x, forms, strict=True):
+                _walk(form, [], found, drawn)
+            found = next((f for f, _ in forms if f), [])
+            pictures += found
+            shapes += [] if found else [x]
         elif x.tag in (f"{M}oMath", f"{M}oMathPara"):
             out.append((_math(x), props))
         elif x.tag in (f"{W}drawing", f"{W}pict", f"{W}object"):
@@ -114,7 +136,10 @@ def _paragraph(p) -> dict:
         else:
             runs.append({"text": text, **run})
     worded = [r for r in runs if r["text"].strip()]
+    whole = lambda x, name: None if x is None or not (x.get(f"{W}{name}") or "").lstrip("-").isdigit() else int(x.get(f"{W}{name}"))
+    stops = [] if find(f"{W}tabs") is None else [whole(t, "pos") for t in find(f"{W}tabs") if t.get(f"{W}val") != "clear"]
     return {
+        "indent": whole(find(f"{W}ind"), "left"), "keep_next": _flag(props, "keepNext"), "stops": [t for t in stops if t is not None],
         "kind": "p", "text": "".join(t for t, _ in out), "align": value(find(f"{W}jc")), "images": len(pictures), "pictures": pictures, "shapes": len(shapes), "runs": runs, "style": value(find(f"{W}pStyle")),
         "bold": bool(worded) and all(r["bold"] for r in worded), "num_id": value(find(f"{W}numPr/{W}numId")), "num_level": None if find(f"{W}numPr") is None else int(value(level) or 0),
     }
@@ -139,6 +164,43 @@ def _cells(table) -> tuple[list[list[str]], list[dict]]:
     return [[text for text, _ in row] for row in rows], nested
 
 
+# Sides of a table's borders, and values that stand for none.
+SIDES, NO_BORDER = ("top", "left", "bottom", "right", "insideH", "insideV"), ("none", "nil")
+
+
+def _drawn(borders) -> bool | None:
+    """Whether any of the sides that are told has a line; None if no side is."""
+    told = [] if borders is None else [x.get(f"{W}val") for k in SIDES if (x := borders.find(f"{W}{k}")) is not None and x.get(f"{W}val") is not None]
+    return any(v not in NO_BORDER for v in told) if told else None
+
+
+def _bordered(table, cells: list[dict]) -> bool:
+    """SRC-16: by the table's own borders, or else its style: plain and unnamed ones have none; any cell with a line settles it."""
+    props = table.find(f"{W}tblPr")
+    if props is None:
+        return True
+    borders, style = props.find(f"{W}tblBorders"), props.find(f"{W}tblStyle")
+    own = _drawn(borders) is not False if borders is not None else style is not None and style.get(f"{W}val") not in (None, "TableNormal")
+    return own or any(c["bordered"] for c in cells)
+
+
+def _grid(table) -> dict:
+    """SRC-16: declared widths, borders and cells with their spans and paragraphs; what inner tables hold is in their paragraphs."""
+    cells = []
+    for k, row in enumerate(table.findall(f"{W}tr")):
+        for n, cell in enumerate(row.findall(f"{W}tc")):
+            props = cell.find(f"{W}tcPr")
+            get = lambda name: None if props is None else props.find(f"{W}{name}")  # noqa: E731, B023
+            span, merge = get("gridSpan"), get("vMerge")
+            own = [_paragraph(x) for x in cell.iter(f"{W}p")]
+            cells.append({
+                "row": k, "cell": n, "span": 1 if span is None else int(span.get(f"{W}val") or 1), "merged": None if merge is None else merge.get(f"{W}val", "continue"), "bordered": _drawn(get("tcBorders")),
+                "paragraphs": [{c: p[c] for c in ("text", "align", "runs", "pictures")} for p in own],
+            })
+    cols = [int(x.get(f"{W}w") or 0) for x in table.findall(f"{W}tblGrid/{W}gridCol")]
+    return {"cols": cols, "bordered": _bordered(table, cells), "cells": cells}
+
+
 def _body(node):
     """SRC-16, SRC-17: paragraphs and tables in order, inside content controls too."""
     for x in node:
@@ -146,11 +208,23 @@ def _body(node):
             yield _paragraph(x)
         elif x.tag == f"{W}tbl":
             cells, nested = _cells(x)
-            yield {"kind": "table", "text": "", "cells": cells, "nested": nested, "floating": x.find(f"{W}tblPr/{W}tblpPr") is not None}
+            yield {"kind": "table", "text": "", "cells": cells, "nested": nested, "grid": _grid(x), "floating": x.find(f"{W}tblPr/{W}tblpPr") is not None}
         elif x.tag in (f"{W}sdt", f"{W}sdtContent", f"{W}ins"):
             yield from _body(x)
 
 
+def _header_part(z: zipfile.ZipFile, body) -> str | None:
+    """SRC-07: the header of the first section's first page, or else its default one, through the document's relations."""
+    section = next(body.iter(f"{W}sectPr"), None)
+    refs = {} if section is None else {x.get(f"{W}type"): x.get(f"{R}id") for x in reversed(section.findall(f"{W}headerReference"))}
+    rid, rels = refs.get("first", refs.get("default")), "word/_rels/document.xml.rels"
+    if rid is None or rels not in z.namelist():
+        return None
+    target = next((x.get("Target", "") for x in ElementTree.fromstring(z.read(rels)) if x.get("Id") == rid), "")
+    name = target.removeprefix("/") if target.startswith("/") else f"word/{target}"
+    return name if name in z.namelist() else None
+
+
 def parse_docx(content: bytes) -> list[dict]:
     """SRC-03, SRC-07: the blocks of one file, with the page header's lines first where the body does not begin with them."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -160,16 +234,15 @@ def parse_docx(content: bytes) -> list[dict]:
         if body is None:
             raise ValueError("not a Word document: it has no body")
         blocks = list(_body(body))
-        heads = []
-        for name in sorted(n for n in z.namelist() if n.startswith("word/header") and n.endswith(".xml")):
-            heads += [x for x in _body(ElementTree.fromstring(z.read(name))) if x["text"].strip()]
+        name = _header_part(z, body)
+        heads = [x for x in _body(ElementTree.fromstring(z.read(name))) if x["text"].strip()] if name else []
     top = " ".join(b["text"] for b in [b for b in blocks if b["text"].strip()][:4]).lower()
     if heads and not any(h["text"].lower() in top for h in heads):
         blocks = heads + blocks
     return [{"block_pos": k - (len(heads) if blocks[: len(heads)] == heads else 0), **b} for k, b in enumerate(blocks)]
 
 
-def parse_parts(content: bytes) -> list[dict]:
+def parse_parts(content: bytes, media: bool = True) -> list[dict]:
     """SRC-04, SRC-05, SRC-06, SRC-08: what a file holds besides its text: relations, styles, list levels and media."""
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -187,7 +260,7 @@ def parse_parts(content: bytes) -> list[dict]:
             for k in levels.get(value(x, f"{W}abstractNumId"), []):
                 level = k.get(f"{W}ilvl")
                 out.append({"part": "level", "name": x.get(f"{W}numId"), "level": int(level), "format": value(k, f"{W}numFmt") or "decimal", "text": value(k, f"{W}lvlText") or f"%{int(level) + 1}.", "start": int(starts.get(level) or value(k, f"{W}start") or 1)})
-        out += [{"part": "media", "name": n.rsplit("/", 1)[1], "target": n.removeprefix("word/"), "content": z.read(n)} for n in sorted(names) if n.startswith("word/media/")]
+        out += [{"part": "media", "name": n.rsplit("/", 1)[1], "target": n.removeprefix("word/"), "content": z.read(n)} for n in sorted(names) if media and n.startswith("word/media/")]
     return out
 
 
@@ -198,7 +271,7 @@ def _reader(parse, columns: str):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = [{"paper_id": path, **b} for b in parse(content)]
+                    rows = [{"paper_id": path, **(b | {"part_text": b.get("text")} if "part_text" in schema.names and "part" in b else b)} for b in parse(content)]
                 except (ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows = [{"paper_id": path, "kind": "error", "error": str(e)}] if "error" in schema.names else []
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -218,6 +291,28 @@ def read_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_reader(parse_docx, BLOCKS), BLOCKS)
 
 
+def parse_whole(content: bytes) -> list[dict]:
+    return parse_docx(content) + parse_parts(content)
+
+
+def parse_light(content: bytes) -> list[dict]:
+    return parse_docx(content) + parse_parts(content, media=False)
+
+
+def read_whole(files: DataFrame, with_media: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Blocks and parts from one reading of each file, which is written as a table; media are taken only if asked for. A file that can't be read is one row of kind error."""
+    columns = BLOCKS + PARTS.removeprefix("paper_id string").replace(", text string", ", part_text string")
+    rows = stored(files.select("path", "content").mapInArrow(_reader(parse_whole if with_media else parse_light, columns), columns))
+    parts = rows.where("part is not null").select("paper_id", "part", "name", "target", "level", "format", F.col("part_text").alias("text"), "start", "content")
+    return rows.where("part is null").select(*(c.split()[0] for c in _names(BLOCKS))), parts
+
+
+def _names(columns: str) -> list[str]:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(columns).fieldNames()
+
+
 def read_parts(files: DataFrame) -> DataFrame:
     """Relations, styles, list levels and media of binaryFile rows, one table told apart by part."""
     return files.select("path", "content").mapInArrow(_reader(parse_parts, PARTS), PARTS)
