@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -193,6 +194,12 @@ class ByteBpe:
         return library(self.path).encode(text.decode(), add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=1)
+def shared_bpe(path: str) -> ByteBpe:
+    """One for all tasks of a worker: it holds no texts, and takes longer to set up than a small task."""
+    return ByteBpe(path)
+
+
 def _printable() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 stands for itself."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -323,7 +330,7 @@ class Encoder:
     """Encodes blocks of texts; remembers pre-tokens, up to CACHE new ones besides those it was given."""
 
     def __init__(self, path: str, known: Table | None = None, cache: int = CACHE) -> None:
-        self.bpe, self.known, self.cache = ByteBpe(path), known, Table(cache)
+        self.bpe, self.known, self.cache = shared_bpe(path), known, Table(cache)
 
     def blocks(self, raw: np.ndarray, offsets: np.ndarray):
         """(first text, end, bytes, offsets) of runs of texts of about BLOCK bytes."""
@@ -360,7 +367,7 @@ class Encoder:
         spans = spans.take(one)
         ids = [self.bpe.merge(x) for x in spans.words()]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.cache.add(spans, count, np.fromiter((i for x in ids for i in x), np.uint16, int(count.sum())))
+        self.cache.add(spans, count, np.fromiter(chain.from_iterable(ids), np.uint16, int(count.sum())))
 
     def counts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of ids of each text."""

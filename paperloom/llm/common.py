@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import gc
 import re
 import tempfile
 import uuid
@@ -47,7 +46,6 @@ def lean(task):
     @functools.wraps(task)
     def run(batches):
         yield from task(batches)
-        gc.collect()
         pa.default_memory_pool().release_unused()
         with suppress(OSError, AttributeError):  # where the C library has no such call
             ctypes.CDLL(None).malloc_trim(0)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytebpe import ByteBpe, Encoder, Spans, Table
+from .bytebpe import ByteBpe, Encoder, Spans, Table, shared_bpe
 from .common import column_bytes, cut_lineage, small_batches, text_or_empty
 
 #: Entries of the broadcast table, and of each task's summary while it counts and when it ends.
@@ -79,7 +79,7 @@ def most_frequent(words: DataFrame, most: int) -> DataFrame:
 
 def _encode(path: str):
     def run(batches):
-        merge = ByteBpe(path).merge
+        merge = shared_bpe(path).merge
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(merge(w), "<u2").tobytes() for w in batch.column(0).to_pylist()], pa.binary())], ["word", "ids"])
 

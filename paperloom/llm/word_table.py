@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteBpe, Encoder, Spans, Table
+from .bytebpe import Encoder, Spans, Table, shared_bpe
 from .common import column_bytes, cut_lineage, pieces, small_batches, text_or_empty
 from .token_counts import block_words, encoded_table, most_frequent
 
@@ -65,7 +65,7 @@ class Known:
     """Ids of blocks of texts by a table alone, and the words that it lacks."""
 
     def __init__(self, path: str, table: Table) -> None:
-        self.bpe, self.table = ByteBpe(path), table
+        self.bpe, self.table = shared_bpe(path), table
 
     def lookup(self, raw: np.ndarray, at: np.ndarray):
         starts, before = self.bpe.split(raw, at)
@@ -98,7 +98,7 @@ def _encoded(path: str):
     """Words that stand together are encoded once, and equal rows' words go back once."""
 
     def run(batches):
-        merge, last, ids, last_key = ByteBpe(path).merge, None, b"", None
+        merge, last, ids, last_key = shared_bpe(path).merge, None, b"", None
         for batch in batches:
             out = []
             for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
