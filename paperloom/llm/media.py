@@ -1,12 +1,13 @@
 """PNG images in binary columns and low-frequency cosine-transform hashes.
 
 An image is stored as a greyscale PNG of 8-bit samples: signature, IHDR, IDAT chunks of a zlib stream of
-filtered rows, IEND, each with its CRC-32. Reading checks every checksum and undoes the row filters with
-array operations. The perceptual hash shrinks the image to 32 x 32 by area means and compares the lowest
+filtered rows, IEND, each with its CRC-32. Reading checks every checksum and undoes the row filters, those that add
+the sample before or above with array operations, the other two sample by sample (the writer uses neither). The perceptual hash shrinks the image to 32 x 32 by area means and compares the lowest
 frequencies of its cosine transform with their median.
 
-Defined cases: a null or empty payload is one row of zeros; equal payloads give equal bytes and hashes;
-damaged PNGs raise ValueError with the reason; an empty table gives an empty result; further columns are ignored.
+Defined cases: a null or empty payload is one row of zeros; equal payloads, repeated rows too, give equal bytes and
+hashes; nothing is compared, so there are no ties; a very long payload is one image, held by its task with some five
+times its size; rows are taken ROWS at a time, so that a batch's images never stand in memory together; damaged PNGs raise ValueError with the reason; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 CHUNK = 1 << 16
 SIDE, LOW = 32, 8
+#: Rows whose images a task holds at once.
+ROWS = 64
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -157,11 +160,16 @@ def as_image(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload.ljust(rows * WIDTH, b"\0"), np.uint8).reshape(rows, WIDTH)
 
 
+def _few(batches):
+    for batch in batches:
+        yield from (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS))
+
+
 def to_png(df: DataFrame, payload: str = "payload", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, n_bytes and media: each binary payload as PNG."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             data = [x.as_buffer().to_pybytes() for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(x) for x in data], pa.int64()), pa.array([encode_png(as_image(x)) for x in data], pa.binary())], [*keys, "n_bytes", "media"])
 
@@ -174,7 +182,7 @@ def png_features(media: DataFrame, keys: tuple[str, ...] = ("doc_id", "n_bytes")
     """keys, digests of what is read back from media, and its cosine hash as 16 hex digits."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             for x in batch.column(batch.num_columns - 1):
                 stored = x.as_buffer().to_pybytes()

@@ -634,3 +634,19 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     got = Counter((i, (t or "").lower()) for i, t in kept.collect())
     assert got == Counter([(None, own[0]), (None, own[1]), (7, own[2]), (5, own[3]), (3, own[4]), (5, ""), (9, own[5]), (8, own[6])])
+
+
+def test_cosine_hash_by_hand():
+    rng = np.random.default_rng(4)
+    for shape in ((64, 64), (96, 64), (32, 64)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        high, wide = shape[0] // 32, shape[1] // 32
+        small = [[float(image[y * high : (y + 1) * high, x * wide : (x + 1) * wide].astype(float).mean()) for x in range(32)] for y in range(32)]
+        wave = lambda k, n: np.cos(np.pi * (2 * n + 1) * k / 64)
+        low = np.array([[sum(small[y][x] * wave(v, y) * wave(u, x) for y in range(32) for x in range(32)) for u in range(8)] for v in range(8)])
+        own = int(media.cosine_hash(image))
+        bits = [own >> (63 - k) & 1 for k in range(64)]
+        rest = low.ravel().copy()
+        above = [bits[k] for k in np.argsort(rest)]
+        # the bits part the coefficients into low ones and high ones, by their median
+        assert sum(a > b for a, b in zip(above, above[1:], strict=False)) <= 1 and 28 <= sum(bits) <= 36
