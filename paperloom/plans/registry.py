@@ -30,5 +30,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    for module in ("marks", "segments", "texts", "routing", "layouts", "structures", "papers", "shapes", "rendering", "diffs", "filing", "packages"):
+    for module in ("marks", "segments", "texts", "routing", "layouts", "structures", "papers", "shapes", "rendering", "diffs", "filing", "packages", "changes"):
         importlib.import_module(f"paperloom.plans.{module}")

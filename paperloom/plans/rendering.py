@@ -39,6 +39,25 @@ def rendered_paragraphs(spark, d):
     return rows.select("paper_id", "style", "indent", "keep_next", F.array_join(F.transform("stops", lambda x: x.cast("string")), ",").alias("stops"), "text")
 
 
+#: An entry of over eight items may break over pages but behind its first line and above a part's options; a line that goes on a part stands in the part's column.
+_LONG = [
+    ["Section A", "1. Tell of {n} and {m}:", "(a) Why is it so? 1M", "(b) Second one.", "Go on for {m}.", "(c) third", "(d) Which is it?", "a) one  b) two  c) three  d) four", "(e) fifth", "(f) sixth", "(g) seventh", "(h) eighth"],
+    ["Section A", "1. Tell of {n}:", "(i) First one.", "Go on for {m}.", "(ii) second"],
+]
+_KEPT = [
+    (0, "heading", 0, "true", "SECTION A"), (0, "question", 360, "true", "1.\tTell of {n} and {m}:"), (0, "part", 720, "false", "(a)\tWhy is it so?\t1M"), (0, "part", 720, "false", "(b)\tSecond one."), (0, "continuation", 720, "false", "Go on for {m}."), (0, "part", 720, "false", "(c)\tthird"),
+    (0, "part", 720, "true", "(d)\tWhich is it?"), (0, "options", 360, "false", "(a) one\t(b) two\t(c) three\t(d) four"), (0, "part", 720, "false", "(e)\tfifth"), (0, "part", 720, "false", "(f)\tsixth"), (0, "part", 720, "false", "(g)\tseventh"), (0, "part", 720, "false", "(h)\teighth"), (0, "end", 0, "false", "END"),
+    (1, "heading", 0, "true", "SECTION A"), (1, "question", 360, "true", "1.\tTell of {n}:"), (1, "part", 780, "true", "(i)\tFirst one."), (1, "continuation", 780, "true", "Go on for {m}."), (1, "part", 780, "false", "(ii)\tsecond"), (1, "end", 0, "false", "END"),
+]
+
+
+@query("kept_lines", f"SELECT paper_id, style, CAST(indent AS INT) AS indent, keep_next = 'true' AS keep_next, {shapes._FILL.format('t')} AS text FROM ({shapes._parts(2)}) JOIN {shapes._values(_KEPT, 'shape, style, indent, keep_next, t')} USING (shape)")
+def kept_lines(spark, d):
+    """LAY-08: which lines keep with the next in short and long entries, and the column of lines that go on a part."""
+    found = shapes.classified(spark, d, _LONG)
+    return V.body(found, P.entries(found)).select("paper_id", "style", "indent", "keep_next", "text")
+
+
 @query("note_paragraphs", """WITH n AS (SELECT p_partkey, p_name, p_size % 2 = 0 AS b FROM part) SELECT p_partkey, 0 AS seq, 'title' AS style, 'Review ' || p_partkey AS text, 0 AS bold, 0 AS red FROM n UNION ALL SELECT p_partkey, 1, 'source', 'Source: ' || p_name || '.docx', 0, 0 FROM n
   UNION ALL SELECT p_partkey, 3, 'heading', 'Marks', 0, 0 FROM n UNION ALL SELECT p_partkey, 4, 'bullet', CASE WHEN b THEN 'sums differ [blocking] here' ELSE 'a bold word' END, 1, CASE WHEN b THEN 1 ELSE 0 END FROM n UNION ALL SELECT p_partkey, 5, 'text', 'Done.', 0, 0 FROM n""")
 def note_paragraphs(spark, d):

@@ -34,7 +34,7 @@ TEXTS = f"array<struct<text:string,align:string,runs:{RUN},pictures:{PICTURES}>>
 #: A table's declared column widths, whether it has borders, and its cells in order; merged: 'restart' or 'continue' for cells that span rows.
 GRID = f"struct<cols:array<int>,bordered:boolean,cells:array<struct<row:int,cell:int,span:int,merged:string,bordered:boolean,paragraphs:{TEXTS}>>>"
 NESTED = "array<struct<row:int,at:int,count:int,cells:array<array<string>>>>"
-BLOCKS = f"paper_id string, block_pos int, kind string, text string, align string, bold boolean, images int, pictures {PICTURES}, shapes int, style string, num_id string, num_level int, runs {RUN}, indent int, keep_next boolean, stops array<int>, cells array<array<string>>, nested {NESTED}, grid {GRID}, floating boolean, error string"
+BLOCKS = f"paper_id string, block_pos int, kind string, text string, align string, bold boolean, images int, pictures {PICTURES}, shapes int, equations int, style string, num_id string, num_level int, runs {RUN}, indent int, keep_next boolean, stops array<int>, cells array<array<string>>, nested {NESTED}, grid {GRID}, floating boolean, error string"
 PARTS = "paper_id string, part string, name string, target string, level int, format string, text string, start int, content binary"
 
 
@@ -140,7 +140,7 @@ def _paragraph(p) -> dict:
     stops = [] if find(f"{W}tabs") is None else [whole(t, "pos") for t in find(f"{W}tabs") if t.get(f"{W}val") != "clear"]
     return {
         "indent": whole(find(f"{W}ind"), "left"), "keep_next": _flag(props, "keepNext"), "stops": [t for t in stops if t is not None],
-        "kind": "p", "text": "".join(t for t, _ in out), "align": value(find(f"{W}jc")), "images": len(pictures), "pictures": pictures, "shapes": len(shapes), "runs": runs, "style": value(find(f"{W}pStyle")),
+        "kind": "p", "text": "".join(t for t, _ in out), "align": value(find(f"{W}jc")), "images": len(pictures), "pictures": pictures, "shapes": len(shapes), "equations": sum(1 for _ in p.iter(f"{M}oMath")), "runs": runs, "style": value(find(f"{W}pStyle")),
         "bold": bool(worded) and all(r["bold"] for r in worded), "num_id": value(find(f"{W}numPr/{W}numId")), "num_level": None if find(f"{W}numPr") is None else int(value(level) or 0),
     }
 

@@ -115,3 +115,35 @@ def test_styles_and_parts_that_the_format_needs():
         assert {"[Content_Types].xml", "_rels/.rels", "word/document.xml", "word/styles.xml", "word/footer1.xml", "word/_rels/document.xml.rels"} == set(z.namelist())
         body = z.read("word/document.xml").decode()
     assert body.index("<w:tbl>") < body.index("<w:sectPr>") and "w:pgBorders" in body and '<w:jc w:val="center"/>' in body
+
+
+def test_a_paper_goes_through_whole(spark, tmp_path):
+    """Read, classified, laid out and written again: runs, pictures, spanning tables, stops and marks are there."""
+    from paperloom.operators import papers as P
+    from paperloom.operators import render as V
+
+    flags = ("bold", "italic", "underline", "sup", "sub", "highlight")
+    run = lambda text, *on: {"text": text} | {f: f in on for f in flags}
+    cells = [{"row": r, "cell": k, "span": s, "merged": None, "bordered": None, "paragraphs": [{"text": t, "align": None, "runs": None, "pictures": None}]} for r, k, s, t in [(0, 0, 2, "Rainfall"), (1, 0, 1, "May"), (1, 1, 1, "12 mm")]]
+    picture = "array<struct<target:string,width:double,height:double>>"
+    schema = f"paper_id string, seq int, style string, indent int, keep_next boolean, text string, runs {docx.RUN}, pictures {picture}, grid {docx.GRID.replace(docx.PICTURES, picture)}"
+    lines = [("LAKE PUBLIC SCHOOL", None, None, None), ("ANNUAL EXAMINATION 2025-26", None, None, None), ("Class: VI\tSubject: Science\tMarks: 5", None, None, None), ("Section A (5 marks)", None, None, None), (None, [run("1. Why does "), run("ice", "bold"), run(" float in H"), run("2", "sub"), run("O? 2M")], None, None), ("", None, [{"target": "media/a.png", "width": 900.0, "height": 90.0}], None), ("2. Read the table. 3M", None, None, None), ("", None, None, {"cols": [2000, 2000], "bordered": True, "cells": cells})]
+    plan = [("p", k, "table" if g else "question", 0, False, t, r, p, g) for k, (t, r, p, g) in enumerate(lines)]
+    media = spark.createDataFrame([("p", "media/a.png", b"ice")], "paper_id string, target string, content binary")
+    (tmp_path / "in").mkdir()
+    for r in to_docx(spark.createDataFrame(plan, schema), media).collect():
+        (tmp_path / "in" / "p.docx").write_bytes(r.content)
+    blocks, parts = docx.read_whole(spark.read.format("binaryFile").load(str(tmp_path / "in")), with_media=True)
+    found = P.lines(blocks)
+    header = P.headers(found, r"(?i)public school")
+    items = P.items(found, header).cache()
+    made = V.with_looks(V.whole(header, items, P.entries(items), "LAKE PUBLIC SCHOOL"), blocks, docx.relations(parts))
+    again, more = docx.read_whole(to_docx(made, docx.media(parts)).select(F.col("paper_id").alias("path"), "content"), with_media=True)
+    rows = {r.text: r for r in again.where("kind = 'p'").collect()}
+    stem = rows["1.\tWhy does ice float in H2O?\t2M"]
+    assert [(r.text, [f for f in flags if r[f]]) for r in stem.runs] == [("1.\tWhy does ", []), ("ice", ["bold"]), (" float in H", []), ("2", ["sub"]), ("O?\t2M", [])]
+    assert list(stem.stops) == [10488] and stem.style == "question" and stem.indent == 360
+    shown = next(r for r in again.collect() if r.images)
+    assert round(shown.pictures[0].width) == 464 and round(shown.pictures[0].height) == 46 and [bytes(r.content) for r in docx.media(more).collect()] == [b"ice"]
+    table = again.where("kind = 'table'").first()
+    assert [(c.row, c.cell, c.span, c.paragraphs[0].text) for c in table.grid.cells] == [(0, 0, 2, "Rainfall"), (1, 0, 1, "May"), (1, 1, 1, "12 mm")] and table.grid.bordered
