@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import stored
 from .sequences import grouped, in_order
 
 # Tolerances in points; patterns of lone marks, of labels that begin a line, and of lines that nothing joins.
@@ -120,26 +121,32 @@ def with_fractions(rows: Iterator[dict]) -> Iterator[dict]:
         yield row
 
 
-def _merged(page: str, names: list[str], schema: pa.Schema):
-    def one(rows):
-        return [{**r, "text": "".join(s["text"] for s in r["spans"])} for r in with_fractions(iter(rows))]
+def _merged(page: str, names: list[str], schema: pa.Schema, most: int = 5_000):
+    """Pages one after the other; rows go on in batches of some thousand, whatever the size of pages."""
 
     def run(batches):
+        out: list[dict] = []
         for _, rows in in_order(batches, [page]):
-            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in one(rows)], schema=schema)
+            for r in with_fractions(rows):
+                text = "".join(s["text"] for s in r["spans"])
+                out.append({c: text if c == "text" else r[c] for c in names})
+                if len(out) >= most:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
 
 def inline_fractions(rows: DataFrame, page: str) -> DataFrame:
     """JN-09, WN-25: rows with spans, in which the parts of a fraction that were printed over one another stand on one line. Pages without two numbers over one another pass by: a join of numbers with those of the next two rows says which have them."""
+    rows = stored(rows.select(page, "row_no", "y0", "x0", "x1", "y1", "text", "spans"))  # read four times below
     numbers = rows.select(page, "row_no", F.explode("spans").alias("s")).where(F.col("s.text").rlike(BARE_NUMBER) & F.col("s.x0").isNotNull()).select(page, "row_no", ((F.col("s.x0") + F.col("s.x1")) / 2).alias("centre"))
     above = numbers.select(page, F.explode(F.array(F.col("row_no") + 1, F.col("row_no") + 2)).alias("row_no"), F.col("centre").alias("upper"))
     pages = numbers.join(above, [page, "row_no"]).where(F.abs(F.col("centre") - F.col("upper")) < CENTRE).select(page).distinct()
-    own = rows.select(page, "row_no", "y0", "x0", "x1", "y1", "text", "spans")
-    arrow = _arrow(own.schema)
-    touched = own.join(pages, page, "left_semi").repartition(page).sortWithinPartitions(page, "row_no").mapInArrow(_merged(page, own.columns, arrow), own.schema)
-    return own.join(pages, page, "left_anti").unionByName(touched)
+    arrow = _arrow(rows.schema)
+    touched = rows.join(pages, page, "left_semi").repartition(page).sortWithinPartitions(page, "row_no").mapInArrow(_merged(page, rows.columns, arrow), rows.schema)
+    return rows.join(pages, page, "left_anti").unionByName(touched)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
