@@ -208,7 +208,7 @@ def subject_slug(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.subject_slug(F.element_at(F.array(*map(F.lit, _SUBJECTS)), (F.col("c_custkey") % 10 + 1).cast("int"))).alias("slug"))
 
 
-@query("human_sizes", "SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' ELSE printf('%.1f', n / 1048576.0) || ' MB' END AS size FROM (SELECT o_orderkey, o_orderkey * o_custkey AS n FROM orders)")
+@query("human_sizes", "SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || ' MB' ELSE printf('%.1f', n / 1073741824.0) || ' GB' END AS size FROM (SELECT o_orderkey, o_orderkey * o_custkey AS n FROM orders)")
 def human_sizes(spark, d):
     """FN-23."""
     return table(spark, d, "orders").select("o_orderkey", T.human_size(F.col("o_orderkey") * F.col("o_custkey")).alias("size"))
