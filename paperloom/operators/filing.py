@@ -2,18 +2,23 @@
 
 A log is rows (file, at, folder, name) that are only ever added: an upload is a file's first row, a move or a new name
 a further one. A row is refused if another file has that name in that folder then. Whether one has depends on rows
-before it, of other files and folders; settle() starts from all rows being accepted and applies both windows (where a
-file was, which file came first into a place since it was last left) until nothing changes. What is right for all rows
-before a time is right for the next one, so the rounds end in the one answer that going through the log would give;
-their number follows the longest chain of refusals, not the rows.
+before it, of other files and folders; settle() cuts the log into blocks of time, of bounded size, and goes through each in order, a
+task a block, from what its own files and places held when it began. That is first taken as nothing, then as what the
+blocks before it left, until no block begins otherwise than it was taken to. What is right for all blocks before one is
+right for the next, so the rounds end in the one answer that going through the log would give; their number follows the
+longest chain of blocks that refusals run through, not the rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..tables import stored
 from .sequences import nth_free
@@ -53,28 +58,87 @@ def retired(superseded: DataFrame, archive: DataFrame, order: list[str], name: s
     return named.withColumn("archived", F.concat("__base", F.when(F.col("version") > 1, F.concat(F.lit("_v"), F.col("version").cast("string"))).otherwise(""), "__ext")).drop("__ext", "__base", "__key", "version", "free_name")
 
 
-def _before(value: Column, file: str, order: list[str]) -> Column:
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(file).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+#: Rows of a block of the log, which one task goes through in order.
+BLOCK = 100_000
+
+
+def _blocks(moves: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """The log, written once, with __block, the number of its stretch of time."""
+    n = max(1, math.ceil(moves.count() / BLOCK))
+    return stored(moves.repartitionByRange(n, *order).withColumn("__block", F.spark_partition_id())), n
+
+
+def _through(file: str, place: tuple[str, ...], schema: pa.Schema):
+    """Blocks gone through in order, each from what its files and places held when it began (rows with a __key before its moves)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, where, held = None, {}, {}
+        for batch in batches:
+            took, kept = [], []
+            slots = zip(*(batch.column(c).to_pylist() for c in place), strict=True)
+            for k, (at, known, f, slot) in enumerate(zip(batch.column("__block").to_pylist(), batch.column("__key").to_pylist(), batch.column(file).to_pylist(), slots, strict=True)):
+                if at != block:
+                    block, where, held = at, {}, {}
+                if known == 1:
+                    where[f] = slot
+                elif known == 2:
+                    held[slot] = f
+                else:
+                    free = slot not in held or held[slot] == f
+                    if free:
+                        was = where.get(f)
+                        if was is not None and was in held and held[was] == f:
+                            del held[was]
+                        held[slot] = f
+                        where[f] = slot
+                    kept.append(k)
+                    took.append(free)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in schema.names[:-1]), pa.array(took, pa.bool_())], schema=schema)
+
+    return go
+
+
+def _begun(settled: DataFrame, file: str, place: tuple[str, ...], order: list[str]) -> DataFrame:
+    """What the files and places of each block held when it began, by the rows accepted before it: (__block, __key, file, place), where __key is 1 for a file's place and 2 for a place's file."""
+    slot = F.struct(*place)
+    last = settled.where("accepted").groupBy("__block", file).agg(F.max_by(slot, F.struct(*order)).alias("__slot"))
+    by_file = Window.partitionBy(file).orderBy("__block")
+    stays = last.withColumn("__until", F.lead("__block").over(by_file))
+    asked = settled.select("__block", file).distinct()
+    both = asked.withColumns({"__slot": F.lit(None).cast(last.schema["__slot"].dataType), "__asks": F.lit(True)}).unionByName(last.select((F.col("__block") + 1).alias("__block"), file, "__slot", F.lit(False).alias("__asks")))
+    known = both.withColumn("__slot", F.last("__slot", ignorenulls=True).over(by_file.rangeBetween(Window.unboundedPreceding, 0))).where("__asks and __slot is not null")
+    of_files = known.select("__block", F.lit(1).alias("__key"), file, *(F.col("__slot")[c].alias(c) for c in place))
+    wanted = settled.select("__block", slot.alias("__slot")).distinct()
+    holds = F.struct(F.col(file).alias("f"), F.col("__until").alias("until"))
+    came = stays.select((F.col("__block") + 1).alias("__block"), "__slot", holds.alias("__holds"), F.lit(False).alias("__asks"))
+    both = wanted.withColumns({"__holds": F.lit(None).cast(came.schema["__holds"].dataType), "__asks": F.lit(True)}).unionByName(came)
+    latest = F.max(F.when(F.col("__holds").isNotNull(), F.struct("__block", "__holds"))).over(Window.partitionBy("__slot").orderBy("__block").rangeBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("__holds", latest["__holds"]).where("__asks and __holds is not null and (__holds.until is null or __holds.until >= __block)")
+    of_places = found.select("__block", F.lit(2).alias("__key"), F.col("__holds.f").alias(file), *(F.col("__slot")[c].alias(c) for c in place))
+    return of_files.unionByName(of_places)
 
 
 def settle(moves: DataFrame, file: str = "file", place: tuple[str, ...] = ("folder", "name"), order: tuple[str, ...] = ("at",)) -> DataFrame:
     """SNK-01, SNK-02: the log with accepted; order must be that of arrival, without ties."""
-    slot = F.struct(*place)
-    rows = stored(moves.withColumn("accepted", F.lit(True)))
+    log, n = _blocks(moves, [*order])
+    fields = log.withColumn("accepted", F.lit(True))
+    schema = to_arrow_schema(fields.schema)
+    columns = [*moves.columns, "accepted"]
+    begun = None
     while True:
-        left = rows.withColumn("__slot", slot).withColumn("__prev", _before(F.when(F.col("accepted"), F.col("__slot")), file, [*order]))
-        left = left.withColumn("__same", F.coalesce(F.col("__prev") == F.col("__slot"), F.lit(False)))
-        arrivals = left.where("not __same").select("__slot", *order, F.lit(1).alias("__in"))
-        departures = left.where("accepted and not __same and __prev is not null").select(F.col("__prev").alias("__slot"), *order, F.lit(0).alias("__in"))
-        times = F.sum(1 - F.col("__in")).over(Window.partitionBy("__slot").orderBy(*order))
-        came = arrivals.unionAll(departures).withColumn("__left", times)
-        first = F.row_number().over(Window.partitionBy("__slot", "__left").orderBy(F.desc("__in"), *order)) == 1
-        came = came.where("__in = 1").withColumn("__first", first).select("__slot", *order, "__first")
-        found = left.join(came, ["__slot", *order], "left").withColumn("__now", F.coalesce("__first", F.lit(True)))
-        new = stored(found.withColumn("__changed", F.col("__now") != F.col("accepted")).select(*moves.columns, F.col("__now").alias("accepted"), "__changed"))
-        rows = new.drop("__changed")
-        if new.where("__changed").isEmpty():
-            return rows
+        rows = log.withColumn("__key", F.lit(0))
+        if begun is not None:
+            rows = rows.unionByName(begun, allowMissingColumns=True)
+        rows = rows.repartition(n, "__block").sortWithinPartitions("__block", F.col("__key") == 0, *order)
+        settled = stored(rows.mapInArrow(_through(file, place, schema), fields.schema))
+        if n == 1:
+            return settled.select(columns)
+        now = stored(_begun(settled, file, place, [*order]))
+        each = now.withColumn("__new", F.lit(1)).unionByName((begun if begun is not None else now.limit(0)).withColumn("__new", F.lit(-1)))
+        if each.groupBy("__block", "__key", file, *place).agg(F.sum("__new").alias("__new")).where("__new <> 0").isEmpty():
+            return settled.select(columns)
+        begun = now
 
 
 def intervals(settled: DataFrame, file: str = "file", at: str = "at") -> DataFrame:

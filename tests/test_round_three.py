@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.operators import filing as O
 from paperloom.operators import rules as R
 from paperloom.plans import registry
 
@@ -25,3 +29,24 @@ def test_sizes_up_to_gigabytes(spark):
     want = dict(con.execute(registry.ORACLE["human_sizes"]).fetchall())
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", T.human_size(F.col("n")).alias("s")).collect()
     assert {r.n: r.s for r in got} == want and want[1664299827] == "1.5 GB" and want[1 << 42] == "4096.0 GB"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_log_is_settled_in_blocks(spark, monkeypatch, seed):
+    """Blocks of a few rows, which refusals run through, give what one walk through the log gives, in few rounds."""
+    rng = random.Random(seed)
+    moves = [(at, rng.choice([None, *range(30)]), rng.choice(["a", "b", None]), rng.choice("pqrstuvw")) for at in range(400)]
+    where, held, want = {}, {}, {}
+    for at, file, *slot in moves:
+        slot = tuple(slot)
+        want[at] = held.get(slot, file) == file
+        if want[at]:
+            held.pop(where.get(file), None)
+            held[slot], where[file] = file, slot
+    monkeypatch.setattr(O, "BLOCK", 25)
+    rounds = []
+    begun = O._begun
+    monkeypatch.setattr(O, "_begun", lambda *a: rounds.append(1) or begun(*a))
+    got = O.settle(spark.createDataFrame(moves, "at long, file int, folder string, name string"))
+    assert {r.at: r.accepted for r in got.collect()} == want and 20 < sum(want.values()) < 380 and got.columns == ["at", "file", "folder", "name", "accepted"]
+    assert 1 < len(rounds) <= 17
