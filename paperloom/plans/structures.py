@@ -45,8 +45,11 @@ def list_counters(spark, d):
 @query("placeholder_images", f"WITH r AS (SELECT *, sum(event_id % 3) OVER {_W} AS s FROM events) SELECT event_id, list_transform(range(CAST(s - event_id % 3 + 1 AS BIGINT), CAST(s + 1 AS BIGINT)), lambda k: 'img' || k) AS line_images FROM r")
 def placeholder_images(spark, d):
     """JN-12."""
-    rows = table(spark, d, "events").select("user_id", "event_id", "ts", F.repeat(F.lit("a￼"), (F.col("event_id") % 3).cast("int")).alias("text"), F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda k: F.concat(F.lit("img"), k.cast("string"))).alias("images"))
-    return S.placeholder_images(rows, ["user_id"], ["ts", "event_id"], "text", "images").select("event_id", "line_images")
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", F.repeat(F.lit("a￼"), (F.col("event_id") % 3).cast("int")).alias("text"))
+    # a user's pictures: as many as their lines call for, and two that no line takes
+    pictures = table(spark, d, "events").groupBy("user_id").agg((F.sum(F.col("event_id") % 3) + 2).alias("n")).select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("place"))
+    pictures = pictures.withColumn("image", F.concat(F.lit("img"), F.col("place").cast("string")))
+    return S.placeholder_images(rows, pictures, ["user_id"], ["ts", "event_id"], "text", "place", "image").select("event_id", "line_images")
 
 
 _RUN = "SELECT l_orderkey, l_linenumber, chr(CAST(96 + l_linenumber AS INT)) AS label, max(CASE WHEN l_partkey % 5 = 0 THEN l_quantity END) AS marks FROM lineitem GROUP BY 1, 2"
