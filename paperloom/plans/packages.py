@@ -69,11 +69,9 @@ def word_packages(spark, d):
     )
     content = F.concat(F.lit("picture "), (F.col("c_custkey") % 7).cast("string")).cast("binary")
     media = rows.where("k < 3").select("paper_id", F.concat(F.lit("media/"), k.cast("string"), F.lit(".png")).alias("target"), content.alias("content"))
-    files = to_docx(plan, media).select(F.col("paper_id").alias("path"), "content")
-    parts = docx.read_parts(files)
+    blocks, parts = docx.read_whole(to_docx(plan, media).select(F.col("paper_id").alias("path"), "content"), with_media=True)  # read five times below
     of = docx.relations(parts).join(docx.media(parts), ["paper_id", "target"]).select("paper_id", F.col("rid"), F.md5("content").alias("digest"))
     stored = docx.media(parts).groupBy("paper_id").agg(F.count("*").cast("int").alias("n"))
-    blocks = docx.read_blocks(files)
     shown = blocks.select("paper_id", "block_pos", F.posexplode("pictures").alias("at", "p")).join(of.withColumnRenamed("rid", "own"), (F.col("p.rid") == F.col("own")) & (blocks.paper_id == of.paper_id)).select(blocks.paper_id, "block_pos", F.struct("at", F.concat(F.col("p.width").cast("string"), F.lit("x"), F.col("p.height").cast("string"), F.lit(":"), "digest").alias("t")).alias("x"))
     shown = shown.groupBy("paper_id", "block_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), ",").alias("shown"))
     look = F.transform("runs", lambda r: F.concat(r["text"], *(F.when(r[f], f"/{f}").otherwise("") for f in flags)))

@@ -1,10 +1,13 @@
-"""What the fifth round changed: pictures as rows."""
+"""What the fifth round changed: pictures as rows, Word files read once and in batches."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paperloom.operators import structures as S
 from paperloom.plans import registry
+from paperloom.sources import docx
+from paperloom.sources.write_docx import Package, _files
 
 registry.load()
 
@@ -25,3 +28,17 @@ def test_a_user_may_have_any_number_of_pictures(spark, tmp_path):
     want = con.execute(registry.ORACLE["placeholder_images"]).fetchall()
     got = registry.QUERIES["placeholder_images"](spark, str(tmp_path)).collect()
     assert sorted((r.event_id, list(r.line_images)) for r in got) == sorted((k, list(v)) for k, v in want)
+
+
+def test_files_pass_by_in_batches(spark):
+    row = {"seq": 1, "style": "question", "indent": 0, "keep_next": False, "text": "x", "stops": None, "align": None, "runs": None, "pictures": None, "grid": None, "__target": None, "__content": None}
+    made = list(_files(iter([pa.RecordBatch.from_pylist([{"paper_id": f"p{k}", **row} for k in range(40)])])))
+    assert [b.num_rows for b in made] == [40] and made[0].column("content")[7].as_py() == Package({}).build([row])
+    files = [("a", made[0].column("content")[0].as_py()), ("broken", b"PK no"), ("b", made[0].column("content")[1].as_py())]
+    read = list(docx._reader(docx.parse_docx, docx.BLOCKS)(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files, strict=True)], ["path", "content"])])))
+    assert [[(r["paper_id"], r["kind"], r["text"]) for r in b.to_pylist()] for b in read] == [[("a", "p", "x"), ("broken", "error", None), ("b", "p", "x")]]
+
+
+def test_word_packages_reads_each_file_once(spark):
+    plan = registry.QUERIES["word_packages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
