@@ -14,8 +14,9 @@ of the seed follows it (a new seed, if none is left), and the one that crosses t
 and seeds the next window with its rest. Only the shard's last window can stay short; it is stored as sequences of
 power-of-two lengths, which need no padding.
 
-Neighbours that the tree parts do not meet. Words beyond the TABLE_WORDS most frequent ones count as frequent as
-the least of these; document frequencies are exact up to there.
+Neighbours that the tree parts do not meet. Document frequencies are exact for all words: tasks hold those of the
+TABLE_WORDS most frequent ones, and a table with more words joins the others to the documents that have them, so that
+each document brings the frequencies of its own rare words along.
 
 Each document is its ids and then END_ID. Each id lies in exactly one piece.
 
@@ -28,6 +29,8 @@ makes one by itself; an empty table gives an empty result; further columns are i
 from __future__ import annotations
 
 import zlib
+from copy import copy
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,18 +54,26 @@ K1, B = 1.2, 0.75
 
 
 class Statistics:
-    """Documents, mean length and document frequencies of a table; a word that terms lacks has the frequency `other`."""
+    """Documents, mean length and document frequencies of a table; a word that neither terms nor `rest` has stands in one document."""
 
-    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray, other: int = 1) -> None:
-        self.n, self.mean, self.other = n, mean, other
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray) -> None:
+        self.n, self.mean, self.rest = n, mean, None
         order = np.argsort(terms)
         self.terms, self.df = terms[order], df[order].astype(np.int32)
 
+    def beside(self, terms: np.ndarray, df: np.ndarray) -> Statistics:
+        """These with the frequencies of further words, which may repeat."""
+        terms, first = np.unique(terms, return_index=True)
+        out = copy(self)
+        out.rest = Statistics(self.n, self.mean, terms, df[first]) if len(terms) else None
+        return out
+
     def frequency(self, words: np.ndarray) -> np.ndarray:
+        other = 1 if self.rest is None else self.rest.frequency(words)
         if not len(self.terms):
-            return np.full(len(words), self.other, np.int64)
+            return np.full(len(words), other, np.int64)
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        return np.where(self.terms[at] == words, self.df[at], self.other).astype(np.int64)
+        return np.where(self.terms[at] == words, self.df[at], other).astype(np.int64)
 
     def idf(self, df: np.ndarray) -> np.ndarray:
         return np.log1p((np.maximum(self.n - df, 0) + 0.5) / (df + 0.5))
@@ -223,21 +234,54 @@ def _counter(path: str):
 COUNTS = ["term", "df", "tokens", "bytes"]
 
 
-def statistics(texts: DataFrame, path: str) -> tuple[Statistics, int]:
-    """Statistics of all rows of a table of texts, and its bytes. Words of one row find nothing and are left out."""
+def counted(texts: DataFrame, path: str) -> tuple[Statistics, int, DataFrame | None]:
+    """Statistics of all rows of a table of texts, its bytes, and (term, df) of the words that its statistics have no place for, if there are any. Words of one row find nothing and are left out."""
     rows = texts.mapInArrow(lean(_counter(path)), ", ".join(f"{c} long" for c in COUNTS))
     with small_batches(texts.sparkSession):
         rows = cut_lineage(rows.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS[1:])).where("term is null or df > 1"))
     whole = rows.where("term is null").first()
     if whole is None:
-        return Statistics(0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
-    table = rows.where("term is not null").select("term", F.col("df").cast("int").alias("df"))
-    full = table.count() > TABLE_WORDS
-    if full:
-        table = table.orderBy(F.desc("df"), "term").limit(TABLE_WORDS)
-    found = table.toArrow()
-    term, df = found.column("term").to_numpy().view(np.uint64), found.column("df").to_numpy()
-    return Statistics(whole.df, whole.tokens / max(1, whole.df), term, df, int(df.min()) if full else 1), whole.bytes
+        return Statistics(0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, None
+    table, rest = rows.where("term is not null").select("term", F.col("df").cast("int").alias("df")), None
+    held = table
+    if table.count() > TABLE_WORDS:
+        held = table.orderBy(F.desc("df"), "term").limit(TABLE_WORDS)
+    found = held.toArrow()
+    term, df = found.column("term").to_numpy(), found.column("df").to_numpy()
+    if held is not table:
+        least = int(df.min())
+        rest = table.where((F.col("df") < least) | (F.col("df") == least) & (F.col("term") > int(term[df == least].max())))
+    return Statistics(whole.df, whole.tokens / max(1, whole.df), term.view(np.uint64), df), whole.bytes, rest
+
+
+def statistics(texts: DataFrame, path: str) -> tuple[Statistics, int]:
+    """Statistics of all rows of a table of texts, and its bytes."""
+    return counted(texts, path)[:2]
+
+
+def _asker(path: str, whole):
+    def run(batches):
+        encoder = Encoder(path)
+        for batch in batches:
+            raw, at = column_bytes(batch.column(1))
+            word, doc, _ = pairs(*words(encoder, raw, at))
+            asked = np.flatnonzero(whole.value.frequency(word) == 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[asked])), pa.array(word[asked].view(np.int64))], ["own", "term"])
+
+    return run
+
+
+def rare_words(keyed: DataFrame, path: str, whole, rest: DataFrame) -> DataFrame:
+    """(own, rare): for each hash of a row (own, text) its words that the statistics lack, with their document frequencies. Rows that share a hash share the words of both, which does no harm."""
+    with small_batches(keyed.sparkSession):
+        asked = keyed.select("own", "text").mapInArrow(lean(_asker(path, whole)), "own long, term long")
+        return cut_lineage(asked.join(rest, "term").groupBy("own").agg(F.collect_set(F.struct("term", "df")).alias("rare")))
+
+
+def _rest(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words and frequencies of a column of rare words, of all its rows."""
+    flat = column.flatten()
+    return flat.field("term").to_numpy().view(np.uint64), flat.field("df").to_numpy()
 
 
 def vectors(encoder: Encoder, whole: Statistics, raw: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -326,7 +370,8 @@ def _vectors(path: str, whole):
         encoder = Encoder(path)
         for batch in batches:
             raw, at = column_bytes(batch.column(0))
-            out = vectors(encoder, whole.value, raw, at, np.asarray(batch.column(1)))
+            own = whole.value.beside(*_rest(batch.column(2))) if batch.num_columns > 2 else whole.value
+            out = vectors(encoder, own, raw, at, np.asarray(batch.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out.astype(np.float16)], pa.binary()), pa.array(np.diff(at) + ROW_BYTES)], ["vector", "bytes"])
 
     return run
@@ -337,14 +382,16 @@ def _placer(path: str, whole, tree, bits: int):
         encoder = Encoder(path)
         for batch in batches:
             raw, at = column_bytes(batch.column(1))
-            rows = vectors(encoder, whole.value, raw, at, np.asarray(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([pa.array(tree.value.shard(rows, bits)), batch.column(0), batch.column(1)], ["shard", "doc_id", "text"])
+            rare = batch.columns[3:]
+            own = whole.value.beside(*_rest(rare[0])) if rare else whole.value
+            rows = vectors(encoder, own, raw, at, np.asarray(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(tree.value.shard(rows, bits)), batch.column(0), batch.column(1), *rare], ["shard", "doc_id", "text", "rare"][: 3 + len(rare)])
 
     return run
 
 
 def _packer(path: str, window: int, most: int, whole):
-    def pack(encoder: Encoder, doc_ids: list, texts: list[bytes], base: int):
+    def pack(encoder: Encoder, doc_ids: list, texts: list[bytes], rare: list, base: int):
         raw = np.frombuffer(b"".join(texts), np.uint8)
         at = np.cumsum([0, *map(len, texts)])
         parts, before, keys, terms = [], [0], [np.zeros(0, np.uint64)], [0]
@@ -356,7 +403,8 @@ def _packer(path: str, window: int, most: int, whole):
             terms += (terms[-1] + count[1:]).tolist()
         ids, before = np.concatenate(parts), np.array(before)
         wide = ids.astype("<u4")
-        pieces = lay_out(Index(np.concatenate(keys), np.array(terms), whole.value), before, window)
+        own = whole.value.beside(*(np.concatenate(x) for x in zip(*rare, strict=True))) if rare else whole.value
+        pieces = lay_out(Index(np.concatenate(keys), np.array(terms), own), before, window)
         doc, start, size, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
         data = memoryview(wide.tobytes())
         low = (before[doc] + start) * 4
@@ -367,7 +415,7 @@ def _packer(path: str, window: int, most: int, whole):
         return batch, int(sequence.max()) + 1
 
     def run(batches):
-        encoder, shard, count, doc_ids, texts, size = Encoder(path), None, 0, [], [], 0
+        encoder, shard, count, doc_ids, texts, rare, size = shared_encoder(path), None, 0, [], [], [], 0
         for batch in batches:
             number = batch.column(0).to_pylist()
             raw, at = column_bytes(batch.column(2))
@@ -375,42 +423,54 @@ def _packer(path: str, window: int, most: int, whole):
             for k, doc_id in enumerate(batch.column(1).to_pylist()):
                 text = data[at[k] : at[k + 1]]
                 if texts and (number[k] != shard or size + len(text) + ROW_BYTES > most):
-                    out, used = pack(encoder, doc_ids, texts, (shard << 32) + count)
+                    out, used = pack(encoder, doc_ids, texts, rare, (shard << 32) + count)
                     yield out
-                    count, doc_ids, texts, size = count + used, [], [], 0
+                    count, doc_ids, texts, rare, size = count + used, [], [], [], 0
                 if number[k] != shard:
                     shard, count = number[k], 0
                 doc_ids.append(doc_id)
                 texts.append(text)
+                if batch.num_columns > 3:
+                    rare.append(_rest(batch.column(3).slice(k, 1)))
                 size += len(text) + ROW_BYTES
         if texts:
-            yield pack(encoder, doc_ids, texts, (shard << 32) + count)[0]
+            yield pack(encoder, doc_ids, texts, rare, (shard << 32) + count)[0]
 
     return run
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """One for all tasks of a worker that pack, so that they learn common words once; it remembers as many as a task's own would."""
+    return Encoder(path)
+
+
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row per piece: where it lies in its document and in its sequence."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found, size = statistics(own.select("text"), path)
+    found, size, rest = counted(own.select("text"), path)
     whole = docs.sparkSession.sparkContext.broadcast(found)
     keyed, total = own.withColumn("own", F.xxhash64("doc_id", "text")), size + ROW_BYTES * found.n
+    rare, kind = [], ""
+    if rest is not None:
+        keyed = keyed.join(rare_words(keyed, path, whole, rest), "own", "left").select("doc_id", "text", "own", "rare")
+        rare, kind = ["rare"], ", rare array<struct<term:bigint,df:int>>"
     if total <= shard_bytes:
-        placed = own.select(F.lit(0).cast("long").alias("shard"), "doc_id", "text")
+        placed = keyed.select(F.lit(0).cast("long").alias("shard"), "doc_id", "text", *rare)
     else:
         # one row in `every`, by hash, so that every run takes the same
         share = max(shard_bytes, total // LEAVES)
         bits = max(0, (share // shard_bytes - 1).bit_length())
         every = max(1, found.n * share // (SAMPLE * total))
         with small_batches(docs.sparkSession):
-            sample = keyed.where(F.pmod(F.xxhash64("own"), F.lit(every)) == 0).select("text", "own").mapInArrow(_vectors(path, whole), "vector binary, bytes long").orderBy("vector", "bytes").toArrow()
+            sample = keyed.where(F.pmod(F.xxhash64("own"), F.lit(every)) == 0).select("text", "own", *rare).mapInArrow(_vectors(path, whole), "vector binary, bytes long").orderBy("vector", "bytes").toArrow()
         rows = np.frombuffer(b"".join(sample.column("vector").to_pylist()), np.float16).reshape(-1, DIMENSIONS + FAINT).astype(np.float32)
         weight = sample.column("bytes").to_numpy().astype(np.float64)
         tree = docs.sparkSession.sparkContext.broadcast(Tree(rows, weight, share * weight.sum() / total))
-        placed = keyed.mapInArrow(lean(_placer(path, whole, tree, bits)), "shard long, doc_id long, text string")
+        placed = keyed.mapInArrow(lean(_placer(path, whole, tree, bits)), f"shard long, doc_id long, text string{kind}")
     rows = placed.repartition(parts_of(size), "shard").sortWithinPartitions("shard", "doc_id", "text")
     with small_batches(docs.sparkSession):  # pieces are few bytes, so they are written at once, from batches of bounded size
         return cut_lineage(rows.mapInArrow(lean(_packer(path, window, 2 * shard_bytes, whole)), ", ".join(f"{c} long" for c in NAMES)))

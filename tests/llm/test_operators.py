@@ -650,3 +650,17 @@ def test_cosine_hash_by_hand():
         above = [bits[k] for k in np.argsort(rest)]
         # the bits part the coefficients into low ones and high ones, by their median
         assert sum(a > b for a, b in zip(above, above[1:], strict=False)) <= 1 and 28 <= sum(bits) <= 36
+
+
+def test_op7_rare_words_keep_their_frequencies(spark, monkeypatch):
+    """Words that the tasks' table has no place for are joined to the documents that have them."""
+    rng = random.Random(5)
+    texts = [(k, " ".join(f"w{int(rng.paretovariate(0.7)) % 900}x" for _ in range(rng.randint(0, 80)))) for k in range(150)] + [(None, None), (7, "w1x w2x"), (7, "w1x w2x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for shard in (4096, 1 << 20):
+        monkeypatch.setattr(packing, "TABLE_WORDS", 1 << 22)
+        want = sorted(map(str, packing.pack(docs, BPE, window=64, shard_bytes=shard).collect()))
+        monkeypatch.setattr(packing, "TABLE_WORDS", 20)
+        found, _, rest = packing.counted(docs.select(F.coalesce("text", F.lit("")).alias("text")), BPE)
+        assert len(found.terms) == 20 and rest.count() > 100
+        assert sorted(map(str, packing.pack(docs, BPE, window=64, shard_bytes=shard).collect())) == want
