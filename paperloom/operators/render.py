@@ -66,16 +66,23 @@ def header_block(header: DataFrame, school: str) -> DataFrame:
     subject_at = F.least(F.lit(HEADER_STOPS[0]), marks_at - (1050 + F.char_length(subject) * 150) - 200)
     stops = F.when(subject_at >= HEADER_STOPS[0], F.array(*map(F.lit, HEADER_STOPS))).otherwise(F.array(F.greatest(F.lit(2200), subject_at), F.lit(marks_at))).cast("array<int>")
     date = F.when(F.col("date").rlike("^_+$") | (F.coalesce("date", F.lit("")) == ""), "____/____/________").otherwise(F.col("date"))
-    one = lambda k, style, text, tabs=None: _paragraph(header, -100_000 + k, style, text, stops=tabs)
-    out = one(0, "school", F.lit(school)).unionByName(one(1, "exam", exam))
-    out = out.unionByName(one(2, "header", F.concat(F.lit("Class: "), blank("cls", "____"), F.lit("\tSubject: "), subject, F.lit("\tMarks: "), blank("marks", "____"), F.lit(" marks")), stops))
-    out = out.unionByName(one(3, "header rule", F.concat(F.lit("Date: "), date, F.lit("\tRoll No.:______________\tTime: "), blank("time", "3 hours")), HEADER_STOPS))
-    told = header.where(F.size("instructions") > 0)
-    out = out.unionByName(_paragraph(told, -100_000 + 4, "instructions", F.lit("General Instructions:"), keep=True))
-    each = told.select("paper_id", F.posexplode("instructions").alias("k", "t"))
-    numbered = F.col("t").rlike(r"^\d+\s*[.)]")
-    text = F.when(numbered, F.regexp_replace("t", r"^(\d+\s*[.)])\s*", "$1\t")).otherwise(F.concat((F.col("k") + 1).cast("string"), F.lit(".\t"), F.col("t")))
-    return out.unionByName(_paragraph(each, -100_000 + 5, "instruction", text, indent=INSTRUCTION_INDENT, keep=True, stops=[INSTRUCTION_INDENT], line=F.col("k")))
+
+    def one(k: int, style: str, text: Column, tabs: Column, indent: int = 0, keep: bool = False, line: Column | None = None) -> Column:
+        return F.struct(F.lit(-100_000 + k).alias("block"), (F.lit(0) if line is None else line).alias("line"), F.lit(style).alias("style"), F.lit(indent).alias("indent"), F.lit(keep).alias("keep_next"), tabs.alias("stops"), text.alias("text"))
+
+    at = lambda *stops: F.array(*map(F.lit, stops)).cast("array<int>")
+    lines = F.array(
+        one(0, "school", F.lit(school), at()), one(1, "exam", exam, at()),
+        one(2, "header", F.concat(F.lit("Class: "), blank("cls", "____"), F.lit("\tSubject: "), subject, F.lit("\tMarks: "), blank("marks", "____"), F.lit(" marks")), stops),
+        one(3, "header rule", F.concat(F.lit("Date: "), date, F.lit("\tRoll No.:______________\tTime: "), blank("time", "3 hours")), at(*HEADER_STOPS)),
+    )
+    told = F.coalesce("instructions", F.array().cast("array<string>"))
+    title = F.filter(F.array(one(4, "instructions", F.lit("General Instructions:"), at(), keep=True)), lambda _: F.size(told) > 0)
+    numbered = lambda t, k: F.when(t.rlike(r"^\d+\s*[.)]"), F.regexp_replace(t, r"^(\d+\s*[.)])\s*", "$1\t")).otherwise(F.concat((k + 1).cast("string"), F.lit(".\t"), t))
+    each = F.transform(told, lambda t, k: one(5, "instruction", numbered(t, k), at(INSTRUCTION_INDENT), INSTRUCTION_INDENT, True, k))
+    # one row becomes all its lines, so the header is made once
+    rows = header.select("paper_id", F.inline(F.concat(lines, title, each)))
+    return rows.select("paper_id", "block", F.lit(0).alias("entry_no"), F.lit(0).alias("item_no"), "line", "style", "indent", "keep_next", "stops", "text", F.lit(None).cast("int").alias("block_pos"), F.lit(None).cast("string").alias("own"))
 
 
 def body(classified: DataFrame, entries: DataFrame) -> DataFrame:

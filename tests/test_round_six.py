@@ -1,6 +1,7 @@
 """What the sixth round changed: headers made once, from the lines before the first section or question."""
 
 from paperloom.operators import papers as P
+from paperloom.operators import render as V
 
 SCHOOL = r"(?i)\bschool\b"
 
@@ -9,6 +10,18 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_header_block_makes_its_header_once(spark):
+    lines = spark.createDataFrame([("a", 1, "Hill School"), ("a", 2, "Class: VII  Max. Marks: 20"), ("a", 3, "General Instructions: Write."), ("a", 4, "2) Read."), ("a", 5, "Q.1. Go on. Class: IX"), ("a", 6, "Subject: Art"), ("b", 1, "Section A")], "paper_id string, line_no int, text string")
+    block = V.header_block(P.headers(lines, SCHOOL), "HILL SCHOOL")
+    assert _plan(block).count("Aggregate [") == 1
+    rows = [(r.paper_id, r.style, r.line, r.text) for r in block.orderBy("paper_id", "block", "line").collect()]
+    assert [r[1:] for r in rows if r[0] == "a"] == [
+        ("school", 0, "HILL SCHOOL"), ("exam", 0, "EXAMINATION"), ("header", 0, "Class: VII\tSubject: SUBJECT\tMarks: 20 marks"), ("header rule", 0, "Date: ____/____/________\tRoll No.:______________\tTime: 3 hours"),
+        ("instructions", 0, "General Instructions:"), ("instruction", 0, "1.\tWrite."), ("instruction", 1, "2)\tRead."),
+    ]
+    assert not [r for r in rows if r[0] == "b"]
+
+
 def test_headers_look_over_no_line_behind_the_first_section(spark):
     lines = spark.createDataFrame([("a", 1, "Class: VII")], "paper_id string, line_no int, text string")
     plan = _plan(P.headers(lines, SCHOOL))
