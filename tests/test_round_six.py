@@ -1,7 +1,9 @@
-"""What the sixth round changed: headers made once, from the lines before the first section or question."""
+"""What the sixth round changed: headers made once, from the lines before the first section or question; items joined with fewer sorts."""
 
+from paperloom.operators import items as I
 from paperloom.operators import papers as P
 from paperloom.operators import render as V
+from paperloom.tables import unsized_batches
 
 SCHOOL = r"(?i)\bschool\b"
 
@@ -27,3 +29,22 @@ def test_headers_look_over_no_line_behind_the_first_section(spark):
     plan = _plan(P.headers(lines, SCHOOL))
     patterns = plan.count("RLIKE") + plan.count("regexp_extract")
     assert patterns < 100, patterns  # 212 before, each line of the paper through them all
+
+
+def test_islands_are_sorted_once_a_step_and_rows_are_carried_past_them(spark):
+    rows = spark.createDataFrame([("a", 1, "A", 1, "question", k, "cont", None, None, f"W{k}\tX{k}", None, k) for k in (3, 1, 2)], "paper_id string, section_no int, letter string, entry_no int, kind string, item_no int, item string, label string, nested string, text string, item_marks double, block_pos int")
+    rows = rows.selectExpr("*", "string(null) rest", "array(string(null)) options", "false floating", "array(array(string(null))) cells")
+    done = I.settled(rows)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 12, plan.count("Sort [")  # 17 before
+    assert plan.count("carried") > 0
+    assert done.columns == rows.columns
+    assert [(r.item, r.cells, r.letter, r.block_pos) for r in done.collect()] == [("pairs", [["W1", "X1"], ["W2", "X2"], ["W3", "X3"]], "A", 1)]
+
+
+def test_batches_are_not_sized_row_by_row_and_the_setting_comes_back(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    with unsized_batches(spark):
+        assert spark.conf.get(name) == str(2**31 - 1)
+    assert spark.conf.get(name) == was
