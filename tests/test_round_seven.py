@@ -59,3 +59,9 @@ def test_the_limit_of_methods_comes_back(spark):
     with small_methods(spark):
         assert spark.conf.get(name) == "8000"
     assert spark.conf.get(name) == was
+
+
+def test_the_summary_reads_no_line_again_for_its_headers(spark):
+    from paperloom.plans import papers as Q
+
+    assert not [f for f in Q.paper_summary(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
