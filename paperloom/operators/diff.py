@@ -173,6 +173,15 @@ def anchors(both: DataFrame, key: str) -> DataFrame:
     return single.repartition(key).sortWithinPartitions(key, "old").mapInArrow(_piles([key, "old", "new"]), schema)
 
 
+def _beside(rows: DataFrame, marks: DataFrame, by: list[str], place: str, mark: str) -> DataFrame:
+    """rows, clustered by the first of `by`, with __met, whether marks (by, place, mark) hold their place, and __passed, how many places to theirs do. A join would deal the texts out anew by place, and again for what follows."""
+    w = Window.partitionBy(*by).orderBy(place, F.col(mark).desc_nulls_last())
+    both = rows.withColumn(mark, F.lit(None).cast("int")).unionByName(marks.repartition(by[0]), allowMissingColumns=True)
+    met = (F.lag(mark).over(w) == 1) & (F.lag(place).over(w) == F.col(place))
+    both = both.withColumns({"__passed": F.count(mark).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__met": F.coalesce(met, F.lit(False))})
+    return both.where(F.col(mark).isNull()).drop(mark)
+
+
 def ordered_diff(old: DataFrame, new: DataFrame, key: str, place: str = "place", line: str = "line", anchored: bool = False) -> DataFrame:
     """(key, seq, sign, number, line): a shortest script of removed (-) and added (+) lines of each file, in order; number counts the lines of their own version from 1. Nulls are lines like any other. A file of one version alone is removed or added whole."""
     rows = lambda df, side: df.select(key, F.lit(side).alias("__side"), F.col(place).alias("__place"), F.col(line).alias("__line"))
@@ -182,8 +191,7 @@ def ordered_diff(old: DataFrame, new: DataFrame, key: str, place: str = "place",
     if anchored:
         found = anchors(both, key)
         marks = found.select(key, F.lit(OLD).alias("__side"), F.col("old").alias("__place")).unionAll(found.select(key, F.lit(NEW).alias("__side"), F.col("new").alias("__place"))).withColumn("__mark", F.lit(1))
-        stretch = F.sum(F.coalesce("__mark", F.lit(0))).over(Window.partitionBy(key, "__side").orderBy("__place"))
-        both = both.join(marks, [key, "__side", "__place"], "left").withColumn("__stretch", stretch).where("__mark is null")
+        both = _beside(both, marks, [key, "__side"], "__place", "__mark").withColumn("__stretch", F.col("__passed")).where("not __met")
         by = [key, "__stretch"]
         both = both.repartition(*by)
     both = both.select(*by, "__side", "__place", "__line")
@@ -197,7 +205,8 @@ def patched(old: DataFrame, script: DataFrame, key: str, place: str = "place", l
     """(key, number, line): the new version. Added lines have their numbers there; those that stay take the free numbers in order."""
     number = F.row_number().over(Window.partitionBy(key).orderBy(place)).cast("long")
     gone = script.where("sign = '-'").select(key, "number")
-    kept = old.select(key, number.alias("number"), F.col(line).alias("line")).join(gone, [key, "number"], "left_anti")
+    own = old.repartition(key).select(key, number.alias("number"), F.col(line).alias("line"))
+    kept = _beside(own, gone.withColumn("__mark", F.lit(1)), [key], "number", "__mark").where("not __met").drop("__passed", "__met")
     added = script.where("sign = '+'").select(key, "number", "line")
     ranked = kept.select(key, F.row_number().over(Window.partitionBy(key).orderBy("number")).cast("long").alias("__rank"), "line")
     return nth_free(ranked, added, [key], "__rank", "number").select(key, "number", "line").unionByName(added)

@@ -65,3 +65,17 @@ def test_the_summary_reads_no_line_again_for_its_headers(spark):
     from paperloom.plans import papers as Q
 
     assert not [f for f in Q.paper_summary(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
+def test_differences_deal_texts_out_without_joins(spark):
+    from paperloom.operators import diff as D
+
+    rows = lambda lines: spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)] + [(None, 0, "z")], "f int, place int, line string")
+    old, new = rows(["a", "b", "b", None, "c", "d"]), rows(["a", "x", "b", None, "d", "d"])
+    script = D.ordered_diff(old, new, "f", anchored=True)
+    assert "Join" not in _plan(script)
+    script = spark.createDataFrame(script.collect(), script.schema)
+    done = D.patched(old, script, "f")
+    assert "Join" not in _plan(done)
+    assert [(r.number, r.line) for r in done.where("f = 1").orderBy("number").collect()] == list(enumerate(["a", "x", "b", None, "d", "d"], 1))
+    assert [r.line for r in done.where("f is null").collect()] == ["z"]
